@@ -6,27 +6,62 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, sketch, tokenbin
-from lodestar.llm.shared import documents
+from lodestar.llm import bpe, decontam, jaccard, lm, pii, secrets, sketch, tokenbin, toxicity, unigram
+from lodestar.llm.shared import documents, fold
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
+
+
+def op1_trigram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.cross_scored(documents(spark, sf_dir))
+
+
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.digests(pii.find(docs, pii.fit(docs)))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = toxicity.score(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return secrets.digests(secrets.scan(docs.select("doc_id", "text"), secrets.train(secrets.labelled_strings(docs))))
 
 
 def op6_bottom_k_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.neighbours(documents(spark, sf_dir))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_files(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
 
 
+def op9_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.token_counts(documents(spark, sf_dir), public_tokenizers.path(PIECES))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op6_bottom_k_sketch, op8_token_files, op10_bpe_round_trip]
+    found = [op1_trigram_trie, op2_template_decontamination, op3_personal_data, op4_toxicity, op5_secrets, op6_bottom_k_sketch, op7_jaccard_join, op8_token_files, op9_unigram_counts, op10_bpe_round_trip]
     return {f.__name__: f for f in found}
 
 

@@ -70,14 +70,14 @@ def map_blob(uri: str) -> dict[str, np.ndarray]:
     """Memory-maps a file of write_blob. A store without local paths is copied to an unlinked local file first."""
     if uri.startswith("file:"):
         path = "/" + uri[5:].lstrip("/")
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.asarray(np.memmap(path, np.uint8, "r"))
     else:
         system, path = _filesystem(uri)
         with tempfile.TemporaryFile() as local, system.open_input_stream(path) as src:
             while block := src.read(8 << 20):
                 local.write(block)
             local.flush()
-            raw = np.memmap(local, np.uint8, "r")
+            raw = np.asarray(np.memmap(local, np.uint8, "r"))
     n = int.from_bytes(raw[-8:].tobytes(), "little")
     out = {}
     for item in raw[len(raw) - 8 - n : len(raw) - 8].tobytes().decode().split(","):
