@@ -1,4 +1,6 @@
-"""Token-ID output: flat little-endian uint32 files with uint64 document offsets, memory-mapped on reading.
+"""Token-ID output: flat little-endian unsigned integer files with uint64 document offsets, memory-mapped on reading.
+
+Ids take two bytes where the vocabulary fits and four otherwise.
 
 Rows go out in ascending doc_id (nulls first; rows of one doc_id by the hash of their text). Each range
 partition writes one file of ids with its own offsets; a partition's base in the whole stream is the
@@ -51,7 +53,9 @@ def _encoder(path: str, table: bytes) -> Encoder:
 
 def write_tokens(df: DataFrame, path: str, out: str, text: str = "text", end_id: int = 0) -> list[tuple[int, str, int, int]]:
     """Writes all texts under the folder `out`. Returns (part, file, documents, ids) of each file in stream order."""
-    table = class_table(_library(path))
+    library = _library(path)
+    table = class_table(library)
+    kind = np.dtype("<u2" if max(library.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, table)
@@ -60,7 +64,7 @@ def write_tokens(df: DataFrame, path: str, out: str, text: str = "text", end_id:
         for batch in text_chunks(batches):
             flat, off = encoder(*raw_text(batch.column("text")))
             n = batch.num_rows
-            own = np.full(len(flat) + n, end_id, np.uint32)
+            own = np.full(len(flat) + n, end_id, kind)
             own[np.arange(len(flat)) + np.repeat(np.arange(n), np.diff(off))] = flat
             ids.append(own)
             sizes.append(np.diff(off) + 1)
@@ -72,7 +76,7 @@ def write_tokens(df: DataFrame, path: str, out: str, text: str = "text", end_id:
         size = np.concatenate(sizes)
         offsets = np.concatenate([[0], np.cumsum(size)]).astype("<u8")
         uri = f"{out}/part-{part:06d}.tokens"
-        write_blob(uri, {"ids": np.concatenate(ids).astype("<u4"), "offsets": offsets, "doc_id": np.concatenate(docs).astype("<i8"), "null_id": np.concatenate(nulls)})
+        write_blob(uri, {"ids": np.concatenate(ids), "offsets": offsets, "doc_id": np.concatenate(docs).astype("<i8"), "null_id": np.concatenate(nulls)})
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [uri], "docs": [len(size)], "ids": [int(offsets[-1])]}, schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
     ordered = df.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
@@ -98,10 +102,11 @@ def read_tokens(spark: SparkSession, files: list[tuple[int, str, int, int]], wit
                 while at < len(docs):
                     to = max(at + 1, int(np.searchsorted(off, off[at] + READ_IDS, "right")) - 1)
                     bounds = off[at : to + 1]
-                    crc = [zlib.crc32(ids[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                    own = ids[bounds[0] : bounds[-1]].astype("<u4")
+                    crc = [zlib.crc32(own[a:b]) for a, b in zip((bounds[:-1] - bounds[0]).tolist(), (bounds[1:] - bounds[0]).tolist(), strict=True)]
                     columns = [pa.array(docs[at:to], pa.int64(), mask=nulls[at:to].astype(bool)), pa.array(first + bounds[:-1], pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64())]
                     if with_ids:
-                        columns.append(pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), pa.array(ids[bounds[0] : bounds[-1]], pa.int64())))
+                        columns.append(pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), pa.array(own, pa.int64())))
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
                     at = to
 
