@@ -36,7 +36,7 @@ HIDDEN = 10
 OWN = 256
 #: Bounds of the training sample: rows, and characters of a text in it.
 SAMPLE_ROWS, SAMPLE_CHARS = 300, 3000
-STEPS, BATCH, RATE, SEED = 450, 48, 0.01, 11
+STEPS, BATCH, RATE, SEED = 400, 64, 0.02, 11
 ROWS = 1024
 _NEVER = -1e4
 
@@ -108,50 +108,54 @@ def start(rng: np.random.Generator) -> dict[str, np.ndarray]:
 
 
 def _read(p: dict[str, np.ndarray], way: str, index: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
-    """States of one direction; gates are input, forget, output and candidate, one tanh for all four."""
+    """States (steps, HIDDEN, rows) of one direction; gates are input, forget, output and candidate, one tanh for all four.
+
+    Rows are the last axis, so that each gate is one contiguous block.
+    """
     steps, rows = index.shape
     n = HIDDEN
-    # sigmoid(x) = (tanh(x / 2) + 1) / 2: the halving goes into the weights.
-    half = np.full(4 * n, 0.5, np.float32)
+    # sigmoid(x) = (tanh(x / 2) + 1) / 2: the first halving goes into the weights.
+    half = np.full((4 * n, 1), 0.5, np.float32)
     half[3 * n :] = 1
-    side, state = p[f"in_{way}"] * half, p[f"state_{way}"] * half
-    h, c = np.zeros((rows, n), np.float32), np.zeros((rows, n), np.float32)
-    out = np.empty((steps, rows, n), np.float32)
+    side, state = np.ascontiguousarray(p[f"in_{way}"].T * half), np.ascontiguousarray(p[f"state_{way}"].T * half)
+    h, c = np.zeros((n, rows), np.float32), np.zeros((n, rows), np.float32)
+    out = np.empty((steps, n, rows), np.float32)
+    full = mask.all(axis=1)
     for t in range(steps):
-        a = np.take(side, index[t], 0)
-        a += h @ state
+        a = side[:, index[t]]
+        a += state @ h
         np.tanh(a, out=a)
-        gate = a[:, : 3 * n]
+        gate = a[: 3 * n]
+        gate += 1
         gate *= 0.5
-        gate += 0.5
         c0 = c
-        c = gate[:, n : 2 * n] * c0
-        c += gate[:, :n] * a[:, 3 * n :]
-        c *= mask[t]
+        c = gate[n : 2 * n] * c0
+        c += gate[:n] * a[3 * n :]
+        if not full[t]:
+            c *= mask[t]
         s = np.tanh(c)
-        h0 = h
-        h = gate[:, 2 * n :] * s
-        out[t] = h
+        h0, h = h, out[t]
+        np.multiply(gate[2 * n :], s, out=h)
         if keep is not None:
             keep.append((a, c0, s, h0))
     return out
 
 
 def _unread(p: dict[str, np.ndarray], way: str, index: np.ndarray, mask: np.ndarray, keep: list, grad: np.ndarray) -> dict[str, np.ndarray]:
-    steps, rows, n = grad.shape
+    steps, n, rows = grad.shape
     state = p[f"state_{way}"]
     weights = np.zeros_like(state)
     flat = np.empty((steps, rows, 4 * n), np.float32)
-    dh, dc = np.zeros((rows, n), np.float32), np.zeros((rows, n), np.float32)
+    dh, dc = np.zeros((n, rows), np.float32), np.zeros((n, rows), np.float32)
     for t in range(steps - 1, -1, -1):
         a, c0, s, h0 = keep[t]
-        i, f, o, g = a[:, :n], a[:, n : 2 * n], a[:, 2 * n : 3 * n], a[:, 3 * n :]
+        i, f, o, g = a[:n], a[n : 2 * n], a[2 * n : 3 * n], a[3 * n :]
         d = grad[t] + dh
         inner = (dc + d * o * (1 - s * s)) * mask[t]
-        to = np.concatenate([inner * g * i * (1 - i), inner * c0 * f * (1 - f), d * s * o * (1 - o), inner * i * (1 - g * g)], axis=1)
-        weights += h0.T @ to
-        dh, dc = to @ state.T, inner * f
-        flat[t] = to
+        to = np.concatenate([inner * g * i * (1 - i), inner * c0 * f * (1 - f), d * s * o * (1 - o), inner * i * (1 - g * g)])
+        weights += h0 @ to.T
+        dh, dc = state @ to, inner * f
+        flat[t] = to.T
     where = index.ravel()
     order = np.argsort(where, kind="stable")
     own, first = np.unique(where[order], return_index=True)
@@ -159,28 +163,45 @@ def _unread(p: dict[str, np.ndarray], way: str, index: np.ndarray, mask: np.ndar
 
 
 def emissions(p: dict[str, np.ndarray], index: np.ndarray, kept: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Tag scores (steps, rows, TAGS) and the mask (steps, rows, 1) of windows of inputs."""
-    mask = (index <= OWN).astype(np.float32)[:, :, None]
+    """Tag scores (steps, TAGS, rows) and the mask (steps, rows) of windows of inputs."""
+    mask = (index <= OWN).astype(np.float32)
     keep_f, keep_b = ([], []) if kept is not None else (None, None)
     ahead = _read(p, "f", index, mask, keep_f)
     back = _read(p, "b", index[::-1], mask[::-1], keep_b)[::-1]
-    e = ahead @ p["tag_f"]
-    e += back @ p["tag_b"]
-    e += p["tag"]
+    e = p["tag_f"].T @ ahead
+    e += p["tag_b"].T @ back
+    e += p["tag"][:, None]
     if kept is not None:
         kept |= {"f": keep_f, "b": keep_b, "ahead": ahead, "back": back}
     return e, mask
 
 
+def may_hold(e: np.ndarray, move: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Rows where a path other than all-outside could be best: Viterbi over two states, outside and any inside tag by its best bounds."""
+    rel = move - move[0, 0]
+    within, into, out = float(rel[1:, 1:].max()), float(rel[0, 1:].max()), float(rel[1:, 0].max())
+    over = e[:, 1:].max(axis=1)
+    over -= e[:, 0]
+    over += (mask - 1) * 1e6
+    best = over[0].copy()
+    hold = best + max(out, 0.0) > 0
+    for t in range(1, len(e)):
+        best += within
+        np.maximum(best, into, out=best)
+        best += over[t]
+        hold |= best > min(-out, 0.0)
+    return hold
+
+
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
 def crf_gradient(e: np.ndarray, move: np.ndarray, tags: np.ndarray, mask: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Loss and gradients (emissions, transitions) of the tag paths' negative log-likelihood, by forward-backward sums."""
+    """Loss and gradients (emissions, transitions) of the tag paths' negative log-likelihood, by forward-backward sums; e is (steps, rows, TAGS)."""
     steps, rows, _ = e.shape
-    live = mask[:, :, 0] > 0
+    live = mask > 0
     a = np.empty_like(e)
     a[0] = e[0] + _FIRST
     for t in range(1, steps):
@@ -195,7 +216,7 @@ def crf_gradient(e: np.ndarray, move: np.ndarray, tags: np.ndarray, mask: np.nda
         b[t] = np.where(live[t + 1][:, None], _log_sum(joint, 2), b[t + 1])
         chance = np.exp(a[t][:, :, None] + joint - total[:, None, None])
         pairs += (chance * live[t + 1][:, None, None]).sum(axis=0)
-    g = np.exp(a + b - total[:, None]) * mask
+    g = np.exp(a + b - total[:, None]) * mask[:, :, None]
     t, r = np.nonzero(live)
     g[t, r, tags[t, r]] -= 1
     gold = (e[t, r, tags[t, r]]).sum()
@@ -272,20 +293,16 @@ def model_spans(p: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray,
     left = np.minimum(size[owner] - at, WINDOW)
     order = np.argsort(left, kind="stable")
     move = np.where(allowed(), p["move"], _NEVER).astype(np.float32)
-    # The most that a step into, within or out of a span can gain over one outside.
-    inside = allowed().copy()
-    inside[0, 0] = False
-    gain = max(0.0, float(move[inside].max() - move[0, 0]))
     seen: dict[int, list[tuple[int, int, int, bool]]] = {}
     for k in range(0, len(order), ROWS):
         rows = order[k : k + ROWS]
         steps = np.arange(int(left[rows].max()))[:, None]
         index = np.where(steps < left[rows], code[np.minimum(off[owner[rows]] + at[rows] + steps, len(code) - 1)], OWN + 1)
         e, mask = emissions(p, index)
-        over = ((e[:, :, 1:].max(axis=2) - e[:, :, 0]) * mask[:, :, 0] + (mask[:, :, 0] - 1) * 1e6).max(axis=0)
-        ask = np.flatnonzero(over + 2 * gain > 0)
+        ask = np.flatnonzero(may_hold(e, move, mask))
         if len(ask):
-            for r, kind, a, b in runs(viterbi(e[:, ask], move, left[rows[ask]])):
+            tags = viterbi(np.ascontiguousarray(e[:, :, ask].transpose(0, 2, 1)), move, left[rows[ask]])
+            for r, kind, a, b in runs(tags):
                 w = rows[ask[r]]
                 n = int(owner[w])
                 a, b = a + int(at[w]), b + int(at[w])
@@ -388,14 +405,13 @@ def train(texts: list[str], steps: int = STEPS) -> dict[str, np.ndarray]:
         kept: dict = {}
         e, mask = emissions(p, index, kept)
         move = np.where(ok, p["move"], _NEVER).astype(np.float32)
-        _, de, pairs = crf_gradient(e, move, tags, mask)
-        de = de.astype(np.float32)
-        flat = de.reshape(-1, TAGS)
-        g = {"tag": flat.sum(axis=0), "move": pairs * ok}
+        _, de, pairs = crf_gradient(np.ascontiguousarray(e.transpose(0, 2, 1)), move, tags, mask)
+        de = np.ascontiguousarray(de.astype(np.float32).transpose(0, 2, 1))
+        g = {"tag": de.sum(axis=(0, 2)), "move": pairs * ok}
         for way, states in (("f", kept["ahead"]), ("b", kept["back"])):
-            g[f"tag_{way}"] = states.reshape(-1, HIDDEN).T @ flat
-        g |= _unread(p, "f", index, mask, kept["f"], de @ p["tag_f"].T)
-        g |= _unread(p, "b", index[::-1], mask[::-1], kept["b"], np.ascontiguousarray((de @ p["tag_b"].T)[::-1]))
+            g[f"tag_{way}"] = (states @ de.transpose(0, 2, 1)).sum(axis=0)
+        g |= _unread(p, "f", index, mask, kept["f"], p["tag_f"] @ de)
+        g |= _unread(p, "b", index[::-1], mask[::-1], kept["b"], (p["tag_b"] @ de)[::-1])
         adam.rate = RATE * (1.0 if step < 0.6 * steps else 0.25)
         adam.step(p, g)
     return p

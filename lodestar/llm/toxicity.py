@@ -29,8 +29,8 @@ WINDOW, STRIDE = 48, 32
 WORD_BUCKETS, GRAM_BUCKETS, WORD_SIZE, GRAM_SIZE = 1 << 15, 1 << 15, 6, 10
 HIDDEN, ATTENTION = 12, 8
 #: Bounds of the labelled sample: rows, and characters of a text in it.
-SAMPLE_ROWS, SAMPLE_CHARS = 6000, 3000
-STEPS, BATCH, RATE, SEED = 700, 48, 0.004, 7
+SAMPLE_ROWS, SAMPLE_CHARS = 6000, 1500
+STEPS, BATCH, RATE, SEED = 240, 96, 0.006, 7
 #: Windows that run through the network together.
 ROWS = 2048
 
