@@ -177,19 +177,26 @@ def emissions(p: dict[str, np.ndarray], index: np.ndarray, kept: dict | None = N
 
 
 def may_hold(e: np.ndarray, move: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Rows where a path other than all-outside could be best: Viterbi over two states, outside and any inside tag by its best bounds."""
+    """Rows where a path other than all-outside could be best.
+
+    Viterbi over three states (outside, any beginning, any inside), each step and score taken at its best over the
+    kinds, bounds every true path from above; scores are relative to the all-outside path.
+    """
     rel = move - move[0, 0]
-    within, into, out = float(rel[1:, 1:].max()), float(rel[0, 1:].max()), float(rel[1:, 0].max())
-    over = e[:, 1:].max(axis=1)
-    over -= e[:, 0]
-    over += (mask - 1) * 1e6
-    best = over[0].copy()
-    hold = best + max(out, 0.0) > 0
+    first, more = slice(1, TAGS, 2), slice(2, TAGS, 2)
+    most = lambda x, y: float(rel[x, y].max())
+    into, again, anew = most(slice(0, 1), first), most(first, first), most(more, first)
+    onward, within = most(first, more), most(more, more)
+    out_first, out_more = max(most(first, slice(0, 1)), 0.0), max(most(more, slice(0, 1)), 0.0)
+    pad = (mask - 1) * 1e6 - e[:, 0]
+    begin = e[:, first].max(axis=1) + pad
+    inside = e[:, more].max(axis=1) + pad
+    b = begin[0].copy()
+    i = np.full_like(b, _NEVER)
+    hold = b + out_first > 0
     for t in range(1, len(e)):
-        best += within
-        np.maximum(best, into, out=best)
-        best += over[t]
-        hold |= best > min(-out, 0.0)
+        i, b = np.maximum(b + onward, i + within) + inside[t], np.maximum(np.maximum(b + again, i + anew), max(into, 0.0)) + begin[t]
+        hold |= (b + out_first > 0) | (i + out_more > 0)
     return hold
 
 
