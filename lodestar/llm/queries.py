@@ -65,5 +65,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: Exact Jaccard over shared shingles, and the classes by transitive closure.
+JACCARD_SQL = """with recursive w as (select doc_id, coalesce(text, '') as text, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') as t from documents),
+s as (select distinct doc_id, unnest(case when len(t) = 0 then [] when len(t) < 5 then [array_to_string(t, ' ')] else list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')) end) as g from w),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as i from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where i >= 0.8 * (a.n + b.n - i) union select a.doc_id, b.doc_id from w a join w b on a.text = b.text and a.doc_id <> b.doc_id),
+r as (select x, y from l union select r.x, l.y from r join l on r.y = l.x),
+c as (select x, least(x, min(y)) as class_id from r group by 1), k as (select x, count(*) as n_links from l group by 1)
+select doc_id, coalesce(class_id, doc_id) as class_id, coalesce(n_links, 0) as n_links from documents left join c on c.x = doc_id left join k on k.x = doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_jaccard_join": JACCARD_SQL}
