@@ -24,7 +24,7 @@ def main() -> None:
     took = {}
     for name in HEADLINE:
         runs = []
-        for _ in range(2):
+        while len(runs) < 2 and sum(runs) < 20:  # a long query runs once
             began = time.time()
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.time() - began)
