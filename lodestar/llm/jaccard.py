@@ -31,8 +31,11 @@ from lodestar.llm.words import mix, split_words, windows
 
 _U = np.uint64
 SHINGLE, THRESHOLD = 5, 0.8
-#: Chance that a pair at the threshold meets in some run's last level; levels; most sets of a bucket that is not split.
-RECALL, DEPTH, SMALL = 0.9999, 3, 64
+#: Chance that a pair at the threshold meets in some run's last level; levels; most sets of a bucket that is not split
+#: (a task compares that many sketches of 32 bytes in about a second).
+RECALL, DEPTH, SMALL = 0.9999, 3, 5000
+#: Groups up to this size are compared together, at every distance; larger ones row by row.
+TOGETHER = 128
 #: Sets a side of one comparison task.
 BLOCK = 1500
 #: Equal min-hashes, of 64, that make a candidate: 4.5 standard deviations under the threshold's mean.
@@ -181,7 +184,7 @@ def _matrix(column) -> np.ndarray:
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning trees of the candidate pairs of each bucket block, as (a, b) of nodes."""
     for table in _groups(batches, ["bucket", "i", "j"]):
-        bucket, i, j, side, node = (table.column(c).to_numpy() for c in ("bucket", "i", "j", "side", "node"))
+        bucket, i, j, node = (table.column(c).to_numpy() for c in ("bucket", "i", "j", "node"))
         marks = _matrix(table.column("sketch"))
         cut = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
         first = np.concatenate([[0], cut])
@@ -190,13 +193,13 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         left, right = [], []
         place = np.arange(len(bucket))
         # Pairs at distance d inside their group, all small groups at once.
-        small = np.repeat(size <= 4 * SMALL, size)
-        for d in range(1, int(size[size <= 4 * SMALL].max(initial=1))):
+        small = np.repeat(size <= TOGETHER, size)
+        for d in range(1, int(size[size <= TOGETHER].max(initial=1))):
             a = place[small & (place + d < end)]
             ok = 64 - unequal(marks[a], marks[a + d]) >= EQUAL
             left.append(a[ok])
             right.append(a[ok] + d)
-        for at, n in zip(first[size > 4 * SMALL].tolist(), size[size > 4 * SMALL].tolist(), strict=True):
+        for at, n in zip(first[size > TOGETHER].tolist(), size[size > TOGETHER].tolist(), strict=True):
             own = marks[at : at + n]
             label = np.arange(n)
             for k in range(n - 1):
@@ -213,7 +216,6 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             right.append(at + root)
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         parent = tree(labels_of(len(node), a, b), node)
-        del side
         far = np.flatnonzero(parent != node)
         if len(far):
             yield pa.RecordBatch.from_arrays([pa.array(node[far], pa.int64()), pa.array(parent[far], pa.int64())], names=["a", "b"])
@@ -323,8 +325,8 @@ def join(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, recall
     for x in leaves[1:]:
         met = met.unionByName(x)
     met = met.join(made.select("node", "sketch"), "node")
-    dealt = blocked(met, "bucket", "n", BLOCK).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-    edges = dealt.select("bucket", "i", "j", "side", "node", "sketch").mapInArrow(_bucket_edges, "a long, b long").distinct()
+    dealt = blocked(met, "bucket", "n", SMALL).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    edges = dealt.select("bucket", "i", "j", "node", "sketch").mapInArrow(_bucket_edges, "a long, b long").distinct()
     found = components(edges)
     size = found.groupBy("label").agg(F.count("*").alias("n"))
     picked = checkpointed(found.join(size, "label").join(nodes, "node").select("node", "first_id", "copies", F.col("label").alias("comp"), "n"), "candidates")
