@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodestar.plans import inputs, ranking, relational, texts, verify
+from lodestar.plans import entities, inputs, ranking, relational, texts, verify
 from lodestar.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = [relational, texts, ranking, verify, inputs]
+MODULES = [relational, texts, ranking, verify, entities, inputs]
 
 
 def queries() -> dict[str, Query]:
