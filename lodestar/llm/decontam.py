@@ -26,7 +26,7 @@ BROADCAST_WINDOWS = 500_000
 UNITS = "kg g mg lb lbs oz km m cm mm mi ft yd in l ml gal s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years mph kph percent % usd eur dollars dollar euros euro cents cent degrees degree hz khz mhz ghz kb mb gb tb w kw v a n j".split()
 
 #: Capitalised words after a word or comma and a blank are taken as names.
-_NAME = r"(?<=[\p{L}\p{N},;)]\x20)(\p{Lu}\p{Ll}+)"
+_NAME = r"(\p{Lu}(?<=[\p{L}\p{N},;)]\x20\p{Lu})\p{Ll}+)"
 _NOISE = r"[^\p{L}\p{N}\x01.,%]+|[.,](?!\p{N})|(?<!\p{N})[.,]|(?<!\p{N})%"
 
 
@@ -41,32 +41,45 @@ def _digit(w: Column) -> Column:
     return F.ascii(w).between(48, 57)
 
 
-def template(words: Column) -> Column:
-    """Structs of key (word or placeholder) and slot (the value of a placeholder, else null)."""
+def _placeholder(w: Column) -> Column:
+    return (F.ascii(w) == 1) | _digit(w)
 
-    def one(w: Column, i: Column) -> Column:
-        name, number = F.ascii(w) == 1, _digit(w)
-        unit = w.isin(UNITS) & (i > 0) & F.coalesce(_digit(F.get(words, i - 1)), F.lit(False))
-        key = F.when(name, "\u0001name").when(number, "\u0001number").when(unit, "\u0001unit").otherwise(w)
-        return F.struct(F.xxhash64(key).alias("key"), F.when(name | number | unit, w).alias("slot"))
 
-    return F.transform(words, one)
+def template(words: Column, plain: Column) -> tuple[Column, Column]:
+    """Hashes of the template's words, and the values of its placeholders (null for a literal word).
+
+    A text without names and numbers has no placeholders, as units follow numbers; its words are hashed as they are.
+    """
+
+    def unit(w: Column, i: Column) -> Column:
+        return w.isin(UNITS) & (i > 0) & F.coalesce(_digit(F.get(words, i - 1)), F.lit(False))
+
+    def key(w: Column, i: Column) -> Column:
+        return F.xxhash64(F.when(F.ascii(w) == 1, "\u0001name").when(_digit(w), "\u0001number").when(unit(w, i), "\u0001unit").otherwise(w))
+
+    def slot(w: Column, i: Column) -> Column:
+        return F.when(_placeholder(w) | unit(w, i), w)
+
+    keys = F.when(plain, F.transform(words, lambda w: F.xxhash64(w))).otherwise(F.transform(words, key))
+    return keys, F.when(~plain, F.transform(words, slot))
 
 
 def windows(df: DataFrame, keys: list[str], text: str, sizes: list[int]) -> DataFrame:
     """One row a window: keys, n (words), pos, hash, slots."""
-    base = df.select(*keys, tokens(F.col(text)).alias("w")).select(*keys, F.size("w").alias("n"), template(F.col("w")).alias("t"))
-    base = base.select(*keys, "n", F.col("t.key").alias("k"), F.col("t.slot").alias("s"))
+    base = df.select(*keys, tokens(F.col(text)).alias("w"))
+    base = base.select(*keys, "w", F.size("w").alias("n"), (~F.exists("w", _placeholder)).alias("plain"))
+    k, s = template(F.col("w"), F.col("plain"))
+    base = base.select(*keys, "n", "plain", k.alias("k"), s.alias("s"))
+    none = F.array().cast("array<string>")
 
     def of(size: int) -> Column:
         def one(i: Column) -> Column:
-            slots = F.filter(F.slice("s", i, size), lambda v: v.isNotNull())
+            slots = F.when(F.col("plain"), none).otherwise(F.filter(F.slice("s", i, size), lambda v: v.isNotNull()))
             return F.struct(i.alias("pos"), F.xxhash64(F.lit(size), F.slice("k", i, size)).alias("hash"), slots.alias("slots"))
 
-        places = F.sequence(F.lit(1), F.col("n") - size + 1)
-        made = F.filter(F.transform(places, one), lambda x: size - F.size(x["slots"]) >= LITERAL * size)
-        none = F.array().cast("array<struct<pos:int,hash:bigint,slots:array<string>>>")
-        return F.when(F.col("n") >= size, made).otherwise(none)
+        made = F.transform(F.sequence(F.lit(1), F.col("n") - size + 1), one)
+        kept = F.when(F.col("plain"), made).otherwise(F.filter(made, lambda x: size - F.size(x["slots"]) >= LITERAL * size))
+        return F.when(F.col("n") >= size, kept).otherwise(F.array().cast("array<struct<pos:int,hash:bigint,slots:array<string>>>"))
 
     rows = base.select(*keys, "n", F.explode(F.concat(*[of(s) for s in sizes]) if len(sizes) > 1 else of(sizes[0])).alias("x"))
     return rows.select(*keys, "n", "x.pos", "x.hash", "x.slots")
