@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.llm.shared import fold, raw_text, text_chunks
 from lodestar.llm.words import _BYTE, _LOWER, span_hashes, split_words
@@ -30,7 +31,8 @@ WORD_BUCKETS, GRAM_BUCKETS, WORD_SIZE, GRAM_SIZE = 1 << 15, 1 << 15, 6, 10
 HIDDEN, ATTENTION = 12, 8
 #: Bounds of the labelled sample: rows, and characters of a text in it.
 SAMPLE_ROWS, SAMPLE_CHARS = 6000, 1500
-STEPS, BATCH, RATE, SEED = 240, 96, 0.006, 7
+DROP_WORDS, DROP_GRAMS, LEAST_TEXTS = 0.5, 0.25, 3
+STEPS, EPOCHS, BATCH, RATE, SEED = 240, 6, 96, 0.006, 7
 #: Windows that run through the network together.
 ROWS = 2048
 
@@ -60,19 +62,26 @@ class Words:
         self.gram = (gram >> np.uint64(7)).astype(np.int64) % GRAM_BUCKETS
         self.first = np.searchsorted(self.owner, np.arange(self.n))
         self.scale = 1 / np.sqrt(np.maximum(np.bincount(self.owner, minlength=self.n), 1)).astype(np.float32)
+        self.word_gain, self.gram_gain = np.ones(self.n, np.float32), np.ones(len(self.gram), np.float32)
+
+    def drop(self, rng: np.random.Generator, often: tuple[np.ndarray, np.ndarray]) -> None:
+        """Leaves out vectors of words and grams that few texts have, and others at random, so that training leans on what texts share."""
+        self.word_gain = ((rng.random(self.n) >= DROP_WORDS) & often[0][self.bucket]).astype(np.float32) / (1 - DROP_WORDS)
+        self.gram_gain = ((rng.random(len(self.gram)) >= DROP_GRAMS) & often[1][self.gram]).astype(np.float32) / (1 - DROP_GRAMS)
 
     def inputs(self, p: dict[str, np.ndarray]) -> np.ndarray:
         """One row a distinct word, and a last row of zeros for padding."""
         out = np.zeros((self.n + 1, WORD_SIZE + GRAM_SIZE), np.float32)
         if self.n:
-            out[:-1, :WORD_SIZE] = p["words"][self.bucket]
-            out[:-1, WORD_SIZE:] = np.add.reduceat(p["grams"][self.gram], self.first, axis=0) * self.scale[:, None]
+            out[:-1, :WORD_SIZE] = p["words"][self.bucket] * self.word_gain[:, None]
+            out[:-1, WORD_SIZE:] = np.add.reduceat(p["grams"][self.gram] * self.gram_gain[:, None], self.first, axis=0) * self.scale[:, None]
         return out
 
 
 def start(rng: np.random.Generator) -> dict[str, np.ndarray]:
     d = WORD_SIZE + GRAM_SIZE
-    p = {"words": rng.normal(0, 0.1, (WORD_BUCKETS, WORD_SIZE)), "grams": rng.normal(0, 0.1, (GRAM_BUCKETS, GRAM_SIZE))}
+    # Words and grams that training never meets stay zero and say nothing.
+    p = {"words": np.zeros((WORD_BUCKETS, WORD_SIZE)), "grams": np.zeros((GRAM_BUCKETS, GRAM_SIZE))}
     for way in "fb":
         p[f"in_{way}"] = rng.normal(0, d**-0.5, (d, 3 * HIDDEN))
         p[f"bias_{way}"] = np.zeros(3 * HIDDEN)
@@ -166,8 +175,8 @@ def backward(p: dict[str, np.ndarray], words: Words, x: np.ndarray, index: np.nd
         g[f"bias_{way}"] = side.sum(axis=0)
         dx[own] += side @ p[f"in_{way}"].T
     dx = dx[:-1]
-    g["words"] = _by_row(words.bucket, dx[:, :WORD_SIZE])
-    g["grams"] = _by_row(words.gram, (dx[:, WORD_SIZE:] * words.scale[:, None])[words.owner])
+    g["words"] = _by_row(words.bucket, dx[:, :WORD_SIZE] * words.word_gain[:, None])
+    g["grams"] = _by_row(words.gram, (dx[:, WORD_SIZE:] * words.scale[:, None])[words.owner] * words.gram_gain[:, None])
     return g
 
 
@@ -197,6 +206,16 @@ def _texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return raw_text(pa.array(texts, pa.large_string()))
 
 
+def common(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and of grams that at least LEAST_TEXTS texts have."""
+    seen = np.zeros(WORD_BUCKETS, np.int32), np.zeros(GRAM_BUCKETS, np.int32)
+    for text in texts:
+        w = Words(*_texts([text]))
+        for count, own in zip(seen, (w.bucket, w.gram), strict=True):
+            count[np.unique(own)] += 1
+    return seen[0] >= LEAST_TEXTS, seen[1] >= LEAST_TEXTS
+
+
 def train(texts: list[str], labels: list[int], steps: int = STEPS) -> dict[str, np.ndarray]:
     """Fits the network to whole texts; without both labels it is a constant."""
     rng = np.random.default_rng(SEED)
@@ -209,16 +228,21 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS) -> dict[str,
         return p
     adam = Adam(p, RATE)
     n = len(texts)
+    often = common(texts)
+    # Small samples take small batches and few epochs.
+    batch = min(BATCH, max(8, n // 40))
+    steps = min(steps, -(-EPOCHS * n // batch))
     # Texts of like length share a batch; batches come in random order.
     size = np.array([len(t) for t in texts])
     queue: list[np.ndarray] = []
     for step in range(steps):
         if not queue:
             order = np.argsort(size + rng.uniform(0, 200, n))
-            queue = [order[k : k + BATCH] for k in range(0, n, BATCH)]
+            queue = [order[k : k + batch] for k in range(0, n, batch)]
             rng.shuffle(queue)  # type: ignore[arg-type]
         rows = queue.pop()
         words = Words(*_texts([texts[i] for i in rows]))
+        words.drop(rng, often)
         x = words.inputs(p)
         index = layout(words, len(rows))
         kept: dict = {}
@@ -274,7 +298,7 @@ def sample(df: DataFrame, labels: DataFrame, text: str = "text", rows: int = SAM
 def score(df: DataFrame, model: dict[str, np.ndarray], text: str = "text") -> DataFrame:
     """All columns of df and the column toxic_score (0 to 1), without a shuffle. A column of that name is replaced."""
     df = df.drop("toxic_score")
-    schema = df.schema.add("toxic_score", "double")
+    schema = T.StructType([*df.schema.fields, T.StructField("toxic_score", T.DoubleType())])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
