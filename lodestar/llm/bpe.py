@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.llm.pieces import Encoder, class_table, read_table
 from lodestar.llm.shared import raw_text, text_chunks
@@ -179,7 +180,7 @@ def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> D
     """Adds the token ids of each text as an array<int> column; all columns stay. An existing column `into` is replaced."""
     table = _table(path)
     df = df.drop(into) if into in df.columns and into != text else df
-    schema = df.schema.add(into, "array<int>")
+    schema = T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +197,7 @@ def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> D
 def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Adds the text of each array of ids; bytes that are not UTF-8 become U+FFFD. Null ids decode to the empty text."""
     table = _table(path)
-    schema = df.schema.add(into, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(into, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, raw = _encoder(path, table)
