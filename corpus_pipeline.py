@@ -16,17 +16,19 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import bpe, decontam, jaccard, secrets, toxicity
 from lodestar.llm.queries import BYTE_BPE
-from lodestar.llm.shared import shared_dir
+from lodestar.llm.shared import shared_dir, small_batches
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that score 0.5 or more go."""
+    small_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).filter(F.col("toxic_score") < 0.5).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: of each group of near duplicates the document of least id stays."""
+    small_batches(spark)
     return jaccard.one_of_each(docs)
 
 
@@ -47,6 +49,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: the token ids of each text, in place of the text."""
+    small_batches(spark)
     coded = bpe.encode(docs, public_tokenizers.path(BYTE_BPE))
     return coded.withColumn("n_tokens", F.size("ids").cast("long")).drop("text")
 

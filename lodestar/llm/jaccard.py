@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import checkpointed, raw_text, text_chunks
+from lodestar.llm.shared import checkpointed, raw_text, release, text_chunks
 from lodestar.llm.words import mix, split_words, windows
 
 _U = np.uint64
@@ -175,6 +175,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         held = [batch.slice(lo)]
     if held:
         yield pa.Table.from_batches(held)
+    release()
 
 
 def _matrix(column) -> np.ndarray:

@@ -6,6 +6,8 @@ through, and extra columns of the input are ignored because only named columns a
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a Python worker; a longer single text is handled alone.
 CHUNK_BYTES = 2_000_000
+#: Rows of an Arrow batch.
+ROWS = 1000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -103,6 +107,14 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
             to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
+
+
+def release() -> None:
+    """Hands freed memory back to the system, as an idle worker of a finished stage would keep it from the next one."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +126,13 @@ def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ROWS rows, so that batches of long texts stay small on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
