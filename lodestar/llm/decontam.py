@@ -5,7 +5,9 @@ typed placeholders, all else into lower-case words without punctuation. Windows
 are joined by hash with the windows of the benchmark items. A matching window carries the values that
 stood in its placeholders. An item is found in a document where enough of its windows match and each
 item value always meets one document value (the same question with other numbers or names), or where
-enough windows match with equal values (the same question).
+enough windows match with equal values (the same question). The first is tested in the document as a whole
+and in each alignment of item and document, alone and with its neighbours (for words put in or left out),
+so that other variants or stray windows in the document do not hide one.
 
 Edges: a null text is empty and has no windows; an item of fewer than LEAST_WORDS words is too short to
 tell and never matches; an item shorter than a window is one window of its own length; repeated rows
@@ -85,6 +87,16 @@ def windows(df: DataFrame, keys: list[str], text: str, sizes: list[int]) -> Data
     return rows.select(*keys, "n", "x.pos", "x.hash", "x.slots")
 
 
+def _groups(window: int) -> Column:
+    """Groups (kind, at) of matches that may be one occurrence of the item: all of the document, those of one
+    alignment, and two bands of near alignments, so that matches up to half a band apart share one of them."""
+    at = F.col("pos") - F.col("item_pos")
+    band = F.greatest(F.lit(window), F.expr("item_n div 2").cast("int"))
+    step = F.expr(f"greatest({window}, item_n div 2) div 2").cast("int")
+    kinds = [F.lit(0), at, F.floor(at / band), F.floor((at + step) / band)]
+    return F.array(*(F.struct(F.lit(k).alias("kind"), v.cast("long").alias("at")) for k, v in enumerate(kinds)))
+
+
 def contaminated(df: DataFrame, benchmark: DataFrame, keys: list[str] | None = None, text: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """Rows of (keys, item_id) found: windows, matched, exact (longs), coverage (double), reparameterised (boolean)."""
     keys = keys or ["doc_id"]
@@ -102,15 +114,21 @@ def contaminated(df: DataFrame, benchmark: DataFrame, keys: list[str] | None = N
     seen = windows(df, keys, text, sizes).drop("n")
     small = count <= BROADCAST_WINDOWS
     hit = seen.join(F.broadcast(own) if small else own, "hash")
-    # Pairs of values are few: at most a window's words, and equal windows of a document merge here.
+    # Pairs of values are few: at most a window's words, and equal windows of a group merge here.
     pairs = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
-    met = hit.groupBy(*keys, "item_id", "item_pos").agg(F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.max((F.col("slots") == F.col("item_slots")).cast("int")).alias("same"))
-    found = met.groupBy(*keys, "item_id").agg(F.count("*").alias("matched"), F.sum("same").alias("exact"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    same = (F.col("slots") == F.col("item_slots")).cast("int")
+    hit = hit.select(*keys, "item_id", "item_pos", pairs.alias("pairs"), same.alias("same"), F.explode(_groups(window)).alias("group"))
+    met = hit.groupBy(*keys, "item_id", "group", "item_pos").agg(F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.max("same").alias("same"))
+    found = met.groupBy(*keys, "item_id", "group").agg(F.count("*").alias("matched"), F.sum("same").alias("exact"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     one_to_one = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")
     found = found.join(F.broadcast(total) if small else total, "item_id")
+    varied = one_to_one & (F.col("matched") / F.col("windows") >= coverage)
+    # The counts are those of the whole document, the group in which all matches are.
+    whole = F.col("group.kind") == 0
+    found = found.groupBy(*keys, "item_id", "windows").agg(F.max(F.when(whole, F.col("matched"))).alias("matched"), F.max(F.when(whole, F.col("exact"))).alias("exact"), F.max(varied).alias("varied"))
     share = F.col("matched") / F.col("windows")
     exact = F.col("exact") / F.col("windows")
-    kept = found.filter((exact >= coverage) | (one_to_one & (share >= coverage)))
+    kept = found.filter((exact >= coverage) | F.col("varied"))
     return kept.select(*keys, F.col("item_id").cast("long"), "windows", "matched", F.col("exact").cast("long"), share.alias("coverage"), (exact < coverage).alias("reparameterised"))
 
 

@@ -78,6 +78,20 @@ def test_decontamination(spark):
     assert {3, 5} <= {r.doc_id for r in left.collect()}
 
 
+def test_decontamination_by_occurrence(spark):
+    item = "A train leaves the station at 9 km per hour and then Anna counts 12 red apples before she eats 3 of them on Monday evening while 9 birds watch Anna and the other 12 riders"
+    one, two = (item.replace("9", a).replace("12", b).replace("Anna", c) for a, b, c in (("45", "88", "Boris"), ("46", "77", "Clara")))
+    stray = "the station at 7 km per hour and then"
+    longer = one.replace("red apples", "very red apples")
+    filler = " ".join(f"word{k % 89}x of the text" for k in range(4000))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, f"Lead {one} and {two} tail"), (2, f"{stray} {filler} {one} tail"), (3, f"{longer} {filler} {two.replace('birds', 'grey birds')}"), (4, stray)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in decontam.contaminated(df, bench).collect()}
+    assert set(got) == {1, 2, 3} and all(r.reparameterised for r in got.values())
+    assert [r.doc_id for r in decontam.clean(df, bench).collect()] == [4]
+
+
 def test_decontamination_finds_planted_items(spark, sf_dir, docs):
     bench = {r.item_id: r.text.lower().split() for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     whole = {(i, k) for i, t in docs.items() for k, w in bench.items() if " ".join(w) in " ".join(t.lower().split())}
