@@ -67,7 +67,7 @@ def template(words: Column, plain: Column) -> tuple[Column, Column]:
 
 
 def windows(df: DataFrame, keys: list[str], text: str, sizes: list[int]) -> DataFrame:
-    """One row a window: keys, n (words), pos, hash, slots."""
+    """One row a window: keys, n (words), size, pos, hash, slots."""
     base = df.select(*keys, tokens(F.col(text)).alias("w"))
     base = base.select(*keys, "w", F.size("w").alias("n"), (~F.exists("w", _placeholder)).alias("plain"))
     k, s = template(F.col("w"), F.col("plain"))
@@ -77,14 +77,14 @@ def windows(df: DataFrame, keys: list[str], text: str, sizes: list[int]) -> Data
     def of(size: int) -> Column:
         def one(i: Column) -> Column:
             slots = F.when(F.col("plain"), none).otherwise(F.filter(F.slice("s", i, size), lambda v: v.isNotNull()))
-            return F.struct(i.alias("pos"), F.xxhash64(F.lit(size), F.slice("k", i, size)).alias("hash"), slots.alias("slots"))
+            return F.struct(F.lit(size).alias("size"), i.alias("pos"), F.xxhash64(F.lit(size), F.slice("k", i, size)).alias("hash"), slots.alias("slots"))
 
         made = F.transform(F.sequence(F.lit(1), F.col("n") - size + 1), one)
         kept = F.when(F.col("plain"), made).otherwise(F.filter(made, lambda x: size - F.size(x["slots"]) >= LITERAL * size))
-        return F.when(F.col("n") >= size, kept).otherwise(F.array().cast("array<struct<pos:int,hash:bigint,slots:array<string>>>"))
+        return F.when(F.col("n") >= size, kept).otherwise(F.array().cast("array<struct<size:int,pos:int,hash:bigint,slots:array<string>>>"))
 
     rows = base.select(*keys, "n", F.explode(F.concat(*[of(s) for s in sizes]) if len(sizes) > 1 else of(sizes[0])).alias("x"))
-    return rows.select(*keys, "n", "x.pos", "x.hash", "x.slots")
+    return rows.select(*keys, "n", "x.size", "x.pos", "x.hash", "x.slots")
 
 
 def _groups(window: int) -> Column:
@@ -106,12 +106,12 @@ def contaminated(df: DataFrame, benchmark: DataFrame, keys: list[str] | None = N
     sizes = sorted({r[0] for r in items.select(F.least(F.size(tokens(F.col("item_text"))), F.lit(window)).alias("n")).distinct().collect()})
     if not sizes:
         return spark.createDataFrame([], df.select(*keys).schema.add("item_id", "long").add("windows", "long").add("matched", "long").add("exact", "long").add("coverage", "double").add("reparameterised", "boolean"))
-    own = windows(items, ["item_id"], "item_text", sizes).filter("n >= 0").select("item_id", F.col("n").alias("item_n"), F.col("pos").alias("item_pos"), F.col("hash"), F.col("slots").alias("item_slots"))
     # A window of another size than the item's own would only repeat what its own windows say.
+    own = windows(items, ["item_id"], "item_text", sizes).filter(F.col("size") == F.least("n", F.lit(window))).select("item_id", F.col("n").alias("item_n"), F.col("pos").alias("item_pos"), F.col("hash"), F.col("slots").alias("item_slots"))
     own = own.groupBy("item_id", "item_n", "item_pos", "hash").agg(F.first("item_slots").alias("item_slots"))
     count = own.count()
     total = own.groupBy("item_id").agg(F.countDistinct("item_pos").alias("windows"))
-    seen = windows(df, keys, text, sizes).drop("n")
+    seen = windows(df, keys, text, sizes).drop("n", "size")
     small = count <= BROADCAST_WINDOWS
     hit = seen.join(F.broadcast(own) if small else own, "hash")
     # Pairs of values are few: at most a window's words, and equal windows of a group merge here.

@@ -92,6 +92,18 @@ def test_decontamination_by_occurrence(spark):
     assert [r.doc_id for r in decontam.clean(df, bench).collect()] == [4]
 
 
+def test_decontamination_of_short_and_long_items(spark):
+    item = "the old miller walks along the river bank until evening comes and then he counts every sack of flour before the village children run home"
+    w = item.split()
+    runs = " filler words stand between ".join(" ".join(w[k : k + 5]) for k in range(0, len(w) - 4, 3))
+    bench = spark.createDataFrame([(1, item), (2, "seven swans swim so slowly")], "item_id long, text string")
+    rows = [(1, runs), (2, f"lead {item} tail"), (3, "we saw seven swans swim so slowly there")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.windows, r.matched) for r in decontam.contaminated(df, bench).collect()}
+    assert got == {(2, 1): (len(w) - 7, len(w) - 7), (3, 2): (1, 1)}
+    assert {r.doc_id for r in decontam.clean(df, bench).collect()} == {1}
+
+
 def test_decontamination_finds_planted_items(spark, sf_dir, docs):
     bench = {r.item_id: r.text.lower().split() for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     whole = {(i, k) for i, t in docs.items() for k, w in bench.items() if " ".join(w) in " ".join(t.lower().split())}
