@@ -104,6 +104,17 @@ def test_decontamination_of_short_and_long_items(spark):
     assert {r.doc_id for r in decontam.clean(df, bench).collect()} == {1}
 
 
+def test_decontamination_of_items_of_placeholders(spark):
+    sums = "17 + 25 = 42 and 18 + 36 = 54 then 91 - 12 = 79 or 64 / 16 = 4"
+    title = "Which of Alice Brown, Carol Davis, Edward Foster, Grace Hughes, Isaac Jones Wrote Paradise Lost"
+    bench = spark.createDataFrame([(1, sums), (2, title)], "item_id long, text string")
+    rows = [(1, f"A table follows: {sums}, as said"), (2, f"We ask: {title}?"), (3, "Say 11 + 22 = 33 and 44 + 55 = 99 then 87 - 21 = 66 or 72 / 12 = 6"), (4, "Is it Henry Miles, Jacob Norris, Kate Olsen, Laura Price, Martin Quinn, Nora Reed"), (5, f"it said {title.lower()} today")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(df, bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (5, 2)} and not any(r.reparameterised for r in got.values())
+    assert sorted(r.doc_id for r in decontam.clean(df, bench).collect()) == [3, 4]
+
+
 def test_decontamination_finds_planted_items(spark, sf_dir, docs):
     bench = {r.item_id: r.text.lower().split() for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     whole = {(i, k) for i, t in docs.items() for k, w in bench.items() if " ".join(w) in " ".join(t.lower().split())}
