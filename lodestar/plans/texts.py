@@ -167,14 +167,34 @@ def text_page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.char_length("p.text").alias("n_text"), F.size("p.links").alias("n_links"), "p.lead")
 
 
+def alias_pairs(p: DataFrame, least: int = 92) -> DataFrame:
+    """Pairs of names (p_name, p_partkey) whose ratio is at least `least`, of the lesser id first.
+
+    Lossless filter: two texts of n and m characters with that ratio are at most d = (100 - least)(n + m) / 100 insertions
+    and deletions apart, so that of d + 1 pieces of the shorter text one at least stands unchanged in the other, moved by d at most.
+    """
+    words = F.array_sort(F.filter(F.split(F.lower("p_name"), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != ""))
+    p = p.groupBy("p_name").agg(F.min("p_partkey").alias("id")).select("id", "p_name", F.array_join(words, " ").alias("name"))
+    p = p.withColumn("size", F.char_length("name"))
+    more, less = 200 - least, least
+    pieces = ["n", "m", "i", "piece"]
+
+    def cut(df: DataFrame) -> DataFrame:
+        df = df.withColumn("d", F.expr(f"int({100 - least} * (n + m) div 100)")).withColumn("i", F.explode(F.expr("sequence(0, d)")))
+        return df.withColumn("at", F.expr("int(i * n div (d + 1))")).withColumn("len", F.expr("int((i + 1) * n div (d + 1)) - at"))
+
+    short = cut(p.select("*", F.col("size").alias("n"), F.explode(F.expr(f"sequence(size, int({more} * size div {less}))")).alias("m")))
+    short = short.select(*pieces[:3], F.expr("substring(name, at + 1, len)").alias("piece"), F.struct("id", "p_name", "name").alias("a"))
+    long = cut(p.select("*", F.col("size").alias("m"), F.explode(F.expr(f"sequence(int(({less} * size + {more - 1}) div {more}), size)")).alias("n")))
+    long = long.withColumn("at", F.explode(F.expr("sequence(greatest(0, at - d), least(at + d, m - len))")))
+    long = long.select(*pieces[:3], F.expr("substring(name, at + 1, len)").alias("piece"), F.struct("id", "p_name", "name").alias("b"))
+    met = short.join(long, pieces).filter("a.id <> b.id or a.p_name <> b.p_name")
+    near = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    scored = near.select(F.col("a.id").alias("left"), F.col("b.id").alias("right"), text.token_sort_ratio(F.col("a.name"), F.col("b.name")).alias("ratio"))
+    return scored.filter(F.col("ratio") >= least)
+
+
 @query()
 def text_fuzzy_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of names alike by their sorted words. Names meet inside blocks of their longest word, so no pair of unlike names is formed."""
-    words = F.array_sort(F.array_distinct(F.split(F.lower("p_name"), " ")))
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    p = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id"))
-    p = p.select("id", F.lower("p_name").alias("name"), longest.alias("block"))
-    a, b = p.alias("a"), p.alias("b")
-    near = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.name") < F.col("b.name")) & (F.abs(F.length("a.name") - F.length("b.name")) <= 6))
-    scored = near.select(F.col("a.id").alias("left"), F.col("b.id").alias("right"), text.token_sort_ratio(F.col("a.name"), F.col("b.name")).alias("ratio"))
-    return scored.filter("ratio >= 92")
+    """Pairs of names alike by their sorted words. Names meet where they share a piece that no pair alike can lack."""
+    return alias_pairs(table(spark, sf_dir, "part"))
