@@ -3,7 +3,8 @@
 The network tags each character (outside, or the beginning or inside of one of four kinds). Texts of any
 length are cut into overlapping windows; each window's best tag path comes from Viterbi search. A window
 skips the search only where a bound proves the all-outside path best. Spans seen by several windows are
-reconciled over the whole text: a span cut by a window's edge gives way to what another window saw whole.
+reconciled over the whole text: a span cut by a window's edge gives way to what another window saw whole,
+and cut spans of one kind that overlap are joined.
 A plain check of digits and parts follows, and model spans join the pattern spans they do not touch.
 
 Training: labelled spans in a bounded sample of the corpus, both those that the patterns find and spans
@@ -29,8 +30,8 @@ from lodestar.llm.toxicity import Adam
 
 KINDS = ["email", "ip", "card", "phone"]
 TAGS = 1 + 2 * len(KINDS)
-#: Characters of a window, and the shared part of two neighbours; the longest forms fit into the overlap.
-WINDOW, OVERLAP = 128, 44
+#: Characters of a window, and the shared part of two neighbours; the longest made forms (58) and some context fit into the overlap.
+WINDOW, OVERLAP = 128, 64
 HIDDEN = 10
 #: Code points below have an input of their own; the last two inputs are other characters and padding.
 OWN = 256
@@ -285,6 +286,18 @@ def plausible(kind: int, text: str) -> bool:
     return 8 <= len(digits) <= 15 and len(text) >= 9
 
 
+def stitched(found: list[tuple[int, int, int, bool]]) -> list[tuple[int, int, int, bool]]:
+    """Spans longer than the overlap: cut spans of one kind that overlap, joined."""
+    out, last = [], None
+    for kind, a, b, _ in sorted(x for x in set(found) if x[3]):
+        if last and last[0] == kind and a < last[2]:
+            last = (kind, last[1], max(b, last[2]), True)
+            out.append(last)
+        else:
+            last = (kind, a, b, True)
+    return out
+
+
 def model_spans(p: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """Reconciled (kind, start, end) of each text."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
@@ -317,6 +330,7 @@ def model_spans(p: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray,
                 seen.setdefault(n, []).append((kind, a, b, bool(cut)))
     for n, found in seen.items():
         taken: list[tuple[int, int, int]] = []
+        found += [x for x in stitched(found) if plausible(x[0], texts[n][x[1] : x[2]])]
         # Whole views first, longer ones before shorter, then by place.
         for kind, a, b, _ in sorted(set(found), key=lambda x: (x[3], x[1] - x[2], x[1])):
             if all(b <= y or a >= z for _, y, z in taken):

@@ -140,6 +140,22 @@ def test_pii_patterns(docs):
         assert pii.base_spans(t) == _pii(t)
 
 
+def test_pii_long_spans_at_every_offset(monkeypatch):
+    def viterbi(e, move, length):
+        inside = (e[:, :, 0] != ord("#")) & (e[:, :, 0] <= pii.OWN)
+        first = inside & ~np.vstack([np.zeros((1, inside.shape[1]), bool), inside[:-1]])
+        return np.where(first, 1, np.where(inside, 2, 0))
+
+    monkeypatch.setattr(pii, "emissions", lambda p, index: (index[:, None, :], index <= pii.OWN))
+    monkeypatch.setattr(pii, "may_hold", lambda e, move, mask: np.ones(e.shape[2], bool))
+    monkeypatch.setattr(pii, "viterbi", viterbi)
+    made = "aaaaaaa.bbbbbbb [at] mail1 [dot] ccccccc [dot] co [dot] uk"
+    for put in (made, "a" * 90 + made, "a" * 300 + made):
+        texts = ["#" * k + put + "#" * 300 for k in range(200)]
+        got = pii.model_spans(pii.start(np.random.default_rng(1)), *raw_text(arrow(texts)), texts)
+        assert got == [[(0, k, k + len(put))] for k in range(200)]
+
+
 @pytest.fixture(scope="module")
 def tagger(docs):
     return pii.train([t for t in docs.values() if len(t) <= 3000][:100], 260)
