@@ -295,6 +295,11 @@ def linked(own: list[np.ndarray], threshold: float, side: np.ndarray | None) ->
 
 def join(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row a row of df: doc_id, node (hash of the text), class_id (least doc_id of its class), n_links (rows it links with)."""
+    return _classes(df, text, threshold, recall).drop("label")
+
+
+def _classes(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The columns of join, and label: a node of the class, the same in all its rows and in no other class."""
     rows = df.select(F.col("doc_id").cast("long"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     nodes = checkpointed(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "nodes")
 
@@ -348,16 +353,15 @@ def join(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, recall
     known = nodes.join(label, "node", "left").join(count, "node", "left").filter((F.col("copies") > 1) | F.col("label").isNotNull())
     known = known.select("node", "first_id", F.coalesce("label", "node").alias("label"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     least = known.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    known = checkpointed(known.join(least, "label").select("node", "class_id", "n_links"), "classes")
+    known = checkpointed(known.join(least, "label").select("node", "label", "class_id", "n_links"), "classes")
     out = rows.select("doc_id", "node").join(known, "node", "left")
-    return out.select("doc_id", "node", F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "node", F.coalesce("label", "node").alias("label"), F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows of df without near duplicates: of each class the row of least doc_id (ties: least text hash; repeated rows once). All columns stay."""
-    found = join(df, text, threshold)
-    group = F.coalesce("class_id", "node")
-    best = found.groupBy(group.alias("class")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("k"))
+    found = _classes(df, text, threshold)
+    best = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("k"))
     kept = best.select(F.col("k.doc_id").alias("\1id"), F.col("k.node").alias("\1node"))
     marked = df.withColumn("\1own", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     out = marked.join(kept, marked.doc_id.cast("long").eqNullSafe(kept["\1id"]) & (marked["\1own"] == kept["\1node"]), "left_semi")

@@ -353,3 +353,15 @@ def test_bpe_pairs_agree_with_merging():
     a, b = rng.integers(0, len(m.bytes), (2, 4000))
     exact = [m.exact(m.bytes[x] + m.bytes[y]) == [x, y] for x, y in zip(a.tolist(), b.tolist())]
     assert m.compatible(a, b).tolist() == exact
+
+
+def test_near_duplicates_keep_other_texts_of_an_id(spark):
+    one, two = (" ".join(f"{w}{k}" for k in range(40)) for w in ("alpha", "beta"))
+    rows = [(1, one), (1, two), (2, one), (3, f"{two} end"), (None, "no id here at all"), (1, two)]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(1, one), (1, two), (None, "no id here at all")} and kept.count() == 3
+
+
+def test_near_duplicates_keep_unlinked_texts_of_an_id(spark):
+    rows = [(7, "quite different words stand in this text of the id"), (7, "nothing here is shared with that other row of seven")]
+    assert jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 2
