@@ -2,16 +2,18 @@
 
 The network tags each character (outside, or the beginning or inside of one of four kinds). Texts of any
 length are cut into overlapping windows; each window's best tag path comes from Viterbi search. A window
-skips the search only where a bound proves the all-outside path best. Spans seen by several windows are
+is skipped only where it can add no span: the final check asks a digit or an at sign (or the word) of any
+span, and where the network was run, a bound may prove the all-outside path best. Spans seen by several windows are
 reconciled over the whole text: a span cut by a window's edge gives way to what another window saw whole,
 and cut spans of one kind that overlap are joined.
-A plain check of digits and parts follows, and model spans join the pattern spans they do not touch.
+A plain check of digits and parts holds for each, and model spans join the pattern spans they do not touch.
 
 Training: labelled spans in a bounded sample of the corpus, both those that the patterns find and spans
 of many written forms, also such that the patterns miss, set between the words by a fixed seed.
 
-Edges: a null text is the empty text, without spans; an empty sample trains on the made spans alone;
-repeated rows are searched each; further columns are ignored.
+Edges: a null or empty text has no spans; a very long text is searched whole, window by window; a null or
+repeated id passes through; an empty sample trains on the made spans alone and an empty table gives no rows;
+repeated rows are searched each; further columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.pieces import code_points
-from lodestar.llm.shared import raw_text, text_chunks
+from lodestar.llm.shared import least_hashes, raw_text, text_chunks
 from lodestar.llm.toxicity import Adam
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -72,7 +74,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
                 done = m.end()
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(int(x) <= 255 for x in m.group().split(".") if len(x) < 12) and max(map(len, m.group().split("."))) < 12:
+            # Leading zeros say nothing, and what is left of a very long part is never read as a number.
+            parts = [x.lstrip("0") for x in m.group().split(".")]
+            if all(len(x) <= 3 and int(x or 0) <= 255 for x in parts):
                 out.append((1, m.start(), m.end()))
         for m in _CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
@@ -298,6 +302,26 @@ def stitched(found: list[tuple[int, int, int, bool]]) -> list[tuple[int, int, in
     return out
 
 
+def evidence(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Characters of which plausible() asks at least one in any span: a digit, an at sign, or the word "at" in either case.
+
+    A window without them holds no span that plausible() lets pass, so it needs no search, unless a span cut by
+    the edge of a window that has them goes on in it.
+    """
+    low = cp | 32
+    letter = (cp < 128) & (low >= 97) & (low <= 122)
+    edge = np.zeros(len(cp) + 3, bool)
+    edge[off] = True
+    before = np.concatenate([[False], letter[:-1]]) & ~edge[: len(cp)]
+    after = np.concatenate([letter[2:], [False, False]])[: len(cp)] & ~edge[2 : len(cp) + 2]
+    word = letter & (low == 97) & ~before & ~after
+    word[:-1] &= letter[1:] & (low[1:] == 116)
+    word[-1:] = False
+    out = (cp == 64) | (cp >= 48) & (cp <= 57) | word
+    out[1:] |= word[:-1]
+    return out
+
+
 def model_spans(p: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """Reconciled (kind, start, end) of each text."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
@@ -308,34 +332,47 @@ def model_spans(p: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray,
     size = np.diff(off)
     stride = WINDOW - OVERLAP
     count = np.where(size > 0, np.maximum(1, -(-(size - WINDOW) // stride) + 1), 0)
+    first = np.cumsum(count) - count
     owner = np.repeat(np.arange(len(size)), count)
-    at = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * stride
+    at = (np.arange(len(owner)) - np.repeat(first, count)) * stride
     left = np.minimum(size[owner] - at, WINDOW)
-    order = np.argsort(left, kind="stable")
     move = np.where(allowed(), p["move"], _NEVER).astype(np.float32)
     seen: dict[int, list[tuple[int, int, int, bool]]] = {}
-    for k in range(0, len(order), ROWS):
-        rows = order[k : k + ROWS]
-        steps = np.arange(int(left[rows].max()))[:, None]
-        index = np.where(steps < left[rows], code[np.minimum(off[owner[rows]] + at[rows] + steps, len(code) - 1)], OWN + 1)
-        e, mask = emissions(p, index)
-        ask = np.flatnonzero(may_hold(e, move, mask))
-        if len(ask):
+    marks = np.concatenate([[0], np.cumsum(evidence(cp, off))])
+    begin = off[owner] + at
+    todo = np.flatnonzero(marks[begin + left] > marks[begin])
+    done = np.zeros(len(owner), bool)
+    while len(todo):
+        done[todo] = True
+        more: set[int] = set()
+        todo = todo[np.argsort(left[todo], kind="stable")]
+        for k in range(0, len(todo), ROWS):
+            rows = todo[k : k + ROWS]
+            steps = np.arange(int(left[rows].max()))[:, None]
+            index = np.where(steps < left[rows], code[np.minimum(begin[rows] + steps, len(code) - 1)], OWN + 1)
+            e, mask = emissions(p, index)
+            ask = np.flatnonzero(may_hold(e, move, mask))
+            if not len(ask):
+                continue
             tags = viterbi(np.ascontiguousarray(e[:, :, ask].transpose(0, 2, 1)), move, left[rows[ask]])
             for r, kind, a, b in runs(tags):
                 w = rows[ask[r]]
                 n = int(owner[w])
                 a, b = a + int(at[w]), b + int(at[w])
-                cut = (a == at[w] and a > 0) or (b == at[w] + WINDOW and b < size[n])
-                seen.setdefault(n, []).append((kind, a, b, bool(cut)))
+                cut = bool((a == at[w] and a > 0) or (b == at[w] + WINDOW and b < size[n]))
+                seen.setdefault(n, []).append((kind, a, b, cut))
+                if cut:
+                    # What goes on beyond the edge may be joined, so every window that sees a part of it is read.
+                    more.update(range(int(first[n]) + max(0, (a - WINDOW) // stride), int(first[n] + min(count[n], b // stride + 1))))
+        todo = np.array(sorted(w for w in more if not done[w]), np.int64)
     for n, found in seen.items():
         taken: list[tuple[int, int, int]] = []
-        found += [x for x in stitched(found) if plausible(x[0], texts[n][x[1] : x[2]])]
+        found = {x for x in [*found, *stitched(found)] if plausible(x[0], texts[n][x[1] : x[2]])}
         # Whole views first, longer ones before shorter, then by place.
-        for kind, a, b, _ in sorted(set(found), key=lambda x: (x[3], x[1] - x[2], x[1])):
+        for kind, a, b, _ in sorted(found, key=lambda x: (x[3], x[1] - x[2], x[1])):
             if all(b <= y or a >= z for _, y, z in taken):
                 taken.append((kind, a, b))
-        out[n] = [x for x in sorted(taken) if plausible(x[0], texts[n][x[1] : x[2]])]
+        out[n] = sorted(taken)
     return out
 
 
@@ -439,9 +476,10 @@ def train(texts: list[str], steps: int = STEPS) -> dict[str, np.ndarray]:
 
 
 def sample(df: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[str]:
-    """Texts of at most `rows` rows and `chars` characters, by a hash of the id: what is collected is bounded."""
-    own = df.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).filter(F.char_length("text").between(1, chars))
-    return [r.text for r in own.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows).collect()]
+    """Texts of at most `rows` rows and `chars` characters, those of least hash: what is sent to the driver is bounded."""
+    own = df.select(F.xxhash64("doc_id", text).alias("h"), F.col(text).alias("text")).filter(F.char_length("text").between(1, chars))
+    few = least_hashes(own, "h", rows)
+    return [r.text for r in few.orderBy("h", "text").limit(rows).collect()]
 
 
 def fit(df: DataFrame, text: str = "text") -> dict[str, np.ndarray]:

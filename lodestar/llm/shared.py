@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -141,5 +140,12 @@ def fold(doc_id, parts: int = 5):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def own_path() -> str:
-    return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+def least_hashes(df: DataFrame, h: str, rows: int) -> DataFrame:
+    """Rows of df among which the `rows` of least 64-bit hash are, about four times as many, so that tasks hold back the rest.
+
+    A table of few distinct hashes may give fewer rows than asked, none at worst.
+    """
+    n = df.count()
+    if n <= 4 * rows:
+        return df
+    return df.filter(F.col(h) < -(1 << 63) + int((1 << 64) * (4 * rows / n)))
