@@ -5,8 +5,10 @@ token is a secret when the log-likelihood ratio of its characters, random agains
 threshold. Both are counted from labelled samples: random strings made from digests of numbers in the
 alphabets that keys use, and ordinary identifiers made of the words of a bounded sample of the corpus.
 
-Edges: a null text is the empty text, without spans; an empty corpus leaves the smoothed models of the
-random strings against a flat one; repeated rows are scanned each; further columns are ignored.
+Edges: a null or empty text has no spans; a very long text or token is scanned whole, in time linear in its
+characters; a null or repeated id passes through; an empty corpus leaves the smoothed model of the random
+strings against a flat one, and an empty table gives no rows; repeated rows are scanned each; further columns,
+of whatever names, stay (scan, redact) or are ignored (digests), and a column named as `into` is replaced.
 """
 
 from __future__ import annotations
@@ -26,28 +28,50 @@ ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-="
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Documents whose words serve as ordinary identifiers, and random strings of each alphabet.
 SAMPLE_DOCS, SAMPLE_STRINGS = 500, 1500
+#: Matches of a block of a fold.
+BLOCK = 64
 #: Least log-likelihood ratio, in nats, in all and for each transition.
 LEAST_TOTAL, LEAST_EACH = 12.0, 0.5
 
 
+def _with(value: Column, body) -> Column:
+    """The body over a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _folded(rows: Column, total, join, state, step) -> Column:
+    """A fold over rows that appends to its state's array `out`, in blocks, so that no array grows by more than BLOCK copies.
+
+    A block's fold starts from state(x), x the join of total() of all blocks before.
+    """
+
+    def run(rows: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / BLOCK).cast("int")), lambda b: F.slice(rows, b * BLOCK + 1, BLOCK))
+        return _with(blocks, lambda blocks: _with(F.transform(blocks, total), lambda totals: F.flatten(F.transform(blocks, lambda x, b: F.aggregate(x, state(F.aggregate(F.slice(totals, 1, b), F.lit(0), join)), step, lambda acc: acc["out"])))))
+
+    return _with(rows, run)
+
+
 def _spans(text: Column, pattern: str, kind: str, order: int, least: int = 0) -> Column:
     """All matches as structs of start, order, end, kind, value: lengths of the pieces between matches give the places."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least else hits
     gaps = F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string,value:string>>")
-    state = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["hit"])
+        start = acc["at"] + x["gap"]
+        end = start + x["hit"]
         span = F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
         keep = F.char_length(x["value"]) >= least
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     rows = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), value.alias("value"))
-    rows = F.slice(rows, 1, F.size(hits))
-    found = F.aggregate(rows, state, step, lambda acc: acc["out"])
+    # The piece after the last match has none; matches are never empty.
+    rows = F.filter(rows, lambda x: x["hit"].isNotNull())
+    rows = F.transform(rows, lambda x: F.struct(F.char_length(x["gap"]).alias("gap"), F.char_length(x["hit"]).alias("hit"), x["value"].alias("value")))
+    whole = lambda x: F.aggregate(x, F.lit(0), lambda acc, r: acc + r["gap"] + r["hit"])
+    found = _folded(rows, whole, lambda x, y: x + y, lambda at: F.struct(at.alias("at"), empty.alias("out")), step)
     return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(empty)
 
 
@@ -125,14 +149,14 @@ def train(samples: DataFrame) -> list[float]:
 def markov_spans(text: Column, ratios: list[float]) -> Column:
     """Spans of long tokens that the model of random strings explains better."""
     size = len(ALPHABET) + 1
-    table = F.transform(F.split(F.lit(",".join(map(str, ratios))), ","), lambda x: x.cast("double"))
-
-    def code(value: Column, i: Column) -> Column:
-        return F.call_function("locate", F.substring(value, i, F.lit(1)), F.lit(ALPHABET))
+    # One constant, as the optimiser evaluates it; a sum of its parts would be made anew for each character.
+    table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
 
     def ratio(value: Column) -> Column:
-        steps = F.sequence(F.lit(1), F.char_length(value) - 1)
-        return F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.get(table, code(value, i) * size + code(value, i + 1)))
+        codes = F.transform(F.split(value, ""), lambda c: F.call_function("locate", c, F.lit(ALPHABET)))
+        state = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("total"))
+        more = lambda acc, c: F.when(acc["last"] < 0, 0.0).otherwise(F.get(table, acc["last"] * size + c))
+        return F.aggregate(codes, state, lambda acc, c: F.struct(c.alias("last"), (acc["total"] + more(acc, c)).alias("total")), lambda acc: acc["total"])
 
     def secret(x: Column) -> Column:
         total = ratio(x["value"])
@@ -154,17 +178,17 @@ def scan(df: DataFrame, ratios: list[float], text: str = "text", into: str = "se
 def redact(df: DataFrame, spans: str = "secrets", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """Replaces every span, merged where they overlap, by a mark. A row without spans keeps its text."""
     own = F.coalesce(F.col(text), F.lit(""))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    none = F.array().cast("array<struct<keep:int,from:int>>")
 
     def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        more = F.concat(acc["out"], F.array(F.substr(own, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(more).alias("out"))
-
-    def finish(acc: Column) -> Column:
-        return F.array_join(F.concat(acc["out"], F.array(F.substr(own, acc["at"] + 1))), "")
-
-    return df.withColumn(text, F.when(F.size(spans) > 0, F.aggregate(F.col(spans), state, step, finish)).otherwise(F.col(text)))
+        piece = F.struct(s["start"].alias("keep"), acc["at"].alias("from"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(piece))).alias("out"))
+
+    last = lambda x: F.aggregate(x, F.lit(0), lambda acc, s: F.greatest(acc, s["end"]))
+    pieces = _folded(F.col(spans), last, lambda x, y: F.greatest(x, y), lambda at: F.struct(at.alias("at"), none.alias("out")), step)
+    kept = F.transform(pieces, lambda x: F.concat(F.substr(own, x["from"] + 1, x["keep"] - x["from"]), F.lit(mark)))
+    clean = F.concat(F.array_join(kept, ""), F.substr(own, last(F.col(spans)) + 1))
+    return df.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(F.col(text)))
 
 
 def joined(spans: Column) -> Column:
