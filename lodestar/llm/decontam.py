@@ -10,9 +10,11 @@ and in each alignment of item and document, alone and with its neighbours (for w
 so that other variants or stray windows in the document do not hide one. Windows of which placeholders
 are more than half match by their words alone, so an item of little else is found only with equal values.
 
-Edges: a null text is empty and has no windows; an item of fewer than LEAST_WORDS words is too short to
-tell and never matches; an item shorter than a window is one window of its own length; repeated rows
-count once by their key; an empty benchmark or table gives no rows.
+Edges: a null or empty text has no windows; a very long text is compared in all its windows; an item of fewer
+than LEAST_WORDS words is too short to tell and never matches; an item shorter than a window is one window of
+its own length; rows of one key are parts of one document, so repeated rows count once, texts under one id are
+judged together, and those under a null id as the document of the null id (clean() judges by the text instead);
+an empty benchmark or table gives no rows; further columns are ignored (contaminated) or stay (clean).
 """
 
 from __future__ import annotations
@@ -20,10 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.shared import checkpointed
+
 #: Words of a window, least words of an item, least share of literal words in a window that may match with other values, share of an item's windows.
 WINDOW, LEAST_WORDS, LITERAL, COVERAGE = 8, 5, 0.5, 0.25
 #: Benchmark windows that may be broadcast: 64 bytes each at most, beyond it the join shuffles.
 BROADCAST_WINDOWS = 500_000
+#: Keys of texts found (64 characters each) that may be broadcast.
+BROADCAST_KEYS = 500_000
 
 # Unit words.
 UNITS = "kg g mg lb lbs oz km m cm mm mi ft yd in l ml gal s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years mph kph percent % usd eur dollars dollar euros euro cents cent degrees degree hz khz mhz ghz kb mb gb tb w kw v a n j".split()
@@ -145,8 +151,12 @@ def contaminated(df: DataFrame, benchmark: DataFrame, keys: list[str] | None = N
 
 
 def clean(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """Rows of df in which no item is found; columns and repeated rows stay. Equal texts share their verdict."""
+    """Rows of df in which no item is found; columns and repeated rows stay. Equal texts share their verdict.
+
+    The keys of the texts found are a table of its own; up to BROADCAST_KEYS are broadcast, so that no text moves.
+    """
     key = "\u0001text"
     marked = df.withColumn(key, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    bad = contaminated(marked.select(key, text), benchmark, [key], text).select(key).distinct()
-    return marked.join(bad, key, "left_anti").select(*df.columns)
+    bad = checkpointed(contaminated(marked.select(key, text), benchmark, [key], text).select(key).distinct(), "decontam")
+    small = bad.count() <= BROADCAST_KEYS
+    return marked.join(F.broadcast(bad) if small else bad, key, "left_anti").select(*df.columns)
