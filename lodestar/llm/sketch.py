@@ -6,7 +6,9 @@ of the whole by keeping the k smallest of both. From two fingerprints follow the
 (Jaccard), the containment of one in the other and the count of distinct shingles.
 
 Edges: a null text is the empty text, whose fingerprint is empty; a text of one to four words has one
-shingle of all its words; two empty fingerprints resemble each other by 1, an empty and another by 0.
+shingle of all its words; a very long text is shingled whole; two empty fingerprints resemble each other by 1, an
+empty and another by 0. Null ids come first and equal ids follow each other by text hash; rows equal in both are
+neighbours in any order, which changes no column. An empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.shared import raw_text, text_chunks
@@ -116,6 +118,27 @@ def merge_by(df: DataFrame, keys: list[str], column: str = "fingerprint", k: int
     return part.mapInArrow(run, schema).repartition(*keys).mapInArrow(run, schema)
 
 
+def _range_of(place: Column, tie: Column, marks: list[int]) -> Column:
+    """The range of an id among sorted bounds; a bound that stands there more than once is a frequent id, whose rows are cut in as many ranges by their text hash.
+
+    The bounds are two constant arrays, every so many of them and all, so that the plan does not grow with their number.
+    """
+    if not marks:
+        return F.lit(0)
+    step = max(1, int(len(marks) ** 0.5))
+    constant = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>")
+    ends, every = marks[step - 1 :: step], constant(marks)
+
+    def count(below) -> Column:
+        blocks = F.size(F.filter(constant(ends), below)) if ends else F.lit(0)
+        return F.element_at(F.transform(F.array(blocks), lambda b: b * step + F.size(F.filter(F.slice(every, b * step + 1, step), below))), 1)
+
+    under = count(lambda m: m < place)
+    upto = count(lambda m: m <= place)
+    share = tie.cast("double") / 2.0**64 + 0.5
+    return F.element_at(F.transform(F.array(F.struct(under.alias("a"), upto.alias("b"))), lambda x: F.when(x["b"] - x["a"] < 2, x["b"]).otherwise(x["a"] + 1 + F.least(F.floor(share * (x["b"] - x["a"])), x["b"] - x["a"] - 1))), 1).cast("int")
+
+
 def neighbours(df: DataFrame, text: str = "text", share: int = 4, k: int = K) -> DataFrame:
     """Compares each text with its edited form and with the next text, ascending doc_id (nulls first, then by text hash).
 
@@ -130,16 +153,9 @@ def neighbours(df: DataFrame, text: str = "text", share: int = 4, k: int = K) ->
     key = F.struct("doc_id", "tie")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Bounds from quantiles of ids only; they set the balance of the ranges, not the result.
-    marks = df.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / parts for i in range(1, parts)] or [0.5], 2000)).first()[0] or []
-    marks = sorted(set(marks))
-    def bucket(lo: int, hi: int):
-        """The count of bounds at or below the id, by a balanced tree of comparisons."""
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") >= marks[mid], bucket(mid + 1, hi)).otherwise(bucket(lo, mid))
-
-    rows = rows.withColumn("part", bucket(0, len(marks)))
+    place = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    marks = rows.select(F.percentile_approx(place, [i / parts for i in range(1, parts)] or [0.5], 2000)).first()[0] or []
+    rows = rows.withColumn("part", _range_of(place, F.col("tie"), sorted(marks)))
     least = sorted((r.part, r.k.doc_id, r.k.tie) for r in rows.groupBy("part").agg(F.min(key).alias("k")).collect())
     out = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if not least:
