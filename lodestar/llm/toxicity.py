@@ -6,11 +6,14 @@ words both ways; attention weighs its states into one vector, and a logistic uni
 window of WINDOW words, each STRIDE words, is scored, and the highest scores the text.
 
 Training: a bounded sample of labelled rows (SAMPLE_ROWS at most, texts up to SAMPLE_CHARS characters,
-chosen by a hash of the id), whole texts as one window each, Adam on the logistic loss.
-
-Edges: a null or empty text is one window without words, scored from the bias; without labelled rows of
-both kinds all texts score the smoothed share of positives; repeated rows score alike; labels repeated
-for an id count once, the higher; further columns of either table are ignored.
+chosen by a hash of the id), Adam on the logistic loss of each text's highest window. Whole epochs run until
+the loss over held-back rows of the sample no longer falls; the running mean of the parameters is kept.
+
+Edges: a null or empty text is one window without words, scored from the bias; a very long text is scored in
+all its windows; a null id is scored like any other and has no label; without labelled rows of both kinds all
+texts score the smoothed share of positives; an empty table gives no rows; repeated rows score alike; labels
+repeated for an id count once, the higher; texts of a repeated id count once in training; further columns of
+documents stay (toxic_score is replaced), those of labels are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.shared import fold, raw_text, text_chunks
+from lodestar.llm.shared import fold, least_hashes, raw_text, text_chunks
 from lodestar.llm.words import _BYTE, _LOWER, span_hashes, split_words
 
 WINDOW, STRIDE = 48, 32
@@ -32,7 +35,9 @@ HIDDEN, ATTENTION = 12, 8
 #: Bounds of the labelled sample: rows, and characters of a text in it.
 SAMPLE_ROWS, SAMPLE_CHARS = 6000, 1500
 DROP_WORDS, DROP_GRAMS, LEAST_TEXTS = 0.5, 0.25, 3
-STEPS, EPOCHS, BATCH, RATE, SEED = 240, 6, 96, 0.006, 7
+#: Training, alike at every size of the sample: rows of a batch, most epochs, share of rows held back, epochs without
+#: a better loss over them before it ends, rate, share of the running mean that a step keeps.
+BATCH, EPOCHS, HELD, PATIENCE, RATE, MEAN, SEED = 24, 20, 0.125, 3, 0.006, 0.95, 7
 #: Windows that run through the network together.
 ROWS = 2048
 
@@ -216,7 +221,7 @@ def common(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return seen[0] >= LEAST_TEXTS, seen[1] >= LEAST_TEXTS
 
 
-def train(texts: list[str], labels: list[int], steps: int = STEPS) -> dict[str, np.ndarray]:
+def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> dict[str, np.ndarray]:
     """Fits the network to whole texts; without both labels it is a constant."""
     rng = np.random.default_rng(SEED)
     p = start(rng)
@@ -227,39 +232,60 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS) -> dict[str,
         p["out_bias"][:] = np.log(share / (1 - share))
         return p
     adam = Adam(p, RATE)
-    n = len(texts)
     often = common(texts)
-    # Small samples take small batches and few epochs.
-    batch = min(BATCH, max(8, n // 40))
-    steps = min(steps, -(-EPOCHS * n // batch))
-    # Texts of like length share a batch; batches come in random order.
     size = np.array([len(t) for t in texts])
-    queue: list[np.ndarray] = []
-    for step in range(steps):
-        if not queue:
-            order = np.argsort(size + rng.uniform(0, 200, n))
-            queue = [order[k : k + batch] for k in range(0, n, batch)]
-            rng.shuffle(queue)  # type: ignore[arg-type]
-        rows = queue.pop()
-        words = Words(*_texts([texts[i] for i in rows]))
-        words.drop(rng, often)
-        x = words.inputs(p)
-        index = layout(words, len(rows))
-        kept: dict = {}
-        logit = forward(p, x, index, kept)
-        d = ((_sigmoid(logit) - y[rows]) / len(rows)).astype(np.float32)
-        adam.rate = RATE * (1.0 if step < 0.6 * steps else 0.3)
-        adam.step(p, backward(p, words, x, index, kept, d))
-    return p
-
-
-def layout(words: Words, texts: int) -> np.ndarray:
-    """(steps, texts) of word rows, whole texts, padded at their ends."""
+    mixed = rng.permutation(len(texts))
+    held, own = mixed[: int(HELD * len(mixed))], mixed[int(HELD * len(mixed)) :]
+    best, least, waited = p, np.inf, 0
+    mean = {k: v.copy() for k, v in p.items()}
+    for epoch in range(epochs):
+        # Texts of like length share a batch; batches come in random order.
+        order = own[np.argsort(size[own] + rng.uniform(0, 200, len(own)))]
+        adam.rate = RATE * (1.0 if epoch < 0.5 * epochs else 0.3)
+        for k in rng.permutation(-(-len(own) // BATCH)):
+            rows = order[k * BATCH : (k + 1) * BATCH]
+            words = Words(*_texts([texts[i] for i in rows]))
+            words.drop(rng, often)
+            x = words.inputs(p)
+            # A text is as its highest window, in training as in scoring.
+            owner, index = windows_of(words, len(rows))
+            logit = forward(p, x, index)
+            top = np.lexsort((-logit, owner))
+            top = top[np.searchsorted(owner[top], np.arange(len(rows)))]
+            kept: dict = {}
+            index = index[:, top]
+            logit = forward(p, x, index, kept)
+            d = ((_sigmoid(logit) - y[rows]) / len(rows)).astype(np.float32)
+            adam.step(p, backward(p, words, x, index, kept, d))
+            # The fit is the running mean of the parameters.
+            keep = MEAN * min(1.0, adam.t / 20)
+            for name, v in mean.items():
+                v += (1 - keep) * (p[name] - v)
+        loss = mean_loss(mean, texts, y, held if len(held) else own)
+        if loss < 0.98 * least:
+            best, least, waited = {k: v.copy() for k, v in mean.items()}, loss, 0
+        elif (waited := waited + 1) >= PATIENCE:
+            break
+    return best
+
+
+def mean_loss(p: dict[str, np.ndarray], texts: list[str], y: np.ndarray, rows: np.ndarray) -> float:
+    """The mean logistic loss of the texts' scores."""
+    p1 = np.clip(scores(p, *_texts([texts[i] for i in rows])), 1e-6, 1 - 1e-6)
+    return float(-np.mean(np.where(y[rows] > 0, np.log(p1), np.log1p(-p1))))
+
+
+def windows_of(words: Words, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The text of each overlapping window, in order of texts, and (steps, windows) of word rows, padded at their ends."""
     size = np.bincount(words.doc, minlength=texts)
-    out = np.full((max(1, size.max(initial=0)), texts), words.n, np.int64)
-    place = np.arange(len(words.doc)) - np.repeat(np.cumsum(size) - size, size)
-    out[place, words.doc] = words.word
-    return out
+    begin = np.cumsum(size) - size
+    count = np.maximum(1, -(-(size - WINDOW) // STRIDE) + 1)
+    owner = np.repeat(np.arange(texts), count)
+    at = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
+    left = np.minimum(size[owner] - at, WINDOW)
+    steps = np.arange(max(1, int(left.max(initial=1))))[:, None]
+    word = np.append(words.word, words.n)
+    return owner, np.where(steps < left, word[np.minimum(begin[owner] + at + steps, len(word) - 1)], words.n)
 
 
 def scores(p: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -267,32 +293,28 @@ def scores(p: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray) -> n
     texts = len(offsets) - 1
     words = Words(data, offsets)
     x = words.inputs(p)
-    size = np.bincount(words.doc, minlength=texts)
-    begin = np.cumsum(size) - size
-    count = np.maximum(1, -(-(size - WINDOW) // STRIDE) + 1)
-    owner = np.repeat(np.arange(texts), count)
-    at = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
-    left = np.minimum(size[owner] - at, WINDOW)
+    owner, index = windows_of(words, texts)
     best = np.full(texts, -np.inf, np.float32)
     # Windows of like length together, so that short ones carry little padding.
+    left = (index < words.n).sum(axis=0)
     order = np.argsort(left, kind="stable")
-    word = np.append(words.word, words.n)
     for k in range(0, len(order), ROWS):
         rows = order[k : k + ROWS]
-        steps = np.arange(max(1, int(left[rows].max())))[:, None]
-        index = np.where(steps < left[rows], word[np.minimum(begin[owner[rows]] + at[rows] + steps, len(word) - 1)], words.n)
-        np.maximum.at(best, owner[rows], forward(p, x, index).astype(np.float32))
+        np.maximum.at(best, owner[rows], forward(p, x, index[: max(1, int(left[rows[-1]])), rows]).astype(np.float32))
     return _sigmoid(best.astype(np.float64))
 
 
 def sample(df: DataFrame, labels: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
     """Labelled texts of the training folds, at most `rows` of at most `chars` characters, by a hash of the id."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
-    # Twice the rows, as some texts are too long; the bound holds for what is broadcast and what is collected.
-    picked = known.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # About four times the rows, as some texts are too long; the bound holds for what is broadcast and what is collected.
+    picked = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
+    picked = least_hashes(picked, "h", rows)
     own = df.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).filter(F.char_length("text") <= chars)
-    found = own.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows).select("text", "toxic").collect()
-    return [r.text for r in found], [int(r.toxic) for r in found]
+    # An id that many rows share gives one text, the one of least hash, found in each task first.
+    found = own.join(F.broadcast(picked), "doc_id").groupBy("h", "doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("k"), "text")).alias("t"))
+    rows_ = found.orderBy("h", "doc_id").limit(rows).select("t.text", "toxic").collect()
+    return [r.text for r in rows_], [int(r.toxic) for r in rows_]
 
 
 def score(df: DataFrame, model: dict[str, np.ndarray], text: str = "text") -> DataFrame:

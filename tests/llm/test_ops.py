@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from lodestar.llm import bpe, decontam, jaccard, lm, pii, queries, secrets, sketch, tokenbin, toxicity, unigram
@@ -123,6 +125,94 @@ def test_decontamination_finds_planted_items(spark, sf_dir, docs):
     assert whole <= got and len(got) <= 2 * len(whole) + 2
 
 
+def _template_finds(doc, item):
+    """Brute force of one document against one item: every pair of windows is compared."""
+
+    def words(text):
+        marked = regex.sub(r"(?<=[\p{L}\p{N},;)] )(\p{Lu}\p{Ll}+)", "\x01\\1", text)
+        clean = regex.sub(r"[^\p{L}\p{N}\x01.,%]+|[.,](?!\p{N})|(?<!\p{N})[.,]|(?<!\p{N})%", " ", marked).lower()
+        return [w for w in clean.split(" ") if w]
+
+    def typed(w):
+        digit = [x[0] in "0123456789" for x in w]
+        kind = [1 if x[0] == "\x01" else 2 if d else 3 if i and digit[i - 1] and x in decontam.UNITS else 0 for i, (x, d) in enumerate(zip(w, digit, strict=True))]
+        return list(zip(w, kind, strict=True))
+
+    a, b = typed(words(doc)), typed(words(item))
+    n = min(len(b), decontam.WINDOW)
+    if len(b) < decontam.LEAST_WORDS:
+        return None
+    heavy = lambda win: sum(k > 0 for _, k in win) > n / 2
+    key = lambda win: (True, tuple(w.lstrip("\x01") for w, _ in win)) if heavy(win) else (False, tuple(k or w for w, k in win))
+    slots = lambda win: [w for w, k in win if k]
+    cut = lambda x: [x[i : i + n] for i in range(len(x) - n + 1)]
+    own = cut(b)
+    light = sum(not heavy(w) for w in own)
+    met = []
+    for i, w in enumerate(cut(a)):
+        for k, v in enumerate(own):
+            if key(w) == key(v):
+                as_words = heavy(v)
+                pairs = [] if as_words and slots(v) is None else list(zip(slots(v), slots(v) if as_words else slots(w), strict=True))
+                met.append((i, k, pairs, as_words or slots(w) == slots(v), not heavy(v)))
+    if not met:
+        return None
+    band = max(decontam.WINDOW, len(b) // 2)
+    groups = defaultdict(list)
+    for m in met:
+        at = m[0] - m[1]
+        for g in ((0, 0), (1, at), (2, at // band), (3, (at + band // 2) // band)):
+            groups[g].append(m)
+    varied = equal = False
+    for (g, _), rows in groups.items():
+        pairs = {p for r in rows for p in r[2]}
+        one = len({x for x, _ in pairs}) == len(pairs)
+        varied |= bool(one and light and len({r[1] for r in rows if r[4]}) / light >= decontam.COVERAGE)
+        if g == 0:
+            same = {r[1] for r in rows if r[3]}
+            equal = len(same) / len(own) >= decontam.COVERAGE or bool(light and len({r[1] for r in rows if r[3] and r[4]}) / light >= decontam.COVERAGE)
+    return (not equal) if varied or equal else None
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = np.random.default_rng(12)
+    names, units = ["Anna", "Boris", "Clara", "Dora"], ["kg", "miles", "hours"]
+    vocabulary = ["red", "apples", "the", "and", "walks", "station", "counts", "river", "old"]
+
+    def made(n):
+        out = []
+        for _ in range(n):
+            x = rng.random()
+            out.append(str(rng.choice(names)) if x < 0.12 else str(rng.integers(1, 99)) if x < 0.25 else f"{rng.integers(1, 9)} {rng.choice(units)}" if x < 0.33 else str(rng.choice(vocabulary)) + rng.choice(["", "", ",", "."]))
+        return " ".join(out)
+
+    def other(text):
+        put = {}
+        out = []
+        for w in text.split(" "):
+            if w.isdigit() or w in names:
+                put.setdefault(w, str(rng.integers(100, 999)) if w.isdigit() else str(rng.choice(names)))
+                w = put[w] if rng.random() < 0.95 else w
+            elif rng.random() < 0.03:
+                w = "new " + w
+            out.append(w)
+        return " ".join(out)
+
+    items = {k: made(int(rng.integers(4, 40))) for k in range(12)}
+    texts = {}
+    for i in range(160):
+        parts = [made(int(rng.integers(0, 30)))]
+        for _ in range(int(rng.integers(0, 4))):
+            item = items[int(rng.integers(len(items)))]
+            parts += [other(item) if rng.random() < 0.7 else item, made(int(rng.integers(0, 20)))]
+        texts[i] = " ".join(parts)
+    want = {(i, k): x for i, t in texts.items() for k, v in items.items() if (x := _template_finds(t, v)) is not None}
+    df, bench = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.reparameterised for r in decontam.contaminated(df, bench).collect()}
+    assert got == want and {True, False} == set(want.values())
+    assert {r.doc_id for r in decontam.clean(df, bench).collect()} == set(texts) - {i for i, _ in want}
+
+
 def _pii(text):
     email, ip, card, phone = (re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
     out = [(0, m.start(), m.end()) for m in email.finditer(text)]
@@ -221,6 +311,41 @@ def test_pii_gradient():
         assert math.isclose((near[0] - near[1]) / 2e-3, g[i, j], rel_tol=0.08, abs_tol=0.02)
 
 
+def test_toxicity_gradients():
+    rng = np.random.default_rng(8)
+    texts = ["one two three four five six", "two nine", "", "six five four one one seven eight nine ten"]
+    p = {k: rng.normal(0, 0.4, v.shape).astype(np.float32) for k, v in toxicity.start(rng).items()}
+    words = toxicity.Words(*raw_text(arrow(texts)))
+    d = rng.normal(0, 1, len(texts)).astype(np.float32)
+    _, index = toxicity.windows_of(words, len(texts))
+
+    def loss(q):
+        return float((toxicity.forward(q, words.inputs(q), index).astype(np.float64) * d).sum())
+
+    kept = {}
+    x = words.inputs(p)
+    toxicity.forward(p, x, index, kept)
+    for name, g in toxicity.backward(p, words, x, index, kept, d).items():
+        whole = np.zeros_like(p[name])
+        rows, part = g if isinstance(g, tuple) else (slice(None), g)
+        whole[rows] = part
+        for _ in range(3):
+            way = rng.normal(0, 1, p[name].shape).astype(np.float32)
+            way[whole == 0] = 0
+            way /= np.linalg.norm(way)
+            rise = (loss(p | {name: p[name] + 0.01 * way}) - loss(p | {name: p[name] - 0.01 * way})) / 0.02
+            assert math.isclose(rise, float((whole * way).sum()), rel_tol=0.03, abs_tol=3e-3), name
+
+
+def test_toxicity_query(spark, sf_dir, docs):
+    got = {r.doc_id: r for r in queries.op4_toxicity(spark, sf_dir).collect()}
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    assert set(got) == set(docs) and all(r.held_out == held(i) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for i, r in got.items())
+    known = [i for i in label if i in got and label[i] is not None and held(i)]
+    assert sum(got[i].predicted == label[i] for i in known) >= 0.9 * len(known)
+
+
 def test_toxicity_held_out():
     rng = np.random.default_rng(2)
     words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 7))) for _ in range(400)]
@@ -232,7 +357,7 @@ def test_toxicity_held_out():
             w.insert(int(rng.integers(len(w) + 1)), rng.choice(["zqxidiot", "zqxmoron", "zqx" + str(rng.choice(words))]))
         texts.append(" ".join(w))
         labels.append(int(bad))
-    p = toxicity.train(texts[:500], labels[:500], 120)
+    p = toxicity.train(texts[:500], labels[:500])
     long = " ".join(rng.choice(words, 4000)) + " zqxidiot " + " ".join(rng.choice(words, 4000))
     got = toxicity.scores(p, *raw_text(arrow([*texts[500:], long])))
     want = np.array([*labels[500:], 1])
@@ -253,6 +378,44 @@ def test_secrets(spark, docs):
             assert r.spans == "markov:4:28"
 
 
+def test_secrets_markov_and_redaction_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    letters = list(secrets.ALPHABET)
+    size = len(letters) + 1
+    ratios = [round(float(x), 4) for x in rng.normal(0.3, 1.2, size * size)]
+    code = {c: k + 1 for k, c in enumerate(letters)}
+    tokens = ["".join(rng.choice(letters, int(rng.integers(15, 60)))) for _ in range(300)]
+    texts = {k: " ".join(rng.choice([*tokens, "é😀", "password=abcdefgh", "ordinary"], int(rng.integers(0, 400)))) for k in range(30)} | {30: None, 31: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.redact(secrets.scan(df, ratios), text="text").collect()}
+    raw = {r.doc_id: r.secrets for r in secrets.scan(df, ratios).collect()}
+    for i, t in texts.items():
+        t = t or ""
+        base = [(m.start(), m.end()) for p, g, n in ((secrets.ASSIGN, 2, 6), (secrets.ACCESS, 0, 20), (secrets.HEX, 0, 24)) for m in re.finditer(p, t, re.ASCII) if len(m.group(g)) >= n]
+        more = []
+        for m in re.finditer(secrets.CANDIDATE, t, re.ASCII):
+            steps = [ratios[code.get(a, 0) * size + code.get(b, 0)] for a, b in zip(m.group(), m.group()[1:])]
+            if sum(steps) >= max(secrets.LEAST_TOTAL, secrets.LEAST_EACH * len(steps)) and all(b <= m.start() or a >= m.end() for a, b in base):
+                more.append((m.start(), m.end()))
+        assert sorted((s.start, s.end) for s in raw[i]) == sorted(base + more)
+        out, at = [], 0
+        for a, b in sorted(base + more):
+            if a >= at:
+                out += [t[at:a], "[SECRET]"]
+            at = max(at, b)
+        assert (got[i].text or "") == ("".join(out) + t[at:])
+
+
+def test_secrets_of_a_very_long_token(spark):
+    rng = np.random.default_rng(6)
+    token = "".join(rng.choice(list(secrets.ALPHABET), 1_000_000))
+    df = spark.createDataFrame([(1, "lead " + token + " tail")], "doc_id long, text string")
+    ratios = [0.75] * (len(secrets.ALPHABET) + 1) ** 2
+    began = time.time()
+    assert secrets.digests(secrets.scan(df, ratios)).first().spans == "markov:5:1000005"
+    assert time.time() - began < 5
+
+
 def test_sketch(spark, sf_dir, docs):
     texts = [docs[i] for i in sorted(docs)]
     for r in sorted(queries.op6_bottom_k_sketch(spark, sf_dir).collect(), key=lambda r: r.doc_id):
