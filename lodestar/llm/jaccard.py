@@ -9,7 +9,7 @@ each level keeps such a pair with at least the chance that a branching process o
 
 Buckets yield spanning trees only, of bounded degree, so no key is hot and no group's pairs are emitted.
 Their connected components are sets of candidates; inside one, every pair is intersected exactly, in blocks of
-at most BLOCK sets a side, which counts each text's links and leaves the true links' spanning trees.
+about BLOCK sets or BLOCK_TOKENS tokens a side, which counts each text's links and leaves the true links' spanning trees.
 
 Edges: a null text is the empty text; a text of one to four words has one shingle of all its words; the
 empty text has none and links with its copies alone; a null id is ignored when a class takes its least
@@ -36,8 +36,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 RECALL, DEPTH, SMALL = 0.9999, 3, 5000
 #: Groups up to this size are compared together, at every distance; larger ones row by row.
 TOGETHER = 128
-#: Sets a side of one comparison task.
-BLOCK = 1500
+#: Sets, and their tokens, a side of one exact comparison; sketches a side of one bucket comparison.
+BLOCK, BLOCK_TOKENS, SIDE = 384, 1_000_000, 1500
 #: Equal min-hashes, of 64, that make a candidate: 4.5 standard deviations under the threshold's mean.
 EQUAL = 38
 #: Children of a node of a spanning tree.
@@ -94,14 +94,15 @@ def _signed(x: np.ndarray) -> list[int]:
     return x.view(np.int64).tolist()
 
 
-_SIGNED = "node long, sketch binary, p1 array<long>, up2 array<long>, p2 array<long>, up3 array<long>, p3 array<long>"
+_SIGNED = "node long, tokens long, sketch binary, p1 array<long>, up2 array<long>, p2 array<long>, up3 array<long>, p3 array<long>"
 
 
 def _paths(batches: Iterator[pa.RecordBatch], threshold: float, recall: float) -> Iterator[pa.RecordBatch]:
     seeds = mix(np.arange(1000, 1000 + runs_needed(recall), dtype=_U))
     for part in text_chunks(batches):
-        columns: dict[str, list] = {k: [] for k in ("sketch", "p1", "up2", "p2", "up3", "p3")}
+        columns: dict[str, list] = {k: [] for k in ("tokens", "sketch", "p1", "up2", "p2", "up3", "p3")}
         for x in sets(part.column("text")):
+            columns["tokens"].append(len(x))
             columns["sketch"].append(sketch(x))
             level = seeds
             for k in (1, 2, 3):
@@ -114,7 +115,7 @@ def _paths(batches: Iterator[pa.RecordBatch], threshold: float, recall: float) -
                 columns[f"p{k}"].append(_signed(new))
                 level = new
         longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(columns["sketch"], pa.binary()), *(pa.array(columns[c], longs) for c in ("p1", "up2", "p2", "up3", "p3"))], names=["node", "sketch", "p1", "up2", "p2", "up3", "p3"])
+        yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(columns["tokens"], pa.int64()), pa.array(columns["sketch"], pa.binary()), *(pa.array(columns[c], longs) for c in ("p1", "up2", "p2", "up3", "p3"))], names=["node", "tokens", "sketch", "p1", "up2", "p2", "up3", "p3"])
 
 
 def unequal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -223,7 +224,7 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def blocked(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
-    """Adds i <= j and side: a group of more than `block` rows is cut in blocks by node, and each pair of blocks is a group of its own."""
+    """Adds i <= j and side: a group of a size above `block` is cut in blocks by node, and each pair of blocks is a group of its own."""
     m = F.ceil(F.col(size) / block).cast("int")
     own = F.pmod(F.xxhash64("node"), m).cast("int")
     others = F.transform(F.sequence(F.lit(0), m - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"), (own > o).cast("int").alias("side")))
@@ -232,16 +233,26 @@ def blocked(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node of the edges (a, b): the least node of its component. Labels travel along edges until none changes."""
-    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
-    state = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    """(node, label) of every node of the edges (a, b): the least node of its component, by contraction to stars.
+
+    In turn each node links its larger neighbours, and then its smaller ones, to the least of its neighbourhood; edges never grow in
+    number, and the rounds grow with the logarithm of a component's diameter, not with it. A round is one table.
+    """
+    edge = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edge = checkpointed(edge, "stars")
+    before = None
     while True:
-        sent = both.join(state, both.a == state.node).groupBy("b").agg(F.min("label").alias("got"))
-        moved = state.join(sent, state.node == sent.b).select("node", F.least("label", "got").alias("label"), (F.col("got") < F.col("label")).alias("moved"))
-        moved = checkpointed(moved, "labels")
-        state = moved.select("node", "label")
-        if moved.filter("moved").isEmpty():
-            return state
+        both = edge.union(edge.select("b", "a"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("least"))
+        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.*")
+        edge = checkpointed(small.filter("a <> b").distinct(), "stars")
+        now = edge.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
+            roots = edge.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("label"))
+            return edge.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
+        before = now
 
 
 def _exact(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -331,10 +342,11 @@ def _classes(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, re
     for x in leaves[1:]:
         met = met.unionByName(x)
     met = met.join(made.select("node", "sketch"), "node")
-    dealt = blocked(met, "bucket", "n", SMALL).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    dealt = blocked(met, "bucket", "n", SIDE).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
     edges = dealt.select("bucket", "i", "j", "node", "sketch").mapInArrow(_bucket_edges, "a long, b long").distinct()
     found = components(edges)
-    size = found.groupBy("label").agg(F.count("*").alias("n"))
+    # The size of a component in blocks' worth of sets or of tokens, whichever is more.
+    size = found.join(made.select("node", "tokens"), "node").groupBy("label").agg(F.greatest(F.count("*").cast("double"), F.sum("tokens") * (BLOCK / BLOCK_TOKENS)).alias("n"))
     picked = checkpointed(found.join(size, "label").join(nodes, "node").select("node", "first_id", "copies", F.col("label").alias("comp"), "n"), "candidates")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +356,7 @@ def _classes(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, re
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), raw], names=[*names, "set"])
 
     texts = one_a_text(picked, picked.count()).select("node", "copies", "comp", "n", "text")
-    with_sets = texts.mapInArrow(to_sets, "node long, copies long, comp long, n long, set binary")
+    with_sets = texts.mapInArrow(to_sets, "node long, copies long, comp long, n double, set binary")
     pairs = blocked(with_sets, "comp", "n", BLOCK).repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
     links = checkpointed(pairs.select("comp", "i", "j", "side", "node", "copies", "set").mapInArrow(lambda b: _exact(b, threshold), "node long, links long, parent long"), "links")
     label = components(links.filter("node <> parent").select(F.col("node").alias("a"), F.col("parent").alias("b")).distinct())
