@@ -15,8 +15,9 @@ import pytest
 import regex
 from tokenizers import Tokenizer, models, pre_tokenizers
 
+import corpus_pipeline
 from lodestar.llm import bpe, decontam, jaccard, lm, pii, queries, secrets, sketch, tokenbin, toxicity, unigram
-from lodestar.llm.elias_fano import EliasFano, build
+from lodestar.llm.elias_fano import EliasFano, build, packed_numbers, successor, unpacked
 from lodestar.llm.shared import raw_text
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -41,6 +42,33 @@ def test_elias_fano():
         assert EliasFano(build(keys, u)).find(ask).tolist() == [at.get(int(x), -1) for x in ask]
 
 
+def test_elias_fano_pointers_and_packed_numbers():
+    rng = np.random.default_rng(5)
+    for n, u in ((2, 1), (500, 3), (3000, 3000), (2000, 1 << 33)):
+        keys = np.sort(rng.integers(0, u, n, dtype=np.uint64))
+        i = rng.integers(0, n - 1, 400)
+        a, b = EliasFano(build(keys, u)).pairs(i)
+        assert (a == keys[i].astype(np.int64)).all() and (b == keys[i + 1].astype(np.int64)).all()
+        bits = int(u - 1).bit_length()
+        low = packed_numbers(keys, bits)
+        assert (unpacked(low, bits, np.arange(n)) == keys).all()
+        lo = rng.integers(0, n, 300)
+        hi = np.minimum(lo + rng.integers(0, 60, 300), n)
+        want = rng.integers(0, u, 300, dtype=np.uint64)
+        assert (successor(low, bits, lo, hi, want) == [x + np.searchsorted(keys[x:y], w) for x, y, w in zip(lo, hi, want, strict=True)]).all()
+
+
+def test_lm_splits_frequent_contexts(spark, docs):
+    rows = spark.createDataFrame([(i, t + " the end the rest the start" * 40) for i, t in docs.items()], "doc_id long, text string").repartition(5)
+    model = lm.fit(rows)
+    assert all(0 < len(model.split[k]) <= 4 * model.shards for k in ("pairs", "triples"))
+    level = model.level("pairs")
+    homes = {level.home(model.split["pairs"][:1], np.ones(1, bool), np.array([f]))[0][0] for f in range(200)}
+    assert len(homes) > 20
+    longest = max(model.sizes["pairs"].values())
+    assert longest < 6 * sum(model.sizes["pairs"].values()) / model.shards
+
+
 def test_lm_equals_dictionaries(spark, sf_dir, docs):
     tokens = {i: [*t.encode().lower().split(), 0] for i, t in docs.items()}
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
@@ -483,9 +511,24 @@ def test_jaccard_join(spark, docs, monkeypatch):
     for small, block in ((5000, 1500), (20, 40)):  # the second splits buckets to the last level and compares in blocks
         monkeypatch.setattr(jaccard, "SMALL", small)
         monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "SIDE", min(small, 1500))
         assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(df).collect()} == want
 
 
+def test_components_equal_union_find(spark):
+    rng = np.random.default_rng(9)
+    edges = [(int(x), int(x) + 1) for x in range(300) if x % 60] + [(1000 + k, 1000) for k in range(80)] + [(5000 - k, 4999 - k) for k in range(40)] + [(int(a), int(b)) for a, b in rng.integers(10**6, 10**6 + 150, (120, 2))]
+    label = {}
+    for a, b in edges:
+        label.setdefault(a, a), label.setdefault(b, b)
+    for _ in range(400):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.node: r.label for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: x for n, x in label.items() if n in {v for a, b in edges if a != b for v in (a, b)}}
+    assert jaccard.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_token_files(spark, sf_dir, docs):
     t = Tokenizer.from_file(BYTE)
     start = 0
@@ -540,3 +583,50 @@ def test_near_duplicates_keep_other_texts_of_an_id(spark):
 def test_near_duplicates_keep_unlinked_texts_of_an_id(spark):
     rows = [(7, "quite different words stand in this text of the id"), (7, "nothing here is shared with that other row of seven")]
     assert jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 2
+
+
+def test_bpe_digests_equal_the_library(spark, sf_dir, docs):
+    t = Tokenizer.from_file(BYTE)
+    t.no_truncation()
+    t.no_padding()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    odd = {10**9: "", 10**9 + 1: None, 10**9 + 2: "<|endoftext|> a\u0301\u0000 \U0001f600 x" * 50}
+    for texts, rows in ((docs, queries.op10_bpe_round_trip(spark, sf_dir)), (odd, bpe.digests(spark.createDataFrame(list(odd.items()), "doc_id long, text string"), BYTE))):
+        got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows.collect()}
+        want = {}
+        for i, x in texts.items():
+            ids = t.encode(x or "", add_special_tokens=False).ids
+            want[i] = (len(ids), sha(",".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False)))
+        assert got == want
+
+
+def test_pipeline_equals_brute_force(spark, sf_dir, docs):
+    """Each stage once more by plain loops over what the stage before left."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = toxicity.fit(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    ids = sorted(docs)
+    score = dict(zip(ids, toxicity.scores(model, *raw_text(arrow([docs[i] for i in ids]))).tolist(), strict=True))
+    left = {i: docs[i] for i in ids if score[i] < 0.5}
+    classes = {i: c for i, (c, _) in _classes(left).items()}
+    by_text = {}
+    for i in left:  # equal texts without shingles are copies too
+        by_text.setdefault(left[i], i)
+    left = {i: t for i, t in left.items() if classes[i] == i and by_text[t] == i}
+    bench = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    left = {i: t for i, t in left.items() if all(_template_finds(t, x) is None for x in bench.values())}
+    kept = spark.createDataFrame(list(left.items()), "doc_id long, text string")
+    ratios = secrets.train(secrets.labelled_strings(kept))
+    spans = {r.doc_id: [(x.start, x.end) for x in r.secrets] for r in secrets.scan(kept, ratios).collect()}
+    t = Tokenizer.from_file(BYTE)
+    want = {}
+    for i, text in left.items():
+        base = [(m.start(), m.end()) for p, g, n in ((secrets.ASSIGN, 2, 6), (secrets.ACCESS, 0, 20), (secrets.HEX, 0, 24)) for m in re.finditer(p, text, re.ASCII) if len(m.group(g)) >= n]
+        assert set(base) <= set(spans[i])
+        out, at = [], 0
+        for a, b in sorted(spans[i]):
+            if a >= at:
+                out += [text[at:a], "[SECRET]"]
+            at = max(at, b)
+        want[i] = t.encode("".join(out) + text[at:], add_special_tokens=False).ids
+    got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert got == want and 0 < len(got) < len(docs)
