@@ -1,62 +1,8 @@
-"""Rules on outcomes, names and roles as column expressions."""
+"""Roles of commanders and what they weigh."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-# Results that favour no side, and role weights.
-NEUTRAL = ["indecisive", "draw", "stalemate", "disputed"]
-DETAILED = ["decisive_victory", "tactical_victory", "pyrrhic_victory"]
-ROLES = {"overall_commander": 1.0, "principal_field_commander": 0.9, "wing_or_corps_commander": 0.6, "staff_or_planning": 0.4, "nominal_leader": 0.2}
-
-
-def winner_side(result: Column, side_a: Column, side_b: Column) -> Column:
-    """struct(side, method) of the side a result text names.
-
-    In order: 'defeat of X' or 'X defeated' gives the other side; the side whose name comes first wins; nothing else is
-    guessed. Names count as whole words, ignoring case; a text that names both sides equally early is undecided.
-    """
-    text = F.concat(F.lit(" "), F.regexp_replace(F.lower(result), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    word = lambda c: F.concat(F.lit(" "), F.lower(c), F.lit(" "))
-    lost = lambda c: F.contains(text, F.concat(F.lit(" defeat of "), F.lower(c), F.lit(" "))) | F.contains(text, F.concat(F.lit(" "), F.lower(c), F.lit(" defeated ")))
-    at_a, at_b = F.call_function("locate", word(side_a), text), F.call_function("locate", word(side_b), text)
-    out = lambda s, m: F.struct(F.lit(s).alias("side"), F.lit(m).alias("method"))
-    return (
-        F.when(lost(side_a) & ~lost(side_b), out("side_b", "negated_target_match"))
-        .when(lost(side_b) & ~lost(side_a), out("side_a", "negated_target_match"))
-        .when((at_a > 0) & ((at_b == 0) | (at_a < at_b)), out("side_a", "unique_belligerent_match"))
-        .when((at_b > 0) & ((at_a == 0) | (at_b < at_a)), out("side_b", "unique_belligerent_match"))
-        .otherwise(out(None, "unknown"))
-    )
-
-
-def outcome_category(explicit: Column, kind: Column, side: Column, winner: Column) -> Column:
-    """struct(outcome, confidence): the side's own result, then neutral results, then the winner's side."""
-    win = F.when(kind.isin(DETAILED), kind).otherwise("victory")
-    loss = F.when(kind == "decisive_victory", "major_defeat").otherwise("defeat")
-    out = lambda o, c: F.struct(o.alias("outcome"), F.lit(c).alias("confidence"))
-    return (
-        F.when(explicit.isin(NEUTRAL), out(explicit, "high"))
-        .when(explicit == "victory", out(win, "high"))
-        .when(explicit == "defeat", out(loss, "high"))
-        .when(kind.isin(NEUTRAL), out(kind, "high"))
-        .when(winner.isNotNull() & (side == winner), out(win, "medium"))
-        .when(winner.isNotNull(), out(loss, "medium"))
-        .otherwise(out(F.lit("unknown"), "low"))
-    )
-
-
-def name_blockers(name: Column) -> Column:
-    """What speaks against a person's name, as a sorted list."""
-    words = F.size(F.split(F.trim(name), r"\s+"))
-    found = F.array(
-        F.when(F.rlike(F.lower(name), F.lit(r"\.(svg|png)|\bflag\b")), "graphic_artifact"),
-        F.when(F.lower(name).isin("unknown", "none", "various", "general"), "generic_value"),
-        F.when(F.char_length(name) > 80, "name_too_long"),
-        F.when(words > 10, "too_many_tokens"),
-        F.when(F.contains(name, F.lit("|")), "unbroken_multi_value"),
-        F.when(F.rlike(name, F.lit("[0-9]")), "digits"),
-    )
-    none = F.coalesce(F.trim(name), F.lit("")) == ""
-    return F.when(none, F.array(F.lit("empty_name"))).otherwise(F.array_sort(F.filter(found, lambda x: x.isNotNull())))
+# Role weights.
+ROLES = {"overall_commander": 1.00, "principal_field_commander": 0.85, "coalition_commander": 0.70, "naval_commander": 0.75, "siege_engineer_or_specialist": 0.70, "wing_or_corps_commander": 0.55, "staff_or_planning_role": 0.45, "subordinate_commander": 0.35, "nominal_or_political_leader": 0.20, "unclear_role": 0.40}
+#: Roles of direct command in the field.
+DIRECT = ["overall_commander", "principal_field_commander", "wing_or_corps_commander", "naval_commander"]

@@ -40,7 +40,7 @@ def slug(c: Column) -> Column:
 
 def person_name(c: Column) -> Column:
     """Without parentheses, brackets, daggers and a leading rank."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"\([^)]*\)|\[[^\]]*\]", ""), "[†‡]", "")
+    bare = F.regexp_replace(F.regexp_replace(c, r"\([^)]*\)|\[[^\]]*\]", ""), r"[†‡#*?]+|\b(c\.|ca\.)(?=\s|$)", "")
     return clean_space(F.regexp_replace(F.trim(bare), r"(?i)^(general|admiral|colonel|captain|sir|lord|king)\s+", ""))
 
 
@@ -86,8 +86,19 @@ def short_id(c: Column, prefix: str) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha1(c), 1, 12))
 
 
-def word_test(text: Column, word: str) -> Column:
-    return F.rlike(F.lower(text), F.lit(rf"\b{re.escape(word.lower())}\b"))
+def title_link(title: Column) -> Column:
+    """The page link of a title. Characters that links keep as they are come back from the encoder's escapes."""
+    out = F.url_encode(F.replace(F.trim(title), F.lit(" "), F.lit("_")))
+    for mark in "(),:'!~":
+        out = F.replace(out, F.lit(f"%{ord(mark):02X}"), F.lit(mark))
+    return F.concat(F.lit("https://en.wikipedia.org/wiki/"), out)
+
+
+def link_title(url: Column) -> Column:
+    """The title of a page link, without query and fragment; empty for other links."""
+    path = F.regexp_extract(url, r"^[a-z]+://[^/?#]*/wiki/([^?#]*)", 1)
+    # The decoder would take a plus sign for a blank.
+    return F.trim(F.replace(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), F.lit("_"), F.lit(" ")))
 
 
 def plain_title(s: str) -> str:
@@ -139,39 +150,97 @@ def split_top(text: str, sep: str = "|") -> list[str]:
 
 
 def template_params(block: str) -> dict[str, str]:
-    """Named parameters of a {{template|a=b}} block."""
+    """Parameters of a {{template|a=b|c}} block; those without a name are numbered from 1."""
     fields = split_top(block[2:-2])[1:] if block.startswith("{{") else []
-    return {k.strip(): v.strip() for k, _, v in (f.partition("=") for f in fields) if v}
+    out: dict[str, str] = {}
+    n = 0
+    for f in fields:
+        name, eq, value = f.partition("=")
+        if not eq:
+            n += 1
+            name, value = str(n), f
+        out[name.strip()] = value.strip()
+    return out
 
 
 def render(text: str, passes: int = 12) -> str:
-    """Inner templates replaced by their last positional field until nothing changes."""
+    """Inner templates replaced until nothing changes: lists by their items, links and flags by their last positional field, others by their first."""
+
+    def one(m: re.Match) -> str:
+        name, *fields = (f.strip() for f in split_top(m.group(1)))
+        own = [f for f in fields if "=" not in f and f]
+        if name.lower() in ("plainlist", "ubl", "unbulleted list", "flatlist", "hlist"):
+            return "<br>".join(x.strip() for f in own for x in re.split(r"(?:^|\n)\s*\*", f) if x.strip())
+        return (own[-1] if name.lower() in ("flag", "flagicon", "ill", "lang", "small", "nowrap") else own[0]) if own else ""
+
     for _ in range(passes):
-        done = re.sub(r"\{\{([^{}]*)\}\}", lambda m: next((f.strip() for f in reversed(m.group(1).split("|")[1:]) if "=" not in f), ""), text)
+        done = re.sub(r"\{\{([^{}]*)\}\}", one, text)
         if done == text:
             break
         text = done
     return text
 
 
+def without_notes(text: str) -> str:
+    """Wiki text without comments and references."""
+    return re.sub(r"<!--.*?-->|<ref[^>/]*/>|<ref[^>]*>.*?</ref>", "", text, flags=re.DOTALL)
+
+
 def strip_markup(text: str) -> str:
     """Wiki text as plain text."""
-    text = re.sub(r"<!--.*?-->|<ref[^>/]*/>|<ref[^>]*>.*?</ref>", "", text, flags=re.DOTALL)
+    text = re.sub(r"<br\s*/?>", " ", without_notes(text))
     text = re.sub(r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", r"\1", render(text))
     return re.sub(r"\s+", " ", re.sub(r"'{2,}|<[^>]+>", "", text)).strip()
 
 
+def links_of(text: str) -> list[dict[str, str]]:
+    """Distinct links of wiki text in order, each with title and label."""
+    found = (m.group(1).split("|") for m in re.finditer(r"\[\[([^\[\]]+)\]\]", text))
+    return [{"title": t, "label": n} for t, n in dict.fromkeys((x[0].strip(), x[-1].strip()) for x in found)]
+
+
+def lead_of(text: str) -> str:
+    """The first paragraph after leading templates and before the first heading, as plain text."""
+    body = text
+    while (body := body.lstrip()).startswith("{{") and (block := balanced(body, 0)):
+        body = body[len(block) :]
+    body = re.split(r"(?m)^==", body, maxsplit=1)[0]
+    return next((p for x in body.split("\n\n") if (p := strip_markup(x))), "")
+
+
+def parse_infobox(text: str | None) -> dict[str, object]:
+    """The infobox of a conflict: result, and for each side its cell as text, segments and links; the rest of the page's lead."""
+    text = without_notes(text or "")
+    at = re.search(r"\{\{\s*infobox", text, re.IGNORECASE)
+    params = template_params(balanced(text, at.start())) if at else {}
+    sides = []
+    for k, side in ((1, "side_a"), (2, "side_b"), (3, "side_c")):
+        cell, lead = params.get(f"commander{k}", ""), params.get(f"combatant{k}", "")
+        parts = [strip_markup(x) for x in re.split(r"<br\s*/?>|\n\*|\n", render(cell))]
+        if cell or lead:
+            sides.append({"side": side, "belligerent": strip_markup(lead), "segments": [x for x in parts if x], "links": links_of(cell)})
+    return {"result": strip_markup(params.get("result", "")), "sides": sides, "lead": lead_of(text)}
+
+
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, with one bit for each character of `a`."""
+    place: dict[str, int] = {}
+    for i, x in enumerate(a):
+        place[x] = place.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        met = row & place.get(y, 0)
+        row = ((row + met) | (row - met)) & full
+    return len(a) - row.bit_count()
+
+
 def indel_ratio(a: str, b: str) -> float:
     """100 x (1 - insertions and deletions / both lengths) of the words in sorted order."""
     a, b = (" ".join(sorted(x.split())) for x in (a, b))
     if not a and not b:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    return 200.0 * common_length(a, b) / (len(a) + len(b))
 
 
 class _Page(HTMLParser):
@@ -223,18 +292,14 @@ def parse_page(html: str | None) -> dict[str, object]:
 
 
 @F.pandas_udf(T.StringType())
-def fold_title(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else plain_title(x))
+def composed(s: pd.Series) -> pd.Series:
+    """NFKC, which Spark lacks."""
+    return s.str.normalize("NFKC")
 
 
-@F.pandas_udf(T.StringType())
-def title_url(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else page_url(x))
-
-
-@F.pandas_udf(T.StringType())
-def title_of(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else url_title(x))
+def fold_title(c: Column) -> Column:
+    """NFKC, dashes folded, blanks collapsed."""
+    return F.trim(F.regexp_replace(F.translate(composed(c), DASHES, "-" * len(DASHES)), r"(?U)\s+", " "))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -250,6 +315,84 @@ def page_parts(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_page(x) for x in s], columns=["text", "links", "lead"])
 
 
-@F.pandas_udf(T.StringType())
-def plain_wikitext(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else strip_markup(x))
+_SIDE = T.StructType([T.StructField("side", T.StringType()), T.StructField("belligerent", T.StringType()), T.StructField("segments", T.ArrayType(T.StringType())), T.StructField("links", T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("label", T.StringType())])))])
+_BOX = T.StructType([T.StructField("result", T.StringType()), T.StructField("sides", T.ArrayType(_SIDE)), T.StructField("lead", T.StringType())])
+
+
+@F.pandas_udf(_BOX)
+def infobox(s: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([parse_infobox(x) for x in s], columns=["result", "sides", "lead"])
+
+
+class _Box(HTMLParser):
+    """The rows of the first infobox table: header cells open a section, later rows of two or three cells are its sides."""
+
+    NAMES = {"belligerents": "belligerents", "commanders and leaders": "commanders", "commanders": "commanders", "strength": "strength", "casualties and losses": "casualties", "casualties": "casualties"}
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.depth = 0
+        self.rows: list[tuple[bool, list[dict]]] = []
+        self.cell: dict | None = None
+        self.link: dict | None = None
+        self.heads = 0
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag == "table" and (self.depth or "infobox" in (a.get("class") or "")):
+            self.depth += 1
+        if not self.depth:
+            return
+        if tag == "tr":
+            self.rows.append((False, []))
+        if tag in ("th", "td") and self.rows:
+            self.cell = {"text": [""], "links": []}
+            self.rows[-1] = (tag == "th", [*self.rows[-1][1], self.cell])
+        if tag in ("br", "li") and self.cell is not None:
+            self.cell["text"].append("")
+        if tag == "a" and self.cell is not None:
+            self.link = {"title": a.get("title") or "", "label": ""}
+            self.cell["links"].append(self.link)
+
+    def handle_endtag(self, tag):
+        if tag == "table" and self.depth:
+            self.depth -= 1
+        if tag in ("th", "td"):
+            self.cell = None
+        if tag == "a":
+            self.link = None
+
+    def handle_data(self, data):
+        if self.cell is not None:
+            self.cell["text"][-1] += data
+        if self.link is not None:
+            self.link["label"] += data
+
+
+def parse_html_infobox(html: str | None) -> dict[str, object]:
+    """The sides of an HTML infobox, as parse_infobox() has them from wiki text, and its result."""
+    p = _Box()
+    p.feed(html or "")
+    p.close()
+    found: dict[str, list[dict]] = {}
+    result, section = "", ""
+    for head, cells in p.rows:
+        words = [[" ".join(x.split()) for x in c["text"] if x.strip()] for c in cells]
+        if head and len(cells) == 1:
+            section = _Box.NAMES.get(" ".join(words[0]).lower(), "")
+        elif len(cells) == 2 and head is False and words[0] == ["Result"]:
+            result = " ".join(words[1])
+        elif section and section not in found:
+            found[section] = [{"segments": w, "links": c["links"]} for w, c in zip(words, cells, strict=True)]
+    sides = []
+    for k, side in enumerate(("side_a", "side_b", "side_c")):
+        at = lambda name: found.get(name, [])[k] if k < len(found.get(name, [])) else None  # noqa: B023, E731
+        lead, cell = at("belligerents"), at("commanders")
+        if lead or cell:
+            sides.append({"side": side, "belligerent": " ".join(lead["segments"]) if lead else "", "segments": cell["segments"] if cell else [], "links": [{"title": x["title"], "label": " ".join(x["label"].split())} for x in (cell or {"links": []})["links"]]})
+    return {"result": result, "sides": sides, "lead": ""}
+
+
+@F.pandas_udf(_BOX)
+def html_infobox(s: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([parse_html_infobox(x) for x in s], columns=["result", "sides", "lead"])

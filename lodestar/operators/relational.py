@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def any_needle(text: Column, needles: list[str]) -> Column:
@@ -65,3 +66,59 @@ def join_flags(*flags: Column) -> Column:
     """Flags that are set, sorted and distinct, in one list-string."""
     kept = F.filter(F.array(*flags), lambda x: x.isNotNull() & (x != ""))
     return F.array_join(F.array_sort(F.array_distinct(kept)), " | ")
+
+
+def view(df: DataFrame, column: str, falling: bool, ties: list[str], rows: int) -> DataFrame:
+    """The first rows of a table by a column, nulls last, text without regard to case, and their places; a bounded top-k."""
+    key = F.lower(column) if dict(df.dtypes)[column] == "string" else F.col(column)
+    order = [F.desc_nulls_last("\1k") if falling else F.asc_nulls_last("\1k"), *map(F.asc, ties)]
+    top = df.withColumn("\1k", key).orderBy(*order).limit(rows)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order))).drop("\1k")
+
+
+def numbered(df: DataFrame, into: str) -> DataFrame:
+    """Adds 1, 2, 3, ... in input order. The table must give the same parts each time, as scans do; only the parts' sizes meet in one place."""
+    own = df.withColumns({"\1p": F.spark_partition_id(), "\1i": F.monotonically_increasing_id()})
+    size = own.groupBy("\1p").agg(F.count("*").alias("\1n"), F.min("\1i").alias("\1first"))
+    before = F.coalesce(F.sum("\1n").over(Window.orderBy("\1p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = size.select("\1p", (before - F.col("\1first")).alias("\1shift"))
+    return own.join(F.broadcast(start), "\1p").withColumn(into, F.col("\1i") + F.col("\1shift") + 1).select(*df.columns, into)
+
+
+def join_suffixed(left: DataFrame, right: DataFrame, keys: list[str], suffixes: tuple[str, str], how: str = "left") -> DataFrame:
+    """A join in which columns of one name on both sides get the suffixes."""
+    both = {c for c in left.columns if c in right.columns and c not in keys}
+    return left.withColumnsRenamed({c: c + suffixes[0] for c in both}).join(right.withColumnsRenamed({c: c + suffixes[1] for c in both}), keys, how)
+
+
+def on_spine(keys: list[str], *frames: DataFrame) -> DataFrame:
+    """All frames left-joined onto the distinct union of their keys."""
+    spine = reduce(DataFrame.unionByName, (f.select(*keys) for f in frames)).distinct()
+    return reduce(lambda a, b: a.join(b, keys, "left"), frames, spine)
+
+
+def canonical_link(c: Column) -> Column:
+    """A link without query and fragment, by https."""
+    return F.regexp_replace(F.regexp_replace(F.trim(c), "[?#].*$", ""), "^http:", "https:")
+
+
+def same_link(a: Column, b: Column) -> Column:
+    return canonical_link(F.coalesce(a, F.lit(""))) == canonical_link(F.coalesce(b, F.lit("")))
+
+
+def flag(c: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(c, F.lit("")))).isin("1", "true", "yes")
+
+
+def same_flag(a: Column, b: Column) -> Column:
+    return flag(a) == flag(b)
+
+
+def same_text(a: Column, b: Column) -> Column:
+    plain = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    return plain(a) == plain(b)
+
+
+def number(c: Column) -> Column:
+    """A number out of text; null where it is none."""
+    return F.trim(c).try_cast("double")

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Ranges of a cohort's values that are ordered apart.
+BUCKETS = 4096
+
+
 def percentile_rank(value: Column, partition: list[str]) -> Column:
     """100 x the average rank of tied values / rows; a cohort of one row scores 100. Nulls count as 0."""
     v = F.coalesce(value, F.lit(0.0))
@@ -16,6 +20,37 @@ def percentile_rank(value: Column, partition: list[str]) -> Column:
     return F.lit(100.0) * (low + (tied - 1) / F.lit(2.0)) / rows
 
 
+def _by_buckets(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Adds a bucket of the value between its cohort's bounds, the cohort's rows, and those in lower buckets.
+
+    Buckets are ranges of equal width, BUCKETS a cohort, so that their running sum is a small window and the
+    rows of a cohort are ordered bucket by bucket, over many tasks. The table is read three times: it should be a written one.
+    """
+    span = df.groupBy(*keys).agg(F.min(value).alias("\1lo"), F.max(value).alias("\1hi"), F.count("*").alias("\1all"))
+    wide = F.col("\1hi") > F.col("\1lo")
+    place = F.when(wide, F.floor((F.col(value) - F.col("\1lo")) / (F.col("\1hi") - F.col("\1lo")) * BUCKETS)).otherwise(0).cast("int")
+    own = df.join(span, keys).withColumn("\1b", place).drop("\1lo", "\1hi")
+    count = own.groupBy(*keys, "\1b").agg(F.count("*").alias("\1n"))
+    lower = F.sum("\1n").over(Window.partitionBy(*keys).orderBy("\1b").rowsBetween(Window.unboundedPreceding, -1))
+    return own.join(count.select(*keys, "\1b", F.coalesce(lower, F.lit(0)).alias("\1before")), [*keys, "\1b"])
+
+
+def percentile_ranks(df: DataFrame, keys: list[str], value: str, into: str) -> DataFrame:
+    """percentile_rank() of a column without nulls, by buckets."""
+    b = _by_buckets(df, keys, value)
+    low = F.col("\1before") + F.rank().over(Window.partitionBy(*keys, "\1b").orderBy(value))
+    tied = F.count("*").over(Window.partitionBy(*keys, "\1b", value))
+    return b.withColumn(into, F.lit(100.0) * (low + (tied - 1) / F.lit(2.0)) / F.col("\1all")).select(*df.columns, into)
+
+
+def ordered_ranks(df: DataFrame, keys: list[str], falling: str, order: list[Column], into: str) -> DataFrame:
+    """1, 2, 3, ... inside each cohort by a total order that begins with a falling column without nulls, by buckets."""
+    turned = df.withColumn("\1v", -F.col(falling))
+    b = _by_buckets(turned, keys, "\1v")
+    own = F.row_number().over(Window.partitionBy(*keys, "\1b").orderBy(*order))
+    return b.withColumn(into, (F.col("\1before") + own).cast("int")).select(*df.columns, into)
+
+
 def unique_rank(partition: list[str], order: list[Column]) -> Column:
     """1, 2, 3, ... by an order that must be total."""
     return F.row_number().over(Window.partitionBy(*partition).orderBy(*order))

@@ -1,50 +1,14 @@
-"""Queries of outcome inference, name rules, entity recovery, roles and synthesis."""
+"""Queries of entity recovery and rank gaps."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions import rules, text
-from lodestar.functions.scores import mapped, ratio
-from lodestar.operators.windows import unique_rank
-from lodestar.plans.binding import FACT, engagements, table
-from lodestar.plans.ranking import RANKED, TRUST, trusted
+from lodestar.plans.binding import table
+from lodestar.plans.ranking import RANKED, ranked
 from lodestar.plans.registry import query
 
-_TEXTS = "case p_partkey % 6 when 0 then a || ' victory over ' || b when 1 then 'Decisive defeat of ' || a when 2 then b || ' decisive victory' when 3 then 'Draw' when 4 then 'The army of ' || b || ' defeated' else 'see text' end"
-
-
-@query(f"""with n as (select p_partkey, split_part(p_type, ' ', 1) as a, split_part(p_type, ' ', 3) as b from part), r as (select *, {_TEXTS} as result from n),
-  t as (select *, ' ' || regexp_replace(lower(result), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ' as x, lower(a) as la, lower(b) as lb from r),
-  l as (select *, contains(x, ' defeat of ' || la || ' ') or contains(x, ' ' || la || ' defeated ') as lost_a, contains(x, ' defeat of ' || lb || ' ') or contains(x, ' ' || lb || ' defeated ') as lost_b, instr(x, ' ' || la || ' ') as at_a, instr(x, ' ' || lb || ' ') as at_b from t),
-  w as (select *, case when lost_a and not lost_b then 'side_b' when lost_b and not lost_a then 'side_a' when at_a > 0 and (at_b = 0 or at_a < at_b) then 'side_a' when at_b > 0 and (at_a = 0 or at_b < at_a) then 'side_b' end as winner,
-    case when lost_a <> lost_b then 'negated_target_match' when at_a > 0 and (at_b = 0 or at_a < at_b) or at_b > 0 and (at_a = 0 or at_b < at_a) then 'unique_belligerent_match' else 'unknown' end as method,
-    case when regexp_matches(result, '(?i)decisive .*victory') then 'decisive_victory' when regexp_matches(result, '(?i)\\bdraw\\b') then 'draw' when regexp_matches(result, '(?i)\\bvictory\\b') then 'victory' when regexp_matches(result, '(?i)\\bdefeat\\b|\\bdefeated\\b') then 'defeat' else 'unknown' end as kind from l)
-  select p_partkey, winner, method, case when kind = 'draw' then 'draw' when winner = 'side_a' then case when kind = 'decisive_victory' then kind else 'victory' end when winner is not null then case when kind = 'decisive_victory' then 'major_defeat' else 'defeat' end else 'unknown' end as outcome_a,
-    case when kind = 'draw' then 'high' when winner is not null then 'medium' else 'low' end as confidence from w""")
-def rule_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The winner a result text names, and the outcome of the first side."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.split_part("p_type", F.lit(" "), F.lit(1)).alias("a"), F.split_part("p_type", F.lit(" "), F.lit(3)).alias("b"))
-    k = F.col("p_partkey") % 6
-    a, b = F.col("a"), F.col("b")
-    result = F.when(k == 0, F.concat(a, F.lit(" victory over "), b)).when(k == 1, F.concat(F.lit("Decisive defeat of "), a)).when(k == 2, F.concat(b, F.lit(" decisive victory"))).when(k == 3, "Draw").when(k == 4, F.concat(F.lit("The army of "), b, F.lit(" defeated"))).otherwise("see text")
-    p = p.withColumn("result", result)
-    p = p.withColumns({"w": rules.winner_side(F.col("result"), a, b), "kind": text.result_type(F.col("result"))})
-    o = rules.outcome_category(F.lit(""), F.col("kind"), F.lit("side_a"), F.col("w.side"))
-    return p.select("p_partkey", F.col("w.side").alias("winner"), F.col("w.method").alias("method"), o.alias("o")).select("p_partkey", "winner", "method", F.col("o.outcome").alias("outcome_a"), "o.confidence")
-
-
-@query("""with n as (select c_custkey, case c_custkey % 5 when 0 then c_name when 1 then 'flag of ' || c_mktsegment when 2 then '' when 3 then 'Various' else c_mktsegment || ' | ' || c_mktsegment end as name from customer)
-  select c_custkey, case when trim(name) = '' then 'empty_name' else array_to_string(list_sort(list_filter([case when regexp_matches(lower(name), '\\.(svg|png)|\\bflag\\b') then 'graphic_artifact' end, case when lower(name) in ('unknown', 'none', 'various', 'general') then 'generic_value' end,
-    case when len(name) > 80 then 'name_too_long' end, case when contains(name, '|') then 'unbroken_multi_value' end, case when regexp_matches(name, '[0-9]') then 'digits' end], lambda x: x is not null)), ' | ') end as blockers from n""")
-def rule_name_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What speaks against each name."""
-    k = F.col("c_custkey") % 5
-    name = F.when(k == 0, F.col("c_name")).when(k == 1, F.concat(F.lit("flag of "), "c_mktsegment")).when(k == 2, "").when(k == 3, "Various").otherwise(F.concat("c_mktsegment", F.lit(" | "), "c_mktsegment"))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(rules.name_blockers(name), " | ").alias("blockers"))
-
-
 @query("""with s as (select n_nationkey as page, c_custkey, 'F' || (c_custkey % 97) || ' L' || (c_custkey % 211) as full_name from customer join nation on n_nationkey = c_nationkey), u as (select page, split_part(full_name, ' ', 2) as last, min(c_custkey) as id from s group by 1, 2 having count(*) = 1)
   select s_suppkey, u.id as recovered, case when u.id is null then 'quarantine' else 'linked' end as status from supplier left join u on page = s_nationkey and last = 'L' || (s_suppkey % 211)""")
 def rule_surname_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,47 +19,12 @@ def rule_surname_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(u, ["page", "last"], "left").select("s_suppkey", F.col("id").alias("recovered"), F.when(F.col("id").isNull(), "quarantine").otherwise("linked").alias("status"))
 
 
-@query(f"""with {FACT}, r as (select *, case when page_type = 'battle_article' and n_lines = 1 then 'principal_field_commander' when page_type = 'battle_article' then 'overall_commander' when page_type = 'operation_article' then 'wing_or_corps_commander' when page_type = 'campaign_article' then 'staff_or_planning' else 'nominal_leader' end as role from fact),
-  w as (select *, case role when 'overall_commander' then 1.0::double when 'principal_field_commander' then 0.9::double when 'wing_or_corps_commander' then 0.6::double when 'staff_or_planning' then 0.4::double else 0.2::double end as weight from r),
-  s as (select commander_id, role, count(*) as n, sum(weight) as m from w group by 1, 2), t as (select commander_id, sum(m) as m, sum(n) as n from s group by 1), d as (select commander_id, role, row_number() over (partition by commander_id order by round(m, 9) desc, role) as rn from s)
-  select t.commander_id, role as dominant, round(t.m / t.n, 6) as adjustment from t join d using (commander_id) where rn = 1""")
-def role_adjustment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles by rule, their weights, the dominant role and the mean weight."""
-    kind = F.col("page_type")
-    role = F.when((kind == "battle_article") & (F.col("n_lines") == 1), "principal_field_commander").when(kind == "battle_article", "overall_commander").when(kind == "operation_article", "wing_or_corps_commander").when(kind == "campaign_article", "staff_or_planning").otherwise("nominal_leader")
-    s = engagements(spark, sf_dir).withColumn("role", role).groupBy("commander_id", "role").agg(F.count("*").alias("n"), F.sum(mapped(F.col("role"), rules.ROLES)).alias("m"))
-    best = F.min_by("role", F.struct(-F.round("m", 9), F.col("role")))
-    return s.groupBy("commander_id").agg(best.alias("dominant"), F.round(ratio(F.sum("m"), F.sum("n")), 6).alias("adjustment"))
-
-
-@query(f"""with {TRUST}, s as (select *, row_number() over (order by sd desc, commander_id) as by_sd, row_number() over (order by higher_share desc, commander_id) as by_broad from trust)
-  select commander_id, trust_rank <= 30 as by_rank, by_sd <= 20 as unstable, by_broad <= 20 as broad from s where trust_rank <= 30 or by_sd <= 20 or by_broad <= 20""")
-def curation_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The union of several top-k sets, with why each row is in it."""
-    # One row a commander: the global orders run over an aggregate.
-    t = trusted(spark, sf_dir).withColumns({"by_sd": unique_rank([], [F.desc("sd"), F.asc("commander_id")]), "by_hb": unique_rank([], [F.desc("higher_share"), F.asc("commander_id")])})
-    rank, sd, hb = F.col("trust_rank") <= 30, F.col("by_sd") <= 20, F.col("by_hb") <= 20
-    return t.filter(rank | sd | hb).select("commander_id", rank.alias("by_rank"), sd.alias("unstable"), hb.alias("broad"))
-
-
-@query(f"""with {TRUST}, g as (select commander_id, trust_rank, unnest(list_filter([case when higher_share >= 0.4 then 'broad_pages' end, case when known < 10 then 'thin_outcomes' end, case when spread > 30 then 'model_sensitive' end, case when label = 'caution' then 'low_trust' end], lambda x: x is not null)) as caveat from trust),
-  r as (select *, row_number() over (partition by caveat order by trust_rank) as place from g) select caveat, commander_id, place::int as place from r where place <= 40""")
-def report_caveat_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping caveat groups, the 40 best ranked of each."""
-    c = F.col
-    flags = {"broad_pages": c("higher_share") >= 0.4, "thin_outcomes": c("known") < 10, "model_sensitive": c("spread") > 30, "low_trust": c("label") == "caution"}
-    g = trusted(spark, sf_dir).select("commander_id", "trust_rank", F.explode(F.filter(F.array(*(F.when(v, k) for k, v in flags.items())), lambda x: x.isNotNull())).alias("caveat"))
-    return g.withColumn("place", unique_rank(["caveat"], [F.asc("trust_rank")])).filter("place <= 40").select("caveat", "commander_id", "place")
-
-
 @query(f"""with {RANKED}, x as (select commander_id, model, rank from ranked where model in ('hierarchical_weighted', 'hierarchical_trust_v2', 'battle_only_baseline')), w as (select commander_id, max(case when model = 'hierarchical_trust_v2' then rank end) as t, max(case when model = 'hierarchical_weighted' then rank end) as h, max(case when model = 'battle_only_baseline' then rank end) as b from x group by 1)
   select commander_id, abs(t - h) as gap_weighted, abs(t - b) as gap_battle, case when b is null then 'no_battle_rank' when abs(t - b) > abs(t - h) then 'page_scope' when abs(t - h) > 0 then 'component_weights' else 'none' end as driver, format('Rank {{}}; battle rank {{}}', t, coalesce(b::varchar, 'none')) as sentence from w where t is not null""")
 def report_gap_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank gaps between models, what drives them, and a sentence from a template."""
-    from lodestar.plans.ranking import ranked
-
     pick = lambda m: F.max(F.when(F.col("model") == m, F.col("rank")))
-    w = ranked(spark, sf_dir).groupBy("commander_id").agg(pick("hierarchical_trust_v2").alias("t"), pick("hierarchical_weighted").alias("h"), pick("battle_only_baseline").alias("b")).filter("t is not null")
+    w = ranked(spark, sf_dir, ["hierarchical_trust_v2", "hierarchical_weighted", "battle_only_baseline"]).groupBy("commander_id").agg(pick("hierarchical_trust_v2").alias("t"), pick("hierarchical_weighted").alias("h"), pick("battle_only_baseline").alias("b")).filter("t is not null")
     gh, gb = F.abs(F.col("t") - F.col("h")), F.abs(F.col("t") - F.col("b"))
     driver = F.when(F.col("b").isNull(), "no_battle_rank").when(gb > gh, "page_scope").when(gh > 0, "component_weights").otherwise("none")
     said = F.format_string("Rank %s; battle rank %s", F.col("t").cast("string"), F.coalesce(F.col("b").cast("string"), F.lit("none")))

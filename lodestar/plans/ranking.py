@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.functions.scores import OUTCOME_SCORES, OVERLAP_PENALTY, PAGE_WEIGHTS, SHRINK, cap_factor, ladder, mapped, ratio, score_tier, steady
+from lodestar.functions.scores import ERAS, OUTCOME_SCORES, OVERLAP_PENALTY, PAGE_WEIGHTS, SHRINK, cap_factor, ladder, mapped, ratio, score_tier, steady
 from lodestar.operators.relational import join_flags
-from lodestar.operators.windows import any_over, percentile_rank, top_by, unique_rank
+from lodestar.operators.tables import shared_table
+from lodestar.operators.windows import any_over, ordered_ranks, percentile_ranks, top_by
 from lodestar.plans.binding import FACT, engagements, table
 from lodestar.plans.registry import query
 
@@ -72,23 +73,34 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def metrics(fact: DataFrame) -> DataFrame:
-    """All metric sets in one aggregation: each row is exploded to the sets in which it has weight."""
-    sets = []
-    for name, (gate, scores, presence, credit) in SETS.items():
+def _marks(value: Column, names: list[str]) -> Column:
+    """One bit for each of a few known names; bits of a group are or-ed and counted, which says how many it has."""
+    return mapped(value, {name: 1 << k for k, name in enumerate(names)}, 0)
+
+
+def metrics(fact: DataFrame, sets: list[str]) -> DataFrame:
+    """The given metric sets in one aggregation: each row is exploded to the sets in which it has weight.
+
+    Conflicts are counted by a first grouping, which the partitioning of the fact by commander and conflict serves without
+    another shuffle; kinds and eras are counted by bits.
+    """
+    structs = []
+    for name in sets:
+        gate, scores, presence, credit = SETS[name]
         w = F.col(f"weight_{gate}")
-        sets.append(F.struct(F.lit(name).alias("set"), w.alias("w"), (w * F.col(f"presence_{presence}")).alias("p"), (w * F.col(f"credit_{credit}")).alias("o"), (w * F.col(f"credit_{credit}") * F.col(f"score_{scores}")).alias("v")))
-    rows = fact.select("commander_id", "page_type", "known", "conflict", "era", "opponent", "year", "strict", F.explode(F.filter(F.array(*sets), lambda s: s["w"] > 0)).alias("s"))
+        structs.append(F.struct(F.lit(name).alias("set"), w.alias("w"), (w * F.col(f"presence_{presence}")).alias("p"), (w * F.col(f"credit_{credit}")).alias("o"), (w * F.col(f"credit_{credit}") * F.col(f"score_{scores}")).alias("v")))
+    rows = fact.select("commander_id", "page_type", "known", "conflict", "era", "year", "strict", F.explode(F.filter(F.array(*structs), lambda s: s["w"] > 0)).alias("s"))
     kind = lambda k: F.count_if(F.col("page_type") == k)
     battle = F.col("page_type") == BATTLE
-    out = rows.groupBy(F.col("s.set").alias("set"), "commander_id").agg(
-        F.count("*").alias("engagements"), kind(BATTLE).alias("battles"), kind(OPERATION).alias("operations"), kind(CAMPAIGN).alias("campaigns"), kind(WAR).alias("wars"),
-        F.count_if("known").alias("known"), F.count_if(battle & F.col("known")).alias("known_battles"), F.sum("s.p").alias("presence"), F.sum(F.when(~battle, F.col("s.p")).otherwise(0.0)).alias("nonbattle"),
-        F.sum("s.o").alias("outcome_weight"), F.sum("s.v").alias("outcome_value"), F.countDistinct("conflict").alias("conflicts"), F.countDistinct("page_type").alias("page_types"),
-        F.countDistinct(F.when(F.col("era") != "unknown", F.col("era"))).alias("eras"), F.min("year").alias("first_year"), F.max("year").alias("last_year"),
-        F.countDistinct(F.when(F.col("strict"), F.col("opponent"))).alias("opponents"),
-        F.min(F.when(F.col("strict") & (F.col("page_type") != WAR), F.col("year"))).alias("lo"), F.max(F.when(F.col("strict") & (F.col("page_type") != WAR), F.col("year"))).alias("hi"),
-    )
+    inner = F.when(F.col("strict") & (F.col("page_type") != WAR), F.col("year"))
+    added = {"engagements": F.count("*"), "battles": kind(BATTLE), "operations": kind(OPERATION), "campaigns": kind(CAMPAIGN), "wars": kind(WAR), "known": F.count_if("known"), "known_battles": F.count_if(battle & F.col("known")),
+             "presence": F.sum("s.p"), "nonbattle": F.sum(F.when(~battle, F.col("s.p")).otherwise(0.0)), "outcome_weight": F.sum("s.o"), "outcome_value": F.sum("s.v")}
+    least, most = {"first_year": F.min("year"), "lo": F.min(inner)}, {"last_year": F.max("year"), "hi": F.max(inner)}
+    bits = {"page_types": F.bit_or(_marks(F.col("page_type"), list(PAGE_WEIGHTS))), "eras": F.bit_or(_marks(F.col("era"), [*ERAS, "contemporary"]))}
+    one = rows.groupBy(F.col("s.set").alias("set"), "commander_id", "conflict").agg(*(v.alias(k) for k, v in (added | least | most | bits).items()))
+    out = one.groupBy("set", "commander_id").agg(
+        *(F.sum(k).alias(k) for k in added), F.count("conflict").alias("conflicts"), *(F.min(k).alias(k) for k in least), *(F.max(k).alias(k) for k in most), *(F.bit_count(F.bit_or(k)).alias(k) for k in bits)
+    )
     n = F.col("engagements")
     return out.withColumns(
         {
@@ -114,11 +126,28 @@ def profile_class() -> Column:
     return F.when(battle >= 0.7, "battle_dominant").when((broad >= 0.5) & (broad > battle), "war_campaign_heavy").when(operation >= 0.4, "operation_heavy").otherwise("mixed_profile")
 
 
-def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every model's ranking in long form. Components are percentile ranks inside the model's own cohort."""
-    config = spark.createDataFrame([(m, s, r) for m, (s, r) in MODELS.items()], "model string, set string, rule string")
+#: Components of each weight that is itself a mean.
+PARTS = {"scope": ["scope_conflict", "scope_type", "scope_era"]}
+
+
+def ranked(spark: SparkSession, sf_dir: str, models: list[str] | None = None) -> DataFrame:
+    """The ranking of the given models, or of all, in long form. Components are percentile ranks inside the model's own cohort.
+
+    Only the metric sets and components of these models are made. The cohorts and the scores, a row a model and
+    commander, are written once, as their ranks are found bucket by bucket.
+    """
+    models = models or list(MODELS)
+    used = sorted({MODELS[m][0] for m in models})
+    config = spark.createDataFrame([(m, *MODELS[m]) for m in models], "model string, set string, rule string")
     supp = table(spark, sf_dir, "supplier").filter((F.col("s_acctbal") >= -500) & (F.col("s_acctbal") <= 9900)).select(F.col("s_suppkey").alias("commander_id"), F.col("s_name").alias("name"))
-    frame = metrics(prepared(spark, sf_dir)).join(supp, "commander_id").join(F.broadcast(config), "set")
+    fact = prepared(spark, sf_dir)
+    frame = metrics(fact, used).join(supp, "commander_id").join(F.broadcast(config), "set")
+    if any(MODELS[m][1] == "trust" for m in models):
+        # Opponents of strict pages: distinct pairs first, so that no frequent one is held by a task.
+        met = engagements(spark, sf_dir).filter("strict").select("commander_id", "opponent").distinct().groupBy("commander_id").agg(F.count("opponent").alias("opponents"))
+        frame = frame.join(met, "commander_id", "left").fillna({"opponents": 0})
+    else:
+        frame = frame.withColumn("opponents", F.lit(0).cast("long"))
     rule = F.col("rule")
     n, kb, b = F.col("known"), F.col("known_battles"), F.col("battles")
     cohort = F.when(rule == "baseline", (b >= 5) & (kb >= 3)).when(rule == "battle_only", (b >= 3) & (kb >= 1)).otherwise((F.col("engagements") >= 5) & (n >= 3))
@@ -137,16 +166,16 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
         "evidence": 0.6 * F.col("known_share") + 0.4 * F.col("known_battle_share"),
         "sustained": 0.45 * F.log1p(n) + 0.2 * F.log1p("conflicts") + 0.2 * F.log1p("opponents") + 0.15 * F.log1p(b + F.col("campaigns")),
     }
-    frame = frame.withColumns({f"r_{k}": steady(v) for k, v in raw.items()})
-    frame = frame.withColumns({f"c_{k}": percentile_rank(F.col(f"r_{k}"), ["model"]) for k in raw})
-    frame = frame.withColumn("c_scope", (F.col("c_scope_conflict") + F.col("c_scope_type") + F.col("c_scope_era")) / 3.0)
-    score = F.lit(0.0)
-    for name, weights in WEIGHTS.items():
-        score = F.when(rule == name, reduce(lambda x, y: x + y, (F.lit(w) * F.col(f"c_{k}") for k, w in weights.items()))).otherwise(score)
     factor = F.when(narrow, 1.0).otherwise(guardrail(rule == "trust"))
-    frame = frame.withColumn("factor", factor).withColumn("score", steady(score * F.col("factor")))
+    frame = shared_table(frame.withColumns({f"r_{k}": F.coalesce(steady(v), F.lit(0.0)) for k, v in raw.items()} | {"factor": factor}), "cohorts")
+    weights = {r: {c: w / len(PARTS.get(k, [k])) for k, w in ws.items() for c in PARTS.get(k, [k])} for r, ws in WEIGHTS.items()}
+    own = [r for r in weights if any(MODELS[m][1] == r for m in models)]
+    parts = [F.struct(F.lit(k).alias("part"), F.col(f"r_{k}").alias("v"), reduce(lambda x, r: F.when(rule == r, F.lit(weights[r][k])).otherwise(x), (r for r in own if k in weights[r]), F.lit(None).cast("double")).alias("w")) for k in raw if any(k in weights[r] for r in own)]
+    long = frame.select("model", "commander_id", F.explode(F.filter(F.array(*parts), lambda x: x["w"].isNotNull())).alias("x")).select("model", "commander_id", "x.*")
+    score = percentile_ranks(long, ["model", "part"], "v", "pct").groupBy("model", "commander_id").agg(F.sum(F.col("w") * F.col("pct")).alias("sum"))
+    scored = frame.join(score, ["model", "commander_id"]).withColumn("score", steady(F.col("sum") * F.col("factor"))).drop("sum")
     order = [F.desc("score"), F.desc("r_outcome"), F.desc("engagements"), F.asc("name")]
-    return frame.withColumn("rank", unique_rank(["model"], order)).withColumns({"profile": profile_class(), "tier": score_tier(F.col("score"))})
+    return ordered_ranks(shared_table(scored, "scores"), ["model"], "score", order, "rank").withColumns({"profile": profile_class(), "tier": score_tier(F.col("score"))})
 
 
 def _sum_sql(values: dict[str, float], key: str) -> str:
@@ -198,7 +227,7 @@ ranked as (select *, row_number() over (partition by model order by score desc,
 @query(f"with {RANKED} select rank, commander_id, name, battles, known_battles, round(r_outcome, 6) as outcome, round(score, 6) as score, tier from ranked where model = 'baseline_conservative'")
 def rank_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conservative baseline ranking."""
-    r = ranked(spark, sf_dir).filter(F.col("model") == "baseline_conservative")
+    r = ranked(spark, sf_dir, ["baseline_conservative"])
     return r.select("rank", "commander_id", "name", "battles", "known_battles", F.round("r_outcome", 6).alias("outcome"), F.round("score", 6).alias("score"), "tier")
 
 
@@ -218,14 +247,14 @@ def sensitivity(r: DataFrame) -> DataFrame:
     return r.groupBy("commander_id", "name").agg(
         F.count(own).alias("models"), F.min(own).alias("best"), F.max(own).alias("worst"), (F.max(own) - F.min(own)).alias("spread"), F.avg(own).alias("mean"), F.median(own).alias("mid"), F.stddev_pop(own).alias("sd"), (q[1] - q[0]).alias("iqr"),
         *(F.count_if(own <= k).alias(f"top{k}") for k in (10, 25, 50, 100)), trust("rank").alias("trust_rank"), trust("score").alias("trust_score"), trust("known").alias("known"), trust("battles").alias("battles"), trust("higher_share").alias("higher_share"),
-        trust("known_share").alias("known_share"), trust("campaigns").alias("campaigns"), trust("wars").alias("wars"), F.max(F.when(F.col("model") == "battle_only_baseline", F.col("rank"))).alias("battle_rank"), F.max(F.when(F.col("model") == "hierarchical_trust_v2", F.col("profile"))).alias("profile"),
+        trust("known_share").alias("known_share"), trust("campaigns").alias("campaigns"), trust("wars").alias("wars"), trust("engagements").alias("engagements"), F.max(F.when(F.col("model") == "battle_only_baseline", F.col("rank"))).alias("battle_rank"), F.max(F.when(F.col("model") == "hierarchical_trust_v2", F.col("profile"))).alias("profile"),
     ).filter("models > 0")
 
 
 SENSITIVITY = RANKED + f""", own as (select *, case when model in ({", ".join(f"'{m}'" for m in TRUSTED)}) then rank end as k, model = 'hierarchical_trust_v2' as t from ranked),
 sens as (select commander_id, name, count(k) as models, min(k) as best, max(k) as worst, max(k) - min(k) as spread, avg(k) as mean, median(k) as mid, stddev_pop(k) as sd, quantile_cont(k, 0.75) - quantile_cont(k, 0.25) as iqr,
   count_if(k <= 10) as top10, count_if(k <= 25) as top25, count_if(k <= 50) as top50, count_if(k <= 100) as top100, max(case when t then rank end) as trust_rank, max(case when t then score end) as trust_score, max(case when t then known end) as known,
-  max(case when t then battles end) as battles, max(case when t then higher_share end) as higher_share, max(case when t then known_share end) as known_share, max(case when t then campaigns end) as campaigns, max(case when t then wars end) as wars,
+  max(case when t then battles end) as battles, max(case when t then higher_share end) as higher_share, max(case when t then known_share end) as known_share, max(case when t then campaigns end) as campaigns, max(case when t then wars end) as wars, max(case when t then engagements end) as engagements,
   max(case when model = 'battle_only_baseline' then rank end) as battle_rank, max(case when t then profile end) as profile from own group by 1, 2 having count(k) > 0)"""
 
 #: Trusted models, band weights and limits of the stability score.
@@ -251,7 +280,7 @@ stable as (select *, {_ladder_sql('stability', STABILITY, 'too_sparse')} as cate
 @query(f"with {STABLE} select commander_id, models, best, worst, spread, round(mean, 6) as mean, round(mid, 6) as mid, round(sd, 6) as sd, round(iqr, 6) as iqr, top10::bigint as top10, top25::bigint as top25, top50::bigint as top50, top100::bigint as top100, stability, category from stable")
 def rank_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank spread across the trusted models and the stability score."""
-    s = stability(sensitivity(ranked(spark, sf_dir)))
+    s = stability(sensitivity(ranked(spark, sf_dir, TRUSTED)))
     return s.select("commander_id", "models", "best", "worst", "spread", *(F.round(c, 6).alias(c) for c in ("mean", "mid", "sd", "iqr")), "top10", "top25", "top50", "top100", "stability", "category")
 
 
@@ -275,7 +304,7 @@ trust as (select *, case when label in ('very_high', 'high') and trust_rank <= 1
 
 
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = stability(sensitivity(ranked(spark, sf_dir))).filter(F.col("trust_rank").isNotNull())
+    s = stability(sensitivity(ranked(spark, sf_dir, TRUSTED))).filter(F.col("trust_rank").isNotNull())
     return s.withColumn("label", confidence(F.col("spread"))).withColumn("trust_tier", trust_tier(F.col("label")))
 
 
@@ -287,29 +316,31 @@ def rank_trust_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trusted(spark, sf_dir).select("commander_id", "trust_rank", "label", "trust_tier", steadiness.alias("steadiness"))
 
 
-@query(f"""with {TRUST} select commander_id, case when trust_rank <= 25 and stability >= 68 and known >= 10 and known_share >= 0.6 and higher_share <= 0.35 then 'a' when trust_rank <= 50 and stability >= 52 then 'b' when trust_rank <= 100 and (known >= 5 or known_share >= 0.5) then 'c'
-  when battle_rank <= 100 and (battles >= 5 or contains(profile, 'battle')) then 'd' when trust_rank <= 150 or campaigns + wars > battles then 'e' else 'unclassified' end as tier from trust""")
-def rank_tier_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiers A to E, first rule that holds."""
+TIER_SQL = """case when siege_rows >= 0.35 then 'd' when trust_rank <= 25 and stability >= 68 and known >= 10 and known_share >= 0.6 and higher_share <= 0.35 then 'a' when trust_rank <= 50 and stability >= 52 then 'b' when trust_rank <= 100 and (known >= 5 or known_share >= 0.5) then 'c'
+  when battle_rank <= 100 and (battles >= 5 or contains(profile, 'battle')) then 'd' when trust_rank <= 150 or campaigns + wars > battles then 'e' else 'unclassified' end"""
+
+
+def page_tier() -> Column:
+    """Tiers A to E of a trusted row with its share of sieges, first rule that holds."""
     r, k, s = F.col("trust_rank"), F.col("known"), F.col("known_share")
-    tier = (
-        F.when((r <= 25) & (F.col("stability") >= 68) & (k >= 10) & (s >= 0.6) & (F.col("higher_share") <= 0.35), "a")
+    return (
+        F.when(F.col("siege_rows") >= 0.35, "d")
+        .when((r <= 25) & (F.col("stability") >= 68) & (k >= 10) & (s >= 0.6) & (F.col("higher_share") <= 0.35), "a")
         .when((r <= 50) & (F.col("stability") >= 52), "b")
         .when((r <= 100) & ((k >= 5) | (s >= 0.5)), "c")
         .when((F.col("battle_rank") <= 100) & ((F.col("battles") >= 5) | F.contains("profile", F.lit("battle"))), "d")
         .when((r <= 150) | (F.col("campaigns") + F.col("wars") > F.col("battles")), "e")
         .otherwise("unclassified")
     )
-    return trusted(spark, sf_dir).select("commander_id", tier.alias("tier"))
 
 
 @query(f"""with {RANKED}, t as (select *, least(1, case when higher_share <= 0.4 then 1 else greatest(0, 1 - higher_share + least(higher_share, 0.4::double / 0.6::double * (1 - higher_share))) end) as cap from ranked where model = 'hierarchical_trust_v2')
   select commander_id, rank, round(cap, 6) as cap, round(score * cap, 6) as capped, row_number() over (order by round(score * cap, 9) desc, score desc, rank)::int as capped_rank, row_number() over (order by round(score * cap, 9) desc, score desc, rank)::int - rank as moved from t""")
 def rank_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trust ranking with broad evidence capped, and how ranks move."""
-    t = ranked(spark, sf_dir).filter(F.col("model") == "hierarchical_trust_v2").withColumn("cap", cap_factor(F.col("higher_share")))
-    t = t.withColumn("c", steady(F.col("score") * F.col("cap")))
-    t = t.withColumn("capped_rank", unique_rank(["model"], [F.desc("c"), F.desc("score"), F.asc("rank")]))
+    t = ranked(spark, sf_dir, ["hierarchical_trust_v2"]).withColumn("cap", cap_factor(F.col("higher_share")))
+    t = shared_table(t.withColumn("c", steady(F.col("score") * F.col("cap"))), "capped")
+    t = ordered_ranks(t, ["model"], "c", [F.desc("c"), F.desc("score"), F.asc("rank")], "capped_rank")
     return t.select("commander_id", "rank", F.round("cap", 6).alias("cap"), F.round(F.col("score") * F.col("cap"), 6).alias("capped"), "capped_rank", (F.col("capped_rank") - F.col("rank")).alias("moved"))
 
 
@@ -349,43 +380,3 @@ def rank_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("commander_id")
     s = s.withColumns({"total": F.sum("c").over(w), "rn": F.row_number().over(w.orderBy(F.desc(steady(F.col("c"))), F.asc("page_type")))})
     return s.select("commander_id", "page_type", F.round(ratio(F.col("c"), F.col("total")), 6).alias("share"), (F.col("rn") == 1).alias("dominant"))
-
-
-@query(f"""with {TRUST} select commander_id, unnest(list_filter([case when spread > 40 then 'wide_rank_spread' end, case when higher_share >= 0.4 then 'broad_evidence' end, case when known < 10 then 'few_known_outcomes' end, case when stability < 52 then 'unstable' end, case when trust_rank <= 25 and label = 'caution' then 'high_rank_low_trust' end,
-  case when battle_rank is null then 'no_battle_rank' end, case when trust_rank - battle_rank > 25 then 'battle_better' end, case when battle_rank - trust_rank > 25 then 'broad_better' end], lambda x: x is not null)) as flag from trust""")
-def rank_audit_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit flags of each ranked commander, a row each."""
-    c = F.col
-    gap = c("trust_rank") - c("battle_rank")
-    flags = {"wide_rank_spread": c("spread") > 40, "broad_evidence": c("higher_share") >= 0.4, "few_known_outcomes": c("known") < 10, "unstable": c("stability") < 52, "high_rank_low_trust": (c("trust_rank") <= 25) & (c("label") == "caution"), "no_battle_rank": c("battle_rank").isNull(), "battle_better": gap > 25, "broad_better": gap < -25}
-    return trusted(spark, sf_dir).select("commander_id", F.explode(F.filter(F.array(*(F.when(v, k) for k, v in flags.items())), lambda x: x.isNotNull())).alias("flag"))
-
-
-def bootstrap(spark: SparkSession, sf_dir: str, iterations: int = 200) -> DataFrame:
-    """Rank intervals from resampled pages.
-
-    Page multiplicities are Poisson(1) numbers from a hash of (iteration, page), so every task makes its own without a draw table;
-    the fact is first reduced to one row a commander and page. All iterations rank inside one plan, partitioned by iteration.
-    """
-    f = prepared(spark, sf_dir).filter("weight_strict > 0")
-    w = F.col("weight_strict")
-    base = f.select("commander_id", "page_id", w.alias("p"), (w * F.col("credit_split")).alias("o"), (w * F.col("credit_split") * F.col("score_balanced")).alias("v"), F.col("known").cast("int").alias("k"))
-    # Limits of the Poisson(1) distribution function on 2**32 parts.
-    u = F.pmod(F.xxhash64("i", "page_id"), F.lit(1 << 32))
-    limits = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940581, 0.99991675]
-    n = sum(((u >= int(x * (1 << 32))).cast("int") for x in limits), F.lit(0))
-    drawn = base.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).withColumn("n", n).filter("n > 0")
-    g = drawn.groupBy("i", "commander_id").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("p")).alias("presence"), F.sum(F.col("n") * F.col("o")).alias("ow"), F.sum(F.col("n") * F.col("v")).alias("ov"), F.sum(F.col("n") * F.col("k")).alias("known"))
-    g = g.withColumns({"a": steady(ratio(F.col("ov"), F.col("ow")) * F.col("known") / (F.col("known") + SHRINK)), "b": steady(F.log1p("presence")), "c": steady(F.col("known") / F.col("m"))})
-    g = g.withColumn("score", steady(sum((F.lit(x) * percentile_rank(F.col(k), ["i"]) for k, x in (("a", 0.6), ("b", 0.3), ("c", 0.1))), F.lit(0.0))))
-    return g.withColumn("rank", unique_rank(["i"], [F.desc("score"), F.desc("a"), F.asc("commander_id")]))
-
-
-@query()
-def rank_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """80 % rank intervals over 200 resamples, widths, presence and top-10 rates."""
-    q = F.percentile(F.col("rank").cast("double"), F.array(*(F.lit(x) for x in (0.1, 0.5, 0.9))))
-    g = bootstrap(spark, sf_dir).groupBy("commander_id").agg(q.alias("q"), (F.countDistinct("i") / 200.0).alias("presence"), (F.count_if(F.col("rank") <= 10) / 200.0).alias("top10"))
-    width = F.col("q")[2] - F.col("q")[0]
-    band = F.when(width <= 10, "narrow").when(width <= 30, "moderate").when(width <= 100, "wide").otherwise("very_wide")
-    return g.select("commander_id", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p90"), width.alias("width"), band.alias("band"), F.format_string("%.0f-%.0f", F.col("q")[0], F.col("q")[2]).alias("interval"), "presence", "top10")

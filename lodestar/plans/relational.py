@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.functions.scores import ratio
+from lodestar.functions.scores import ERAS, mapped, ratio
 from lodestar.operators import relational as rel
-from lodestar.operators.windows import any_over, first_by, percentile_rank, share_over, top_by, unique_rank
+from lodestar.operators.tables import shared_table
+from lodestar.operators.windows import any_over, ordered_ranks, percentile_rank, share_over, top_by, unique_rank
 from lodestar.plans.binding import FACT, engagements, table
 from lodestar.plans.registry import query
 
@@ -110,13 +111,13 @@ def rel_group_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {FACT} select a.commander_id, a.page_id, string_agg(b.commander_id::varchar, ' | ' order by b.commander_id::varchar) as opposing
   from fact a join fact b on a.page_id = b.page_id and a.side <> b.side and a.commander_id <> b.commander_id group by 1, 2""")
 def rel_opposite_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who stood on the other sides of each page, as a sorted list-string: one shuffle by page, a list a side, no self-join of rows."""
-    fact = engagements(spark, sf_dir).select("commander_id", "page_id", "side")
-    page = fact.groupBy("page_id").agg(F.collect_list(F.struct("commander_id", "side")).alias("all"))
-    row = page.select("page_id", "all", F.explode("all").alias("me"))
-    others = F.filter("all", lambda x: (x["side"] != F.col("me.side")) & (x["commander_id"] != F.col("me.commander_id")))
-    names = F.array_sort(F.transform(others, lambda x: x["commander_id"].cast("string")))
-    return row.select(F.col("me.commander_id").alias("commander_id"), "page_id", F.array_join(names, " | ").alias("opposing")).filter(F.size(names) > 0)
+    """Who stood on the other sides of each page, as a sorted list-string, made once a side instead of once a row."""
+    side = engagements(spark, sf_dir).groupBy("page_id", "side").agg(F.collect_list("commander_id").alias("ids"))
+    other = side.select("page_id", F.col("side").alias("their_side"), F.col("ids").alias("them"))
+    # A page has few sides, so a pair of sides is one of few rows of its page.
+    met = side.join(other, "page_id").filter("side <> their_side").groupBy("page_id", "side").agg(F.first("ids").alias("ids"), F.flatten(F.collect_list("them")).alias("them"))
+    names = F.array_join(F.array_sort(F.transform("them", lambda x: x.cast("string"))), " | ")
+    return met.select("ids", "page_id", names.alias("opposing")).select(F.explode("ids").alias("commander_id"), "page_id", "opposing")
 
 
 @query(f"""with {FACT}, span as (select commander_id, min(year) filter (page_type <> 'war_conflict_article' and strict) as lo, max(year) filter (page_type <> 'war_conflict_article' and strict) as hi from fact group by 1)
@@ -136,12 +137,13 @@ def rel_range_after_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rel_many_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, conditional and distinct counts, extremes, spread, exact interpolated quantiles in one pass."""
     year = F.col("year").cast("double")
-    quart = F.percentile(year, F.array(F.lit(0.25), F.lit(0.75)))
+    at = F.percentile(year, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    eras = F.bit_count(F.bit_or(mapped(F.col("era"), {e: 1 << k for k, e in enumerate([*ERAS, "contemporary"])}, 0)))
     return engagements(spark, sf_dir).groupBy("commander_id").agg(
         F.count("*").alias("n"), F.count_if(F.col("outcome") != "unknown").alias("known"), F.countDistinct("conflict").alias("conflicts"),
-        F.countDistinct(F.when(F.col("era") != "unknown", F.col("era"))).alias("eras"), F.min("year").alias("first_year"), F.max("year").alias("last_year"),
-        F.sum(F.abs(F.col("year") - 1500)).alias("distance"), F.round(F.median("year"), 6).alias("mid_year"), F.round(F.stddev_samp("year"), 6).alias("sd1"), F.round(F.stddev_pop("year"), 6).alias("sd0"),
-        F.when(F.count("*") >= 2, F.round(F.var_pop("year"), 4)).alias("variance"), F.round(quart[0], 6).alias("q25"), F.round(quart[1], 6).alias("q75"),
+        eras.cast("long").alias("eras"), F.min("year").alias("first_year"), F.max("year").alias("last_year"),
+        F.sum(F.abs(F.col("year") - 1500)).alias("distance"), F.round(at[1], 6).alias("mid_year"), F.round(F.stddev_samp("year"), 6).alias("sd1"), F.round(F.stddev_pop("year"), 6).alias("sd0"),
+        F.when(F.count("*") >= 2, F.round(F.var_pop("year"), 4)).alias("variance"), F.round(at[0], 6).alias("q25"), F.round(at[2], 6).alias("q75"),
     )
 
 
@@ -209,13 +211,20 @@ def rel_latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with p as (select o_orderpriority as kind, o_custkey, max(o_totalprice) as best, count(*) as n from orders group by 1, 2),
   r as (select *, row_number() over (partition by kind order by best desc, n desc, o_custkey) as rn from p)
-  select kind, o_custkey, rn, row_number() over (order by rn, kind) as place, ((rn - 1) % 4)::int as shard from r where rn <= 50""")
+  select kind, o_custkey, rn, row_number() over (order by rn, kind) as place, ((rn - 1) % 4)::int as shard from r""")
 def rel_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Priorities from maxima and counts, fair interleaving of kinds, round-robin shards."""
+    """Priorities from maxima and counts, fair interleaving of kinds, round-robin shards, over all rows.
+
+    The place in the global order needs no global sort: before a row stand, of each kind, the rows of lower rank, and of kinds
+    that sort earlier one of the same rank.
+    """
     own = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("kind"), "o_custkey").agg(F.max("o_totalprice").alias("best"), F.count("*").alias("n"))
-    best = top_by(own, ["kind"], [F.desc("best"), F.desc("n"), F.asc("o_custkey")], 50)
-    # At most 50 rows a kind stand in the one global order.
-    return best.select("kind", "o_custkey", F.col("rn").cast("long"), F.row_number().over(Window.orderBy("rn", "kind")).cast("long").alias("place"), F.pmod(F.col("rn") - 1, F.lit(4)).cast("int").alias("shard"))
+    own = shared_table(own, "priorities")
+    r = ordered_ranks(own, ["kind"], "best", [F.desc("best"), F.desc("n"), F.asc("o_custkey")], "rn")
+    # One row a kind, in one array.
+    sizes = own.groupBy("kind").agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("kind", "n")).alias("sizes"))
+    ahead = F.aggregate("sizes", F.lit(0).cast("long"), lambda acc, k: acc + F.least(k["n"], F.col("rn") - 1) + ((k["kind"] <= F.col("kind")) & (k["n"] >= F.col("rn"))).cast("long"))
+    return rel.beside(r, sizes).select("kind", "o_custkey", F.col("rn").cast("long").alias("rn"), ahead.alias("place"), F.pmod(F.col("rn") - 1, F.lit(4)).cast("int").alias("shard"))
 
 
 @query(f"""with {FACT} select era, page_type, outcome, count(*) as n, (grouping(era) * 4 + grouping(page_type) * 2 + grouping(outcome))::bigint as level
@@ -291,12 +300,17 @@ def rel_best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with u as (select o_custkey as k from orders where o_orderpriority = '1-URGENT' union select o_custkey from orders where o_totalprice > 200000),
   i as (select o_custkey as k from orders where o_orderpriority = '1-URGENT' intersect select o_custkey from orders where o_totalprice > 200000),
   d as (select k from u except select k from i)
-  select (select count(*) from u) as united, (select count(*) from i) as shared, (select count(*) from d) as apart, not exists (select k from i except select k from u) as inside""")
+  select (select count(*) from u) as united, (select count(*) from i) as shared, (select count(*) from d) as apart,
+    not exists (select o_custkey from orders where o_totalprice > 400000 except select o_custkey from orders where o_totalprice > 200000) as inside,
+    not exists (select o_custkey from orders where o_totalprice > 200000 except select o_custkey from orders where o_orderpriority = '1-URGENT') as chained""")
 def rel_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union, intersection, difference and subset test of id sets: one pass with two flags a key instead of three joins."""
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max(F.col("o_orderpriority") == "1-URGENT").alias("a"), F.max(F.col("o_totalprice") > 200000).alias("b"))
-    a, b = F.col("a"), F.col("b")
-    return o.agg(F.count_if(a | b).alias("united"), F.count_if(a & b).alias("shared"), F.count_if(a != b).alias("apart"), (F.count_if((a & b) & ~(a | b)) == 0).alias("inside"))
+    """Union, intersection, difference and subset tests of id sets: one pass with a flag for each set and key instead of joins.
+
+    A set is inside another where no key has its flag alone; here one test holds by the data's limits and one does not.
+    """
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max(F.col("o_orderpriority") == "1-URGENT").alias("a"), F.max(F.col("o_totalprice") > 200000).alias("b"), F.max(F.col("o_totalprice") > 400000).alias("c"))
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    return o.agg(F.count_if(a | b).alias("united"), F.count_if(a & b).alias("shared"), F.count_if(a != b).alias("apart"), (F.count_if(c & ~b) == 0).alias("inside"), (F.count_if(b & ~a) == 0).alias("chained"))
 
 
 @query("""with e as (select user_id, event_type, unnest([lower(event_type), lower(event_type) || '_' || (event_id % 3)]) as tag, event_id from events)
@@ -318,19 +332,129 @@ def rel_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select c_mktsegment, c_custkey, round(c_acctbal, 2) as bal, row_number() over (order by case c_mktsegment when 'MACHINERY' then 1 when 'BUILDING' then 2 else 3 end, case when c_acctbal < 0 then null else c_acctbal end desc nulls last, c_custkey)::int as place
-  from customer qualify place <= 200""")
+  from customer""")
 def rel_ordered_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sort by an ordered category, mixed directions, nulls last, first 200 by a bounded top-k."""
-    rank = F.when(F.col("c_mktsegment") == "MACHINERY", 1).when(F.col("c_mktsegment") == "BUILDING", 2).otherwise(3)
-    key = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal"))
-    order = [F.asc("kind"), F.desc_nulls_last("key"), F.asc("c_custkey")]
-    top = table(spark, sf_dir, "customer").withColumns({"kind": rank, "key": key}).orderBy(*order).limit(200)
-    # 200 rows at most.
-    return top.select("c_mktsegment", "c_custkey", F.round("c_acctbal", 2).alias("bal"), F.row_number().over(Window.orderBy(*order)).alias("place"))
+    """Sort by an ordered category, mixed directions, nulls last: every row's place, by its rank in the category and the sizes of earlier ones."""
+    kind = F.when(F.col("c_mktsegment") == "MACHINERY", 1).when(F.col("c_mktsegment") == "BUILDING", 2).otherwise(3)
+    c = table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", "c_acctbal", kind.alias("kind"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("key"))
+    # Nulls come after the least key, 0.
+    c = c.withColumn("by", F.coalesce("key", F.lit(-1.0)))
+    r = ordered_ranks(c, ["kind"], "by", [F.desc_nulls_last("key"), F.asc("c_custkey")], "rn")
+    n = c.groupBy("kind").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = (F.col("rn") + F.col("before")).cast("int")
+    return r.join(F.broadcast(n.select("kind", before.alias("before"))), "kind").select("c_mktsegment", "c_custkey", F.round("c_acctbal", 2).alias("bal"), place.alias("place"))
+
+
+@query("""with a as (select s_suppkey, s_name, s_nationkey from supplier union all select s_suppkey + 1000000000, '  ' || upper(s_name) || ' ', s_nationkey from supplier where s_suppkey % 3 = 0),
+  n as (select s_suppkey, lower(trim(s_name)) as k, s_nationkey from a), r as (select *, row_number() over (partition by s_nationkey, k order by s_suppkey) as rn, count(*) over (partition by s_nationkey, k) as n from n)
+  select s_suppkey, k, s_nationkey, n as copies from r where rn = 1""")
+def rel_keyed_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first row of a normalised composite key, the whole name and the nation, where a third of the names is also written with other case and blanks."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", "s_nationkey")
+    varied = s.filter("s_suppkey % 3 = 0").select((F.col("s_suppkey") + 1000000000).alias("s_suppkey"), F.concat(F.lit("  "), F.upper("s_name"), F.lit(" ")).alias("s_name"), "s_nationkey")
+    n = s.unionByName(varied).withColumn("k", F.lower(F.trim("s_name")))
+    return n.groupBy("k", "s_nationkey").agg(F.min("s_suppkey").alias("s_suppkey"), F.count("*").alias("copies")).select("s_suppkey", "k", "s_nationkey", "copies")
+
+
+@query("""select user_id, event_id, lag(event_type) over w as before, lead(value) over w as next_value, round(sum(value) over (w rows between unbounded preceding and current row), 6) as running, round(avg(value) over (w rows between 2 preceding and current row), 6) as mean3,
+  count(*) over (partition by user_id order by epoch(ts)::bigint range between 3600 preceding and current row) as last_hour, ntile(4) over w as quarter from events window w as (partition by user_id order by ts, event_id)""")
+def rel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring rows, running and sliding frames by rows and by range, quartile tiles; one shuffle by user serves all."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    hour = Window.partitionBy("user_id").orderBy("second").rangeBetween(-3600, 0)
+    e = table(spark, sf_dir, "events").withColumn("second", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0 + 0.5))
+    return e.select(
+        "user_id", "event_id", F.lag("event_type").over(w).alias("before"), F.lead("value").over(w).alias("next_value"), F.round(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 6).alias("running"),
+        F.round(F.avg("value").over(w.rowsBetween(-2, 0)), 6).alias("mean3"), F.count("*").over(hour).alias("last_hour"), F.ntile(4).over(w).alias("quarter"),
+    )
 
 
-@query("""with n as (select s_suppkey, lower(trim(s_name)) as k, s_nationkey from supplier), r as (select *, row_number() over (partition by s_nationkey, substr(k, 1, 12) order by s_suppkey) as rn from n) select s_suppkey, k, s_nationkey from r where rn = 1""")
-def rel_keyed_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first row of a normalised composite key."""
-    n = table(spark, sf_dir, "supplier").select("s_suppkey", F.lower(F.trim("s_name")).alias("k"), "s_nationkey")
-    return first_by(n.withColumn("key", F.substring("k", 1, 12)), ["s_nationkey", "key"], [F.asc("s_suppkey")]).drop("key")
+@query("""with v as (select p_brand, case when p_partkey % 5 = 0 then 'nan'::double when p_partkey % 7 = 0 then null else p_size::double end as x from part)
+  select p_brand, count_if(x >= 20 and not isnan(x)) as large, count_if(x < 20 and not isnan(x)) as small, count_if(isnan(x)) as nans, count_if(x is null) as nulls, max(case when not isnan(x) then x end) as most from v group by 1""")
+def rel_nan_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparisons in which NaN and null are false, though both languages sort NaN above all numbers."""
+    x = F.when(F.col("p_partkey") % 5 == 0, float("nan")).when(F.col("p_partkey") % 7 == 0, None).otherwise(F.col("p_size").cast("double"))
+    v = table(spark, sf_dir, "part").select("p_brand", x.alias("x"))
+    real = F.nanvl("x", F.lit(None).cast("double"))
+    return v.groupBy("p_brand").agg(F.count_if(real >= 20).alias("large"), F.count_if(real < 20).alias("small"), F.count_if(F.isnan("x")).alias("nans"), F.count_if(F.col("x").isNull()).alias("nulls"), F.max(real).alias("most"))
+
+
+@query("select o_orderpriority, true as close, count(distinct o_custkey) as exact from orders group by 1")
+def rel_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sketch's distinct count held against the exact one: within a tenth, with a sketch of 2 % standard error."""
+    o = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.approx_count_distinct("o_custkey", 0.02).alias("about"), F.countDistinct("o_custkey").alias("exact"))
+    return o.select("o_orderpriority", (F.abs(F.col("about") - F.col("exact")) <= F.greatest(0.1 * F.col("exact"), F.lit(2.0))).alias("close"), "exact")
+
+
+@query("""with r as (select p_brand, p_size, row_number() over (partition by p_brand order by p_size) as rn, count(*) over (partition by p_brand) as n from part) select p_brand, max(p_size)::int as upper, n from r where rn = n // 2 + 1 group by 1, 3""")
+def rel_upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upper median, from counts of values: the first value whose running count passes half the rows."""
+    v = table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.count("*").alias("k"))
+    w = Window.partitionBy("p_brand")
+    v = v.withColumns({"n": F.sum("k").over(w), "upto": F.sum("k").over(w.orderBy("p_size"))})
+    return v.filter("upto > n div 2").groupBy("p_brand", "n").agg(F.min("p_size").cast("int").alias("upper")).select("p_brand", "upper", "n")
+
+
+@query("""with up as (select 'asc' as way, c_custkey, v, row_number() over (order by v asc nulls last, c_custkey) as place from (select c_custkey, case when c_acctbal < 0 then null else round(c_acctbal, 2) end as v from customer)),
+  down as (select 'desc', c_custkey, v, row_number() over (order by v desc nulls last, c_custkey) as place from (select c_custkey, case when c_acctbal < 0 then null else round(c_acctbal, 2) end as v from customer)),
+  t as (select 'text' as way, c_custkey, null::double as v, row_number() over (order by lower(c_name) desc nulls last, c_custkey) as place from customer) select way, c_custkey, v, place::int as place from (select * from up union all select * from down union all select * from t) where place <= 120""")
+def rel_view_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table view of 120 rows, sorted by any column in either direction, nulls last, text without regard to case."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.when(F.col("c_acctbal") >= 0, F.round("c_acctbal", 2)).alias("v"))
+    views = [("asc", rel.view(c, "v", False, ["c_custkey"], 120)), ("desc", rel.view(c, "v", True, ["c_custkey"], 120)), ("text", rel.view(c, "c_name", True, ["c_custkey"], 120).withColumn("v", F.lit(None).cast("double")))]
+    parts = [v.select(F.lit(way).alias("way"), "c_custkey", "v", "place") for way, v in views]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("select event_id, event_type, row_number() over (order by event_id)::bigint as seq from events")
+def rel_input_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense numbers in input order, from the rows of each part and the sum of the parts before; no global sort."""
+    return rel.numbered(table(spark, sf_dir, "events").select("event_id", "event_type"), "seq")
+
+
+@query("""with a as (select s_nationkey as k, count(*) as n, round(sum(s_acctbal), 2) as total from supplier group by 1), b as (select c_nationkey as k, count(*) as n, round(sum(c_acctbal), 2) as total, max(c_custkey) as last from customer group by 1)
+  select coalesce(a.k, b.k) as k, a.n as n_supplier, b.n as n_customer, a.total as total_supplier, b.total as total_customer, last from a full join b on a.k = b.k""")
+def rel_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of one name on both sides get a suffix each, others keep theirs."""
+    a = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("s_acctbal"), 2).alias("total"))
+    b = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"), F.max("c_custkey").alias("last"))
+    return rel.join_suffixed(a, b, ["k"], ("_supplier", "_customer"), "full")
+
+
+@query("""with a as (select o_custkey as id, count(*) as urgent from orders where o_orderpriority = '1-URGENT' group by 1), b as (select o_custkey as id, count(*) as high from orders where o_orderpriority = '2-HIGH' group by 1), c as (select o_custkey as id, round(max(o_totalprice), 2) as dearest from orders where o_totalprice > 250000 group by 1),
+  spine as (select id from a union select id from b union select id from c) select id, urgent, high, dearest from spine left join a using (id) left join b using (id) left join c using (id)""")
+def rel_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several frames joined onto the union of their ids."""
+    o = table(spark, sf_dir, "orders")
+    n = lambda p, c: o.filter(F.col("o_orderpriority") == p).groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias(c))
+    dear = o.filter("o_totalprice > 250000").groupBy(F.col("o_custkey").alias("id")).agg(F.round(F.max("o_totalprice"), 2).alias("dearest"))
+    return rel.on_spine(["id"], n("1-URGENT", "urgent"), n("2-HIGH", "high"), dear)
+
+
+@query("""with d as (select s_suppkey, case when s_suppkey % 3 = 0 then 'https://x/' || s_suppkey end as url, lower(s_name) as name, s_nationkey as v from supplier), l as (select s_suppkey as id, case when s_suppkey % 2 = 0 then 'https://x/' || s_suppkey end as url, upper(s_name) as name from supplier)
+  select id, coalesce(a.v, b.v) as v, case when a.v is not null then 'url' when b.v is not null then 'name' else 'none' end as by_key from l left join d a on a.url = l.url left join d b on b.name = lower(l.name) and l.id % 5 <> 0""")
+def rel_second_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lookup by one key, and for misses by another."""
+    s = table(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey")
+    link = lambda n: F.when(key % n == 0, F.concat(F.lit("https://x/"), key.cast("string")))
+    d = s.select(link(3).alias("url"), F.lower("s_name").alias("name"), F.col("s_nationkey").alias("v"))
+    rows = s.select(key.alias("id"), link(2).alias("url"), F.when(key % 5 != 0, F.lower("s_name")).alias("name"))
+    by_url = d.filter("url is not null").select("url", F.col("v").alias("v1"))
+    out = rows.join(by_url, "url", "left").join(d.select("name", F.col("v").alias("v2")), "name", "left")
+    return out.select("id", F.coalesce("v1", "v2").alias("v"), F.when(F.col("v1").isNotNull(), "url").when(F.col("v2").isNotNull(), "name").otherwise("none").alias("by_key"))
+
+
+@query("""with p as (select p_partkey, p_size, p_name from part), r as (select p_partkey, 'http://en.x.org/wiki/' || replace(p_name, ' ', '_') || '?a=1#b' as u1, 'https://en.x.org/wiki/' || replace(p_name, ' ', '_') as u2, case p_partkey % 3 when 0 then 'TRUE' when 1 then '0' else 'yes' end as b1, case p_partkey % 2 when 0 then '1' else 'no' end as b2,
+  '  ' || p_name || ' ' as t1, case when p_partkey % 4 = 0 then upper(p_name) else replace(p_name, ' ', '  ') end as t2, case when p_partkey % 6 = 0 then 'n/a' else p_size || '.0000000001' end as f1, case when p_partkey % 6 = 0 then null else p_size::varchar end as f2 from p)
+  select p_partkey, true as same_url, (b1 in ('TRUE', 'yes')) = (b2 = '1') as same_flag, trim(regexp_replace(t1, '\\s+', ' ', 'g')) = trim(regexp_replace(t2, '\\s+', ' ', 'g')) as same_text, coalesce(abs(try_cast(f1 as double) - try_cast(f2 as double)) <= 1e-6, try_cast(f1 as double) is null and try_cast(f2 as double) is null) as same_number, coalesce(try_cast(f1 as double)::int, -1) as number from r""")
+def rel_field_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equality by kind of field: links by their canonical form, flags by meaning, text without blanks, numbers within tolerance; and numbers out of text with a default."""
+    k, name, size = F.col("p_partkey"), F.col("p_name"), F.col("p_size").cast("string")
+    path = F.replace(name, F.lit(" "), F.lit("_"))
+    r = table(spark, sf_dir, "part").select(
+        "p_partkey", F.concat(F.lit("http://en.x.org/wiki/"), path, F.lit("?a=1#b")).alias("u1"), F.concat(F.lit("https://en.x.org/wiki/"), path).alias("u2"), F.when(k % 3 == 0, "TRUE").when(k % 3 == 1, "0").otherwise("yes").alias("b1"), F.when(k % 2 == 0, "1").otherwise("no").alias("b2"),
+        F.concat(F.lit("  "), name, F.lit(" ")).alias("t1"), F.when(k % 4 == 0, F.upper(name)).otherwise(F.replace(name, F.lit(" "), F.lit("  "))).alias("t2"), F.when(k % 6 == 0, "n/a").otherwise(F.concat(size, F.lit(".0000000001"))).alias("f1"), F.when(k % 6 != 0, size).alias("f2"),
+    )
+    return r.select("p_partkey", rel.same_link(F.col("u1"), F.col("u2")).alias("same_url"), rel.same_flag(F.col("b1"), F.col("b2")).alias("same_flag"), rel.same_text(F.col("t1"), F.col("t2")).alias("same_text"), rel.near(rel.number(F.col("f1")), rel.number(F.col("f2"))).alias("same_number"), F.coalesce(rel.number(F.col("f1")).cast("int"), F.lit(-1)).alias("number"))

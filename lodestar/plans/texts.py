@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.functions import dates, text
+from lodestar.functions.curation import RESULT_WORDS
 from lodestar.operators.relational import join_flags
 from lodestar.plans.binding import table
 from lodestar.plans.registry import query
@@ -80,7 +81,16 @@ def text_analytic_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messy(spark, sf_dir).select("p_partkey", y.alias("y")).select("p_partkey", "y.*")
 
 
-@query()
+_FORMS = [("\\d{4}-\\d{2}-\\d{2}", "%Y-%m-%d"), ("\\d{1,2} [A-Z][a-z]+ \\d{4}", "%d %B %Y"), ("[A-Z][a-z]+ \\d{1,2}, \\d{4}", "%B %d, %Y"), ("\\d{1,2}/\\d{1,2}/\\d{4}", "%m/%d/%Y")]
+
+
+def _date_sql(c: str) -> str:
+    return "coalesce(" + ", ".join(f"try_strptime(nullif(regexp_extract({c}, '({p})', 1), ''), '{f}')" for p, f in _FORMS) + ")::date"
+
+
+@query(f"""with {MESSY_SQL}, d as (select p_partkey, date_raw, nullif(regexp_extract(date_raw, '\\b(\\d{{3,4}})\\b', 1), '')::int as year, regexp_split_to_array(date_raw, ' to | – ') as parts from messy), e as (select *, {_date_sql("parts[1]")} as start, case when len(parts) > 1 then {_date_sql("parts[-1]")} end as "end" from d)
+  select p_partkey, year, (floor((year - 1) / 100.0) + 1)::int as century, start, "end", 0.25::double + 0.25::double * ((year is not null)::int + (start is not null)::int + ("end" is not null)::int) as confidence,
+    case when trim(date_raw) = '' then 'missing_date' else array_to_string(list_filter([case when contains(lower(date_raw), 'unknown') or contains(lower(date_raw), 'tbd') then 'suspicious_date_text' end, case when year is null then 'unparsed_year' when year not between 1 and 2100 then 'year_out_of_range' end, case when start > "end" then 'start_after_end' end], lambda x: x is not null), ' | ') end as reasons from e""")
 def text_date_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Start, end, year and century of a date text, and what is wrong with it."""
     return messy(spark, sf_dir).select("p_partkey", dates.date_range(F.col("date_raw")).alias("r"), F.array_join(dates.date_reasons(F.col("date_raw")), " | ").alias("reasons")).select("p_partkey", "r.*", "reasons")
@@ -98,37 +108,6 @@ def text_key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), kv["B"].cast("int").alias("b"), kv["O"].cast("int").alias("o"), F.array_contains(flags, "b").alias("flagged"), F.format_string("%+d", (i % 7 - i % 3).cast("int")).alias("delta"))
 
 
-# Title and text keywords of the page classifier.
-_TITLE = {"battle": ["battle", "siege", "raid", "combat"], "campaign": ["campaign", "expedition", "front"], "operation": ["operation", "offensive"], "war": ["war", "conflict", "revolt"], "list": ["list of"], "person": ["general", "admiral"]}
-
-
-def _hits(c: Column, words: list[str]) -> Column:
-    return sum((F.contains(c, F.lit(w)).cast("int") for w in words), F.lit(0))
-
-
-def classify(title: Column, body: Column) -> Column:
-    """struct(kind, accepted, confidence): additive scores of title and body, then the first rule that holds."""
-    t, b = F.lower(title), F.lower(body)
-    s = {k: 3 * F.least(_hits(t, w), F.lit(1)) + F.least(_hits(b, w), F.lit(2)) for k, w in _TITLE.items()}
-    top = F.greatest(*s.values())
-    kind = F.when((s["list"] >= top) & (top > 0), "list_page").when((s["person"] >= top) & (top > 0), "biography_page").when((s["war"] >= 3) & (s["battle"] < 3), "war_conflict_article").when((s["operation"] >= 3) & (s["battle"] < 3), "operation_article").when((s["campaign"] >= 3) & (s["battle"] < 3), "campaign_article").when(s["battle"] >= F.greatest(s["campaign"], s["war"], F.lit(2)), "battle_article").when(s["campaign"] >= 2, "campaign_article").when(s["war"] >= 2, "war_conflict_article").otherwise("uncertain_page")
-    return F.struct(kind.alias("kind"), kind.endswith("_article").alias("accepted"), F.round(F.least(F.lit(1.0), F.greatest(top, F.lit(1)) / 6.0), 2).alias("confidence"))
-
-
-def _score_sql(k: str) -> str:
-    t, b = (" + ".join(f"contains(lower({c}), '{w}')::int" for w in _TITLE[k]) for c in ("url", "html"))
-    return f"3 * least({t}, 1) + least({b}, 2) as {k}"
-
-
-@query(f"""with s as (select page_id, {", ".join(f"{_score_sql(k)}" for k in _TITLE)} from pages), m as (select *, greatest({", ".join(_TITLE)}) as top from s),
-  k as (select page_id, top, case when list >= top and top > 0 then 'list_page' when person >= top and top > 0 then 'biography_page' when war >= 3 and battle < 3 then 'war_conflict_article' when operation >= 3 and battle < 3 then 'operation_article' when campaign >= 3 and battle < 3 then 'campaign_article'
-    when battle >= greatest(campaign, war, 2) then 'battle_article' when campaign >= 2 then 'campaign_article' when war >= 2 then 'war_conflict_article' else 'uncertain_page' end as kind from m)
-  select page_id, kind, kind like '%\\_article' escape '\\' as accepted, round(least(1::double, greatest(top, 1) / 6.0::double), 2) as confidence from k""")
-def rule_page_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The page classifier over addresses and markup."""
-    return table(spark, sf_dir, "pages").select("page_id", classify(F.col("url"), F.col("html")).alias("c")).select("page_id", "c.*")
-
-
 @query("""with r as (select l_orderkey, l_linenumber, list_filter([case when l_quantity < 3 then 'insufficient_source_evidence' end, case when l_discount > 0.08 then 'unsupported_result_text' end, case when l_tax > 0.07 then 'disallowed_page_type' end, case when l_quantity < 3 and l_discount > 0.05 then 'no_infobox_and_no_result' end], lambda x: x is not null) as b from lineitem)
   select l_orderkey, l_linenumber::bigint as line, len(b)::int as blockers, array_to_string(list_sort(b), ' | ') as reasons, case when len(b) = 0 then 'valid' when list_contains(b, 'disallowed_page_type') then 'removed' else 'quarantine' end as decision from r""")
 def rule_row_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,12 +131,78 @@ def rule_identity_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(text.short_id(F.col("key"), "acmd_").alias("id"), "n", "first_id", F.when(F.col("url").isNotNull(), "high").otherwise("low").alias("reliability"), F.col("url").isNotNull().alias("linked"))
 
 
-@query()
+_KEPT = "url_encode(replace(title, ' ', '_'))"
+for _mark, _code in (("(", "28"), (")", "29"), (",", "2C"), (":", "3A"), ("!", "21"), ("*", "2A")):
+    _KEPT = f"replace({_KEPT}, '%{_code}', '{_mark}')"
+
+
+@query(f"""with {MESSY_SQL}, t as (select p_partkey, trim(regexp_replace(replace(title || ' – é+?', '–', '-'), '\\s+', ' ', 'g')) as title from messy) select p_partkey, title, 'https://en.wikipedia.org/wiki/' || {_KEPT} as url, title as back, true as same from t""")
 def text_url_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles folded, turned into page links and back (Arrow UDFs: the URL rules differ from the built-ins')."""
+    """Titles folded, turned into page links and back."""
     t = messy(spark, sf_dir).select("p_partkey", text.fold_title(F.concat("title", F.lit(" – é+?"))).alias("title"))
-    u = t.withColumn("url", text.title_url("title"))
-    return u.withColumn("back", text.title_of("url")).withColumn("same", F.col("back") == F.col("title"))
+    u = t.withColumn("url", text.title_link(F.col("title")))
+    return u.withColumn("back", text.link_title(F.col("url"))).withColumn("same", F.col("back") == F.col("title"))
+
+
+_BOX_SQL = "select p_partkey, p_brand || ' victory' as result, p_name || ' | ' || p_brand as names, p_type as side_a, p_brand || ' league' as side_b, 2::int as links, 'Page of ' || p_name || '.' as lead from part"
+
+
+@query(_BOX_SQL)
+def text_wikitext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Infoboxes written in wiki text, with nested templates, links, comments and references, taken apart again."""
+    p = table(spark, sf_dir, "part")
+    lit = F.lit
+    source = F.concat(
+        lit("<!-- {{Infobox no}} -->{{short|x}}\n{{Infobox military conflict\n|conflict=Battle\n|result='''"), F.col("p_brand"), lit("''' {{small|victory}}<ref>a|b</ref>\n|combatant1={{flag|"), F.col("p_type"), lit("}}\n|combatant2=[[Home|"), F.col("p_brand"), lit("]] league\n|commander1={{plainlist|"),
+        lit("\n* [[A of B|"), F.col("p_name"), lit("]]}}\n|commander2=[["), F.col("p_brand"), lit("]]<br/>\n}}\n\nPage of '''"), F.col("p_name"), lit("'''.\n\nMore.\n== Head ==\nText"),
+    )
+    return _sides(p.select("p_partkey", text.infobox(source).alias("b")))
+
+
+@query(_BOX_SQL.replace("'Page of ' || p_name || '.'", "''"))
+def text_html_infobox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Infoboxes as HTML tables, section by section."""
+    p = table(spark, sf_dir, "part")
+    lit = F.lit
+    source = F.concat(
+        lit('<table><tr><td>no</td></tr></table><table class="infobox vevent"><tr><td>Result</td><td><b>'), F.col("p_brand"), lit("</b> victory</td></tr><tr><th>Belligerents</th></tr><tr><td>"), F.col("p_type"), lit("</td><td>"), F.col("p_brand"), lit(" <i>league</i></td></tr><tr><th>Commanders and leaders</th></tr><tr><td><a title='A of B' href='/wiki/A'>"),
+        F.col("p_name"), lit("</a></td><td><ul><li><a title='Home'>"), F.col("p_brand"), lit("</a></li></ul></td></tr><tr><th>Strength</th></tr><tr><td>1</td><td>2</td></tr></table>"),
+    )
+    return _sides(p.select("p_partkey", text.html_infobox(source).alias("b")))
+
+
+def _sides(b: DataFrame) -> DataFrame:
+    """The columns of both infobox queries."""
+    s = F.col("b.sides")
+    names = F.array_join(F.flatten(F.transform(s, lambda x: x["segments"])), " | ")
+    links = F.size(F.flatten(F.transform(s, lambda x: x["links"])))
+    return b.select("p_partkey", "b.result", names.alias("names"), s[0]["belligerent"].alias("side_a"), s[1]["belligerent"].alias("side_b"), links.alias("links"), "b.lead")
+
+
+_SAID = ["They met in the morning. The town was captured by night! Nobody knows more.", "A quiet year? Nothing of note.", "Repulsed at dawn. Victory at dusk.", ""]
+
+
+@query(f"""with t as (select p_partkey, ({_SAID!r})[1 + p_partkey % 4] as body, case when p_partkey % 3 = 0 then '1204–1206 war' else 'on 12 March 1805 near' end as dated from part),
+  s as (select *, list_filter(regexp_split_to_array(regexp_replace(body, '([.!?])\\s+', '\\1|', 'g'), '[|]'), lambda x: regexp_matches(lower(x), 'victory|defeat|stalemate|indecisive|draw|repulsed|repelled|captured|suppressed|overran')) as hits from t)
+  select p_partkey, coalesce(hits[1], '') as sentence, regexp_extract(dated, '\\b(\\d{{1,2}}\\s+[A-Z][a-z]+\\s+\\d{{3,4}}|[A-Z][a-z]+\\s+\\d{{1,2}},\\s+\\d{{3,4}}|[A-Z][a-z]+\\s+\\d{{3,4}}|\\d{{3,4}}\\s*[–-]\\s*\\d{{3,4}})\\b', 0) as date_hint from s""")
+def text_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands in for a missing infobox: the first sentence that tells a result, and the first date-like words."""
+    key = F.col("p_partkey")
+    body = F.element_at(F.array(*map(F.lit, _SAID)), (key % 4 + 1).cast("int"))
+    dated = F.when(key % 3 == 0, "1204–1206 war").otherwise("on 12 March 1805 near")
+    told = F.filter(F.split(body, r"(?<=[.!?])\s+"), lambda x: F.rlike(F.lower(x), F.lit("|".join(RESULT_WORDS))))
+    hint = r"\b(\d{1,2}\s+[A-Z][a-z]+\s+\d{3,4}|[A-Z][a-z]+\s+\d{1,2},\s+\d{3,4}|[A-Z][a-z]+\s+\d{3,4}|\d{3,4}\s*[–-]\s*\d{3,4})\b"
+    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.get(told, F.lit(0)), F.lit("")).alias("sentence"), F.regexp_extract(dated, hint, 0).alias("date_hint"))
+
+
+@query("""select p_partkey, format('{:.1f}%', p_size / 3.0) as percent, printf('%+d', (p_size - 25)::int) as delta, case when p_size % 9 = 0 then 'n/a' else '#' || p_size end as rank, (p_size - 2) || '-' || (p_size + 2) as interval, upper(p_brand[1]) || lower(p_brand[2:]) as title, printf('%.6f', round(p_retailprice / 7, 6)) as fixed, try_cast(case when p_size % 4 = 0 then 'x' else p_size::varchar end as int) is null as no_number from part""")
+def text_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentages, signed changes, ranks, intervals, titles and fixed decimals as text."""
+    n = F.col("p_size")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.format_string("%.1f%%", n / F.lit(3.0)).alias("percent"), F.format_string("%+d", n - 25).alias("delta"), F.when(n % 9 == 0, "n/a").otherwise(F.concat(F.lit("#"), n.cast("string"))).alias("rank"), F.concat_ws("-", (n - 2).cast("string"), (n + 2).cast("string")).alias("interval"),
+        F.initcap("p_brand").alias("title"), F.format_string("%.6f", F.round(F.col("p_retailprice") / 7, 6)).alias("fixed"), F.when(n % 4 == 0, "x").otherwise(n.cast("string")).try_cast("int").isNull().alias("no_number"),
+    )
 
 
 @query()

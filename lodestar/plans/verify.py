@@ -81,7 +81,7 @@ def score_split_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared(spark, sf_dir).select("commander_id", "page_id", F.round("credit_split", 6).alias("credit"), F.col("known_n").alias("known_same_side"))
 
 
-@query(f"""with {FACT}, k as (select count(*) as n, count(distinct (commander_id, page_id)) as u from fact), ri as (select count(*) as n from lineitem where l_orderkey not in (select o_orderkey from orders)), c as (select count_if(outcome = 'unknown' and 0 <> 0)::bigint as n from fact),
+@query(f"""with {FACT}, k as (select count(*) as n, count(distinct (commander_id, page_id)) as u from fact), ri as (select count(*) as n from lineitem where l_orderkey not in (select o_orderkey from orders)), c as (select count_if(outcome = 'unknown' and credit <> 0 or outcome <> 'unknown' and side <> 'multiple_sides' and abs(credit - 1 / sqrt(k)) >= 1e-5)::bigint as n from (select *, case when side <> 'multiple_sides' and outcome <> 'unknown' then 1 / sqrt(count_if(outcome <> 'unknown') over (partition by page_id, side)) else 0 end as credit, count_if(outcome <> 'unknown') over (partition by page_id, side) as k from fact)),
   d as (select count(*) as n from fact where outcome not in ('decisive_victory', 'victory', 'defeat', 'major_defeat', 'unknown')), s as (select count(*) as n from (select distinct l_suppkey from lineitem except select s_suppkey from supplier))
   select 'unique_keys' as check_name, n = u as passed, (n - u)::bigint as bad from k union all select 'references', n = 0, n from ri union all select 'unknown_has_no_credit', n = 0, n from c union all select 'domain', n = 0, n from d union all select 'coverage', n = 0, n from s""")
 def verify_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ def verify_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = ["decisive_victory", "victory", "defeat", "major_defeat", "unknown"]
     one = p.agg(
         (F.count("*") - F.countDistinct("commander_id", "page_id")).alias("unique_keys"),
-        F.count_if((F.col("outcome") == "unknown") & (F.col("credit_split") != 0)).alias("unknown_has_no_credit"),
+        F.count_if(((F.col("outcome") == "unknown") & (F.col("credit_split") != 0)) | (F.col("known") & F.col("valid") & (F.abs(F.col("credit_split") - 1 / F.sqrt("known_n")) >= 1e-5))).alias("unknown_has_no_credit"),
         F.count_if(~F.col("outcome").isin(known)).alias("domain"),
     )
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
@@ -132,21 +132,11 @@ def rule_status_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", first_filled(F.col("x.status"), default="new").alias("status"), F.coalesce("x.priority", F.lit(0)).alias("priority"))
 
 
-@query(f"""with {FACT}, k as (select commander_id, count(*) as n, count_if(outcome = 'unknown') as u, count_if(page_type in ('campaign_article', 'war_conflict_article')) as broad from fact group by 1),
-  r as (select *, round(40::double * u / n + 40::double * broad / n + case when n < 20 then 20 else 0 end, 6) as risk from k) select commander_id, risk, case when risk >= 60 then 'severe' when risk >= 45 then 'high' when risk >= 30 then 'moderate' else 'low' end as band, risk >= 45 as priority from r""")
-def rule_inflation_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An additive risk score, its band and the review queue."""
-    k = engagements(spark, sf_dir).groupBy("commander_id").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "unknown").alias("u"), F.count_if(F.col("page_type").isin("campaign_article", "war_conflict_article")).alias("broad"))
-    k = k.withColumn("risk", F.round(40.0 * F.col("u") / F.col("n") + 40.0 * F.col("broad") / F.col("n") + F.when(F.col("n") < 20, 20.0).otherwise(0.0), 6))
-    r = F.col("risk")
-    return k.select("commander_id", "risk", F.when(r >= 60, "severe").when(r >= 45, "high").when(r >= 30, "moderate").otherwise("low").alias("band"), (r >= 45).alias("priority"))
-
-
 @query(f"""with {RANKED}, a as (select commander_id, rank as before from ranked where model = 'baseline_conservative'), b as (select commander_id, rank as after from ranked where model = 'hierarchical_trust_v2')
   select coalesce(a.commander_id, b.commander_id) as commander_id, before, after, after - before as moved, case when before is null then 'entered' when after is null then 'left' when after < before then 'rose' when after > before then 'fell' else 'kept' end as way from a full join b using (commander_id) where coalesce(before, 999) <= 50 or coalesce(after, 999) <= 50""")
 def report_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Before and after leaderboards and who moved."""
-    r = ranked(spark, sf_dir).filter(F.col("model").isin("baseline_conservative", "hierarchical_trust_v2"))
+    r = ranked(spark, sf_dir, ["baseline_conservative", "hierarchical_trust_v2"])
     s = r.groupBy("commander_id").agg(F.max(F.when(F.col("model") == "baseline_conservative", F.col("rank"))).alias("before"), F.max(F.when(F.col("model") == "hierarchical_trust_v2", F.col("rank"))).alias("after"))
     b, a = F.col("before"), F.col("after")
     way = F.when(b.isNull(), "entered").when(a.isNull(), "left").when(a < b, "rose").when(a > b, "fell").otherwise("kept")
@@ -167,15 +157,5 @@ def graph_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {RANKED}, x as (select name, model, rank, score, profile from ranked where model = 'hierarchical_trust_v2' and contains(lower(name || ' ' || profile), 'mixed') and engagements >= 10) select name, rank, round(score, 6) as score, profile from x order by score desc, rank limit 120""")
 def report_filtered_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A parameterised table view: facets, free text, sort and 120 rows."""
-    r = ranked(spark, sf_dir).filter((F.col("model") == "hierarchical_trust_v2") & F.contains(F.lower(F.concat_ws(" ", "name", "profile")), F.lit("mixed")) & (F.col("engagements") >= 10))
+    r = ranked(spark, sf_dir, ["hierarchical_trust_v2"]).filter(F.contains(F.lower(F.concat_ws(" ", "name", "profile")), F.lit("mixed")) & (F.col("engagements") >= 10))
     return r.orderBy(F.desc_nulls_last("score"), "rank").limit(120).select("name", "rank", F.round("score", 6).alias("score"), "profile")
-
-
-@query()
-def report_dashboard_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One nested JSON record a commander: models, eras and contributions."""
-    r = ranked(spark, sf_dir).groupBy("commander_id", "name").agg(F.array_sort(F.collect_list(F.struct("model", "rank", F.round("score", 4).alias("score")))).alias("models"))
-    e = engagements(spark, sf_dir).groupBy("commander_id", "era").agg(F.count("*").alias("n")).groupBy("commander_id").agg(F.array_sort(F.collect_list(F.struct("era", "n"))).alias("eras"))
-    return r.join(e, "commander_id", "left").select("commander_id", F.to_json(F.struct("commander_id", "name", "models", "eras")).alias("json"))
-
-

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -42,14 +43,81 @@ def read_script_json(spark: SparkSession, path: str, schema: T.StructType | str)
     return spark.read.option("wholetext", True).text(path).select(F.from_json(body, schema).alias("x")).select("x.*")
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One folder of CSV parts with headers, minimal quoting; mode append resumes."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", mark: bool = True) -> None:
+    """One folder of CSV parts with headers, quotes only where needed; each part begins with a byte-order mark unless told not to; mode append resumes."""
+    named = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]) if mark else df
+    named.write.mode(mode).option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
 
 
 def write_script_json(df: DataFrame, path: str, name: str = "DATA") -> None:
-    """A one-row frame as a script that assigns its JSON."""
-    df.select(F.concat(F.lit(f"window.{name} = "), F.to_json(F.struct(*df.columns)), F.lit(";")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """Rows as scripts that each add their JSON to a list, a file a part, so that no task holds them all."""
+    df.select(F.concat(F.lit(f"(window.{name} = window.{name} || []).push("), F.to_json(F.struct(*df.columns)), F.lit(");")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_script_rows(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The rows of write_script_json."""
+    body = F.regexp_extract("value", r"(?s)\.push\((.*)\);$", 1)
+    return spark.read.text(path).select(F.from_json(body, schema).alias("x")).select("x.*")
+
+
+def write_pages(df: DataFrame, path: str, slug: str) -> None:
+    """One folder of JSON for each page, named by its slug."""
+    df.write.mode("overwrite").partitionBy(slug).json(path)
+
+
+def markdown(df: DataFrame, columns: list[str], order: list[Column], rows: int) -> DataFrame:
+    """The first rows as lines of a Markdown table (line, text): a bounded report."""
+    cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |"))
+    top = df.orderBy(*order).limit(rows).withColumn("line", F.row_number().over(Window.orderBy(*order)) + 1).select("line", line.alias("text"))
+    head = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
+    return df.sparkSession.createDataFrame(list(enumerate(head)), "line int, text string").unionByName(top)
+
+
+def paged(spark: SparkSession, path: str, schema: T.StructType | str, first: str, most: int = 10_000) -> DataFrame:
+    """Items of a source that answers in pages (token, next, items): pages are followed from the first token to the end, `most` at most.
+
+    The chain is walked over (token, next) alone, a few bytes a page; the items are read by all tasks at once.
+    """
+    pages = spark.read.schema(schema).json(path)
+    after = {r.token: r.next for r in pages.select("token", "next").limit(most).collect()}
+    chain, token = [], first
+    while token in after and len(chain) < most:
+        chain.append(token)
+        token = after.pop(token)
+    order = spark.createDataFrame(list(enumerate(chain)), "page int, token string")
+    return pages.join(F.broadcast(order), "token").select("page", F.posexplode("items").alias("place", "item"))
+
+
+def cached_fetch(params: DataFrame, cache: DataFrame, fetch, tries: int = 4) -> DataFrame:
+    """Answers (key, body, tries) of requests (params map): from the cache by content address, else fetched with doubling waits.
+
+    `fetch` takes the parameters as a dict and returns the body, or raises to be tried again; each task fetches its own misses.
+    """
+    keyed = params.withColumn("key", cached_by(F.col("params")))
+    hit = keyed.join(cache.select("key", "body"), "key", "left")
+
+    def run(batches):
+        import time
+
+        import pandas as pd
+
+        for rows in batches:
+            out = []
+            for key, p in zip(rows["key"], rows["params"], strict=True):
+                for k in range(tries):
+                    try:
+                        out.append((key, fetch(dict(p)), k + 1))
+                        break
+                    except OSError:
+                        if k + 1 == tries:
+                            out.append((key, None, tries))
+                        else:
+                            time.sleep(0.001 * 2**k)
+            yield pd.DataFrame(out, columns=["key", "body", "tries"])
+
+    missed = hit.filter("body is null").select("key", "params").dropDuplicates(["key"]).mapInPandas(run, "key string, body string, tries int")
+    return hit.filter("body is not null").select("key", "body", F.lit(0).alias("tries")).distinct().unionByName(missed)
 
 
 def write_routed(df: DataFrame, path: str, by: str = "decision") -> None:
