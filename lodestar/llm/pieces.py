@@ -13,7 +13,7 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Code points of planes without assigned characters are neither letters, numbers nor spaces.
 _PLANES = [(0, 0xD800), (0xE000, 0x40000), (0xE0000, 0xE1000)]
 #: Entries of a worker's memo of pieces; past it the memo starts anew.
-MEMO = 1_500_000
+MEMO = 1_000_000
 
 
 def class_table(tokenizer) -> bytes:

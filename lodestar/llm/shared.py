@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a Python worker; a longer single text is handled alone.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 #: Rows of an Arrow batch.
 ROWS = 1000
 
