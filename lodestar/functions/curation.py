@@ -424,3 +424,34 @@ def row_blockers(d: Dialect, patterns) -> str:
 
 STRONG = ["known_false_positive", "no_event_specific_fields", "biography_title_signal"]
 GENERIC = [*STRONG, "generic_category_signal"]
+
+# Pages that are no persons, and broad titles.
+NON_PERSON_PAGES = ["Manner of death", "Al-Masdar News", "Wounded in action", "Battle group", "Newsweek", "Kommersant"]
+NON_PERSON_LINKS = r"^list_of_|(^|_)(ministry|news|news_agency|media|mission|organization|commission|commissioner|agency|group|trust|times)(_|$)|^tass$"
+
+
+def non_person_link(d: Dialect, name: str, link: str) -> str:
+    """Whether a name or its link leads to no person."""
+    low = f"lower(replace({link}, ' ', '_'))"
+    return f"({name} in ({', '.join(repr(x) for x in NON_PERSON_PAGES)}) or {link} in ({', '.join(repr(x) for x in NON_PERSON_PAGES)}) or {d.like(f'lower({name})', '^commissioner ')} or {d.like(low, NON_PERSON_LINKS)})"
+
+
+def mentions(d: Dialect, title: str, name: str) -> str:
+    """Whether a title names an entity: whole, or by one of its first three words, of five letters or more."""
+    t, n = f"lower({title})", f"lower({name})"
+    words = d.filter(d.split(n, "[^a-z0-9]+"), "w", "w not in ('', 'the', 'of', 'and')")
+    first = f"slice({words}, 1, 3)" if d.spark else f"({words})[1:3]"
+    return f"({t} <> '' and {n} <> '' and (contains({t}, {n}) or {d.exists(first, 'w', f'length(w) >= 5 and contains({t}, w)')}))"
+
+
+def evidence_score() -> str:
+    """0 to 10: how much a row says. Columns: box, date_raw, kind, raw_a, raw_b, cell, place, war."""
+    parts = {"box": 2, "trim(date_raw) <> ''": 2, "kind <> 'unknown'": 1, "raw_a <> '' and raw_b <> ''": 2, "cell <> ''": 1, "place <> ''": 1, "war <> ''": 1}
+    return " + ".join(f"case when {c} then {n} else 0 end" for c, n in parts.items())
+
+
+def side_result(d: Dialect) -> str:
+    """A side's own result: neutral kinds as they are, else by the first side of which a part stands in the result. Columns: side, kind, result, raw_a, raw_b."""
+    part = lambda s: d.exists(d.map(d.split(f"raw_{s}", "[,/|]"), "p", "lower(trim(p))"), "x", "length(x) > 3 and contains(lower(result), x)")
+    neutral = ", ".join(f"'{x}'" for x in NEUTRAL)
+    return f"case when kind in ('', 'unknown') then 'unknown' when kind in ({neutral}) then kind when {part('a')} then case when side = 'side_a' then 'victory' else 'defeat' end when {part('b')} then case when side = 'side_b' then 'victory' else 'defeat' end else 'unknown' end"

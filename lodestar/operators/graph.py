@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from lodestar.operators.tables import shared_table
 
 
-def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+def reach(edges: DataFrame, start: DataFrame, depth: int, relevant: DataFrame | None = None) -> DataFrame:
     """(node, depth) of all nodes within `depth` steps of the start nodes.
 
-    Each step joins the frontier with the edges and drops what was visited; it ends early on an empty frontier.
+    Each step joins the frontier with the edges and drops what was visited; it ends early on an empty frontier. With `relevant`
+    (node), only those nodes are entered.
     """
     edges = shared_table(edges.select("a", "b"), "edges")
     seen = shared_table(start.select("node", F.lit(0).alias("depth")), "seen")
     front = seen
     for step in range(1, depth + 1):
         near = front.join(edges, front.node == edges.a).select(F.col("b").alias("node")).distinct()
+        near = near if relevant is None else near.join(relevant.select("node"), "node", "left_semi")
         front = shared_table(near.join(seen, "node", "left_anti").select("node", F.lit(step).alias("depth")), "front")
         if front.isEmpty():
             break

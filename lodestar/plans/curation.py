@@ -283,3 +283,66 @@ def rule_review_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     review = F.expr("case when changed > 0 and open > 0 then 'corrected_but_partially_unresolved' when changed > 0 then 'corrected' when open > 0 then 'unresolved_after_review' else 'confirmed_no_change' end")
     structure = F.expr("case when status = 'structurally_suspect' and (suspect >= 3 or suspect / total >= 0.4) then 'high_priority_manual_concern' when core = 0 and total >= 2 then 'high_priority_manual_concern' when suspect >= 1 or broad >= 3 or broad / total >= 0.5 then 'materially_inflated' when broad >= 1 then 'mildly_inflated' else 'structurally_clean' end")
     return k.select("commander_id", review.alias("review"), structure.alias("structure"), "mix", "profile")
+
+
+# --- evidence, identities, kinds of overrides --------------------------------------------------------
+
+
+def evidence(d: Dialect) -> list[dict[str, str]]:
+    """Four sources of a page's row, each with its own cells, blockers and score."""
+    cells = {"title": pick(d, TITLES, 1), "cats": pick(d, CATEGORIES, 3), "raw_a": pick(d, SIDES_A, 2), "raw_b": pick(d, SIDES_B, 3), "cell": "case when p_size % 2 = 0 then 'X' else '' end", "place": "case when p_size % 3 = 0 then 'Y' else '' end", "war": "case when p_size % 4 = 0 then 'Z' else '' end", "side": "case when p_size % 2 = 0 then 'side_a' else 'side_b' end", "sources": d.list("0", "1", "2", "3")}
+    return [cells, {"t": "lower(title)", "source": d.fn("explode(sources)", "unnest(sources)")}, {"n": "p_partkey + source * 3"}, {"page": "'battle_article'", "date_raw": pick(d, DATES, 2).replace("p_partkey", "n"), "result": pick(d, RESULT, 1).replace("p_partkey", "n"), "box": "n % 3 = 0"},
+            {"year": f"cast(nullif({d.extract('date_raw', '([0-9]{3,4})')}, '') as int)", "kind": c.result_type(d, "result", RESULTS)}, {"flags": c.row_blockers(d, RESULTS), "score": c.evidence_score(), "own": c.side_result(d)}, {"blockers": d.size("flags"), "strong": d.exists("flags", "x", f"x in ({', '.join(repr(s) for s in c.STRONG)})")}]
+
+
+@query(f"""with {chain(OTHER, evidence(OTHER))}, r as (select *, row_number() over (partition by p_partkey order by case when blockers = 0 then 0 else 1 end, case when blockers = 0 then source else blockers end, -score, source) as rn, bool_or(strong) over (partition by p_partkey) as any_strong from l7)
+  select p_partkey, source, blockers::int as blockers, score::int as score, own, case when blockers = 0 then 'restored' when any_strong then 'removed' else 'quarantine' end as decision from r where rn = 1""")
+def rule_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of four sources of a row: without blockers by priority and evidence, else with the fewest; and its side's result."""
+    rows = built(spark, sf_dir, evidence(SPARK)).select("p_partkey", "source", "blockers", "score", "own", "strong")
+    b = F.col("blockers")
+    key = F.struct((b > 0).alias("a"), F.when(b == 0, F.col("source")).otherwise(b).alias("b"), (-F.col("score")).alias("c"), F.col("source").alias("d"))
+    best = rows.groupBy("p_partkey").agg(F.min_by(F.struct("source", "blockers", "score", "own"), key).alias("x"), F.max("strong").alias("any_strong"))
+    decision = F.when(F.col("x.blockers") == 0, "restored").when(F.col("any_strong"), "removed").otherwise("quarantine")
+    return best.select("p_partkey", "x.source", "x.blockers", "x.score", "x.own", decision.alias("decision"))
+
+
+def identities(d: Dialect) -> list[dict[str, str]]:
+    cells = {"raw": pick(d, NAMES, 1), "link": f"case when p_size % 3 = 0 then '' else {pick(d, [*LINKS, 'Ministry of War', 'Newsweek'], 1)} end", "title": pick(d, [*TITLES, "Hannibal at the gates", "John Smith and the sea"], 2)}
+    return [cells, {"name": c.clean_name(d, "raw", "''")}, {"low": "lower(name)", "url": "case when link <> '' then concat('https://en.wikipedia.org/wiki/', replace(link, ' ', '_')) end", "no_person": c.non_person_link(d, "name", "link"), "named": c.mentions(d, "title", "name")}]
+
+
+@query(f"""with {chain(OTHER, identities(OTHER))}, r as (select * from l3 where name <> '' or link <> ''), m as (select distinct low from r where url is null and low <> '' and p_partkey % 4 <> 1), u as (select distinct url from r where p_partkey % 5 <> 2 and url is not null),
+  k as (select r.*, case when u.url is not null then 'linked_wikipedia_url' when m.low is not null then 'normalized_raw_name' else 'synthetic_fallback' end as source, coalesce('url:' || r.url, 'name:' || r.low) as key from r left join u on u.url = r.url left join m on m.low = r.low),
+  n as (select key, name, row_number() over (partition by key order by count(*) desc, name) as rn from k where name <> '' group by 1, 2)
+  select 'acmd_' || substr(sha1(k.key), 1, 12) as id, count(*) as rows, max(n.name) as name, max(url) as url, string_agg(distinct source, ' | ' order by source) as sources, bool_or(no_person) as no_person, bool_or(named) as named, case when max(url) is not null and not bool_or(no_person) then 'high' when max(url) is not null then 'medium' when bool_or(source = 'synthetic_fallback') then 'low' else 'medium' end as reliability
+  from k left join n on n.key = k.key and n.rn = 1 group by k.key""")
+def rule_identity_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identities by known link, else by known name, else made up; the bridge's commonest name, link and reliability."""
+    r = built(spark, sf_dir, identities(SPARK)).filter("name <> '' or link <> ''").select("p_partkey", "name", "low", "url", "no_person", "named")
+    m = r.filter("url is null and low <> '' and p_partkey % 4 <> 1").select("low").distinct().withColumn("by_name", F.lit(True))
+    u = r.filter("url is not null and p_partkey % 5 <> 2").select("url").distinct().withColumn("by_url", F.lit(True))
+    k = r.join(u, "url", "left").join(m, "low", "left")
+    k = k.withColumns({"source": F.when(F.col("by_url"), "linked_wikipedia_url").when(F.col("by_name"), "normalized_raw_name").otherwise("synthetic_fallback"), "key": F.coalesce(F.concat(F.lit("url:"), "url"), F.concat(F.lit("name:"), "low"))})
+    n = k.filter("name <> ''").groupBy("key", "name").agg(F.count("*").alias("n")).groupBy("key").agg(F.min_by("name", F.struct(-F.col("n"), F.col("name"))).alias("name"))
+    g = k.groupBy("key").agg(F.count("*").alias("rows"), F.max("url").alias("url"), F.array_join(F.array_sort(F.collect_set("source")), " | ").alias("sources"), F.max("no_person").alias("no_person"), F.max("named").alias("named"), F.max(F.col("source") == "synthetic_fallback").alias("made"))
+    linked = F.col("url").isNotNull()
+    reliability = F.when(linked & ~F.col("no_person"), "high").when(linked, "medium").when(F.col("made"), "low").otherwise("medium")
+    return g.join(n, "key", "left").select(F.concat(F.lit("acmd_"), F.substring(F.sha1("key"), 1, 12)).alias("id"), "rows", "name", "url", "sources", "no_person", "named", reliability.alias("reliability"))
+
+
+@query(f"""with {FACT}, b as (select page_id, case when page_id % 5 = 0 then 'campaign_article' else ' ' end as o_type, case when page_id % 7 = 0 then '1800' end as o_year from (select distinct page_id from fact where page_id % 5 = 0 or page_id % 7 = 0)), k as (select distinct commander_id, case when commander_id % 3 = 0 then 'side_b' else '' end as o_side from fact where commander_id % 2 = 0),
+  o as (select commander_id, page_id, case when page_id % 11 = 0 then 'draw' else '' end as o_outcome from fact where (commander_id + page_id) % 9 = 0)
+  select commander_id, page_id, coalesce(nullif(trim(o_type), ''), page_type) as page_type, coalesce(try_cast(nullif(trim(o_year), '') as int), year) as year, coalesce(nullif(trim(o_side), ''), side) as side, coalesce(nullif(trim(o_outcome), ''), outcome) as outcome, (b.page_id is not null)::int + (k.commander_id is not null)::int + (o.page_id is not null)::int as overrides
+  from fact left join b using (page_id) left join k using (commander_id) left join o using (commander_id, page_id)""")
+def verify_override_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overrides of pages, of commanders and of single outcomes, each by its key; what they leave blank stays as it was."""
+    f = engagements(spark, sf_dir)
+    p, w = F.col("page_id"), F.col("commander_id")
+    b = f.filter("page_id % 5 = 0 or page_id % 7 = 0").select("page_id").distinct().select("page_id", F.when(p % 5 == 0, "campaign_article").otherwise(" ").alias("o_type"), F.when(p % 7 == 0, "1800").alias("o_year"), F.lit(1).alias("b"))
+    k = f.filter("commander_id % 2 = 0").select("commander_id").distinct().select("commander_id", F.when(w % 3 == 0, "side_b").otherwise("").alias("o_side"), F.lit(1).alias("k"))
+    o = f.filter("(commander_id + page_id) % 9 = 0").select("commander_id", "page_id", F.when(p % 11 == 0, "draw").otherwise("").alias("o_outcome"), F.lit(1).alias("o"))
+    said = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    r = f.join(b, "page_id", "left").join(k, "commander_id", "left").join(o, ["commander_id", "page_id"], "left")
+    n = sum((F.coalesce(c, F.lit(0)) for c in ("b", "k", "o")), F.lit(0))
+    return r.select("commander_id", "page_id", F.coalesce(said("o_type"), "page_type").alias("page_type"), F.coalesce(said("o_year").try_cast("int"), "year").alias("year"), F.coalesce(said("o_side"), "side").alias("side"), F.coalesce(said("o_outcome"), "outcome").alias("outcome"), n.alias("overrides"))

@@ -154,6 +154,18 @@ def graph_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach(e, spark.createDataFrame([(0,)], "node long"), 6)
 
 
+@query("""with recursive e as (select distinct p_partkey as a, (p_partkey * 7 + p_size) % (select count(*) from part) as b from part), ok as (select p_partkey as node from part where p_size % 4 <> 0),
+  w as (select 0::bigint as node, 0 as depth union select e.b, w.depth + 1 from w join e on e.a = w.node join ok on ok.node = e.b where w.depth < 5) select node, min(depth)::int as depth, node % 3 = 0 as candidate from w group by 1""")
+def graph_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reach over categories with a depth bound, entering relevant ones only; members of a kind become candidates."""
+    p = table(spark, sf_dir, "part")
+    n = p.agg(F.count("*").alias("n"))
+    e = beside(p, n).select(F.col("p_partkey").cast("long").alias("a"), ((F.col("p_partkey") * 7 + F.col("p_size")) % F.col("n")).cast("long").alias("b")).distinct()
+    ok = p.filter("p_size % 4 <> 0").select(F.col("p_partkey").cast("long").alias("node"))
+    found = reach(e, spark.createDataFrame([(0,)], "node long"), 5, ok)
+    return found.select("node", "depth", (F.col("node") % 3 == 0).alias("candidate"))
+
+
 @query(f"""with {RANKED}, x as (select name, model, rank, score, profile from ranked where model = 'hierarchical_trust_v2' and contains(lower(name || ' ' || profile), 'mixed') and engagements >= 10) select name, rank, round(score, 6) as score, profile from x order by score desc, rank limit 120""")
 def report_filtered_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A parameterised table view: facets, free text, sort and 120 rows."""

@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from lodestar.functions import text
 from lodestar.functions.dates import date_reasons
 from lodestar.functions.scores import cap_factor
 from lodestar.operators.graph import reach
-from lodestar.operators.relational import first_filled, near
-from lodestar.operators.windows import percentile_rank
+from lodestar.operators.relational import first_filled, near, numbered, view
+from lodestar.operators.windows import ordered_ranks, percentile_rank, percentile_ranks, unique_rank
 from lodestar.sources import files
 
 
@@ -87,13 +88,76 @@ def test_content_address(spark):
     assert a == b and len(a) == 40
 
 
-def test_entry_without_optional_parts(monkeypatch):
+@pytest.mark.parametrize("missing", ["corpus_pipeline", "lodestar.llm", "zstandard"])
+def test_entry_without_optional_parts(monkeypatch, missing):
     import importlib
     import sys
 
     import __spark_entry__ as e
 
-    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    for name in [n for n in sys.modules if n == "corpus_pipeline" or n.startswith("lodestar.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)
     fresh = importlib.util.module_from_spec(importlib.util.spec_from_file_location("fresh_entry", e.__file__))
     fresh.__spec__.loader.exec_module(fresh)
     assert not any(k.startswith("op") for k in fresh.queries())
+
+
+def test_ranks_by_buckets_equal_windows(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(k % 3, i, float(rng.choice([0, 0, 1, 2.5, 7, rng.random() * 9]))) for i, k in enumerate(rng.choices(range(9), k=400))] + [(9, 1000, 4.0)]
+    df = spark.createDataFrame(rows, "g int, i int, v double")
+    plain = {r.i: (round(r.p, 9), r.k) for r in df.select("i", percentile_rank(F.col("v"), ["g"]).alias("p"), unique_rank(["g"], [F.desc("v"), F.asc("i")]).alias("k")).collect()}
+    pct = percentile_ranks(df, ["g"], "v", "p")
+    both = ordered_ranks(pct, ["g"], "v", [F.desc("v"), F.asc("i")], "k")
+    assert {r.i: (round(r.p, 9), r.k) for r in both.collect()} == plain
+
+
+def test_numbered_and_view(spark):
+    df = spark.range(0, 1000, 1, 7).select(F.col("id"), (F.col("id") % 10).alias("v"))
+    assert [r.n for r in numbered(df, "n").orderBy("id").collect()] == list(range(1, 1001))
+    top = view(spark.createDataFrame([("b", 1), (None, 2), ("A", 3)], "s string, i int"), "s", False, ["i"], 2).collect()
+    assert [(r.s, r.place) for r in top] == [("A", 1), ("b", 2)]
+
+
+def test_common_length():
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    import random
+
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abcd é", k=rng.randrange(90))) for _ in range(2))
+        assert text.common_length(a, b) == plain(a, b)
+
+
+def test_exact_override_fails_on_no_row(spark, sf_dir):
+    from lodestar.plans.curation import verify_exact_overrides
+
+    assert verify_exact_overrides(spark, sf_dir).count() >= 1
+
+
+def test_cached_fetch_tries_again(spark):
+    seen = spark.createDataFrame([({"id": "1"},), ({"id": "2"},), ({"id": "1"},)], "params map<string,string>")
+
+    def fetch(p):
+        import os
+        import tempfile
+
+        mark = os.path.join(tempfile.gettempdir(), f"lodestar-try-{os.getpid()}-{p['id']}")
+        if not os.path.exists(mark):
+            open(mark, "w").close()
+            raise OSError("once more")
+        os.remove(mark)
+        return "body " + p["id"]
+
+    got = files.cached_fetch(seen, spark.createDataFrame([], "key string, body string"), fetch).collect()
+    assert sorted((r.body, r.tries) for r in got) == [("body 1", 2), ("body 2", 2)]
