@@ -24,11 +24,13 @@ ROWS = 1000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder, as a URI, under the cluster's spark.checkpoint.dir (set here only where unset)."""
+    """A new folder, as a URI, under the cluster's spark.checkpoint.dir; where it is unset, only a local master gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
