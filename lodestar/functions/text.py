@@ -302,6 +302,12 @@ def fold_title(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(composed(c), DASHES, "-" * len(DASHES)), r"(?U)\s+", " "))
 
 
+@F.pandas_udf(T.StringType())
+def percent_text(s: pd.Series) -> pd.Series:
+    """One decimal of the exact binary value, where Java's formatter rounds the shortest decimal; for small reports."""
+    return s.map("{:.1f}%".format, na_action="ignore")
+
+
 @F.pandas_udf(T.DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.curation import OTHER, SPARK
+from lodestar.functions.text import percent_text
 from lodestar.operators.tables import shared_table
 from lodestar.operators.windows import top_by
 from lodestar.plans.binding import FACT, engagements, table
@@ -260,7 +261,7 @@ def report_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = k.join(F.broadcast(total), how="cross")
     share = 100.0 * F.col("n") / F.col("rows")
     # One row an issue: the order runs over a dozen rows.
-    return out.select("issue", "n", "example", F.round(share, 6).alias("percent"), F.format_string("%.1f%%", share).alias("shown"), F.expr("cast(row_number() over (order by n desc, issue) as int)").alias("place"), "touched")
+    return out.select("issue", "n", "example", F.round(share, 6).alias("percent"), percent_text(share).alias("shown"), F.expr("cast(row_number() over (order by n desc, issue) as int)").alias("place"), "touched")
 
 
 # --- dashboard ---------------------------------------------------------------------------------------
