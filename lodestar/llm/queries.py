@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, decontam, jaccard, lm, pii, secrets, sketch, tokenbin, toxicity, unigram
+from lodestar.llm import bpe, decontam, dualtree, jaccard, lm, packing, periodic, pii, secrets, sketch, tokenbin, toxicity, unigram
 from lodestar.llm.shared import documents, fold
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -60,8 +60,20 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
 
 
+def op11_dual_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dualtree.hard_negatives(dualtree.relabelled(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.runs(periodic.planted(documents(spark, sf_dir))))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_trigram_trie, op2_template_decontamination, op3_personal_data, op4_toxicity, op5_secrets, op6_bottom_k_sketch, op7_jaccard_join, op8_token_files, op9_unigram_counts, op10_bpe_round_trip]
+    found = [op1_trigram_trie, op2_template_decontamination, op3_personal_data, op4_toxicity, op5_secrets, op6_bottom_k_sketch, op7_jaccard_join, op8_token_files, op9_unigram_counts, op10_bpe_round_trip, op11_dual_tree_negatives, op12_periodic_runs, op13_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
@@ -76,5 +88,15 @@ c as (select x, least(x, min(y)) as class_id from r group by 1), k as (select x,
 select doc_id, coalesce(class_id, doc_id) as class_id, coalesce(n_links, 0) as n_links from documents left join c on c.x = doc_id left join k on k.x = doc_id"""
 
 
+#: All inner products of the anchors, their best positives, and the best of what scores closely below each.
+NEGATIVES_SQL = """with e as (select row_number() over (order by vec_id) as u, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.u, a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select *, row_number() over (partition by u order by score desc, id) as k from s where same qualify k <= 5),
+n as (select p.anchor_id, p.id as positive_id, cast(row_number() over (partition by p.u, p.k order by s.score desc, s.id) as integer) as "rank", s.id as negative_id, p.score as positive_score, s.score as negative_score
+  from p join s on s.u = p.u and not s.same and 80 * p.score <= 100 * s.score and s.score <= p.score)
+select * from n where "rank" <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_jaccard_join": JACCARD_SQL}
+    return {"op7_jaccard_join": JACCARD_SQL, "op11_dual_tree_negatives": NEGATIVES_SQL}
