@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import curation as c
 from lodestar.functions.curation import OTHER, SPARK, Dialect
 from lodestar.functions.text import RESULTS
+from lodestar.operators.windows import ordered_ranks
 from lodestar.plans.binding import FACT, engagements, table
 from lodestar.plans.registry import query
 
@@ -85,8 +86,8 @@ def graph_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with all their origins merged, classified by metadata, in order of priority."""
     rows = built(spark, sf_dir, origins(SPARK)).filter("link >= 1")
     o = rows.groupBy("title").agg(F.max("link").alias("score"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("source")), " | ").alias("sources"), F.min("meta_type").alias("meta_type"))
-    # Distinct titles are the pages of the frontier; they are one row each.
-    ranked = o.selectExpr("*", "meta_type like '%_article' as accepted", "row_number() over (order by score desc, n desc, lower(title), title) as place")
+    o = o.selectExpr("*", "meta_type like '%_article' as accepted")
+    ranked = ordered_ranks(o, [], [F.desc("score"), F.desc("n"), F.lower("title").asc(), F.asc("title")], "place")
     return ranked.select("title", "score", "n", "sources", "meta_type", "accepted", "place")
 
 

@@ -133,8 +133,8 @@ PARTS = {"scope": ["scope_conflict", "scope_type", "scope_era"]}
 def ranked(spark: SparkSession, sf_dir: str, models: list[str] | None = None) -> DataFrame:
     """The ranking of the given models, or of all, in long form. Components are percentile ranks inside the model's own cohort.
 
-    Only the metric sets and components of these models are made. The cohorts and the scores, a row a model and
-    commander, are written once, as their ranks are found bucket by bucket.
+    Only the metric sets and components of these models are made. The cohorts, a row a model and commander, are written
+    once, as they are read for the components, their ranks and the scores.
     """
     models = models or list(MODELS)
     used = sorted({MODELS[m][0] for m in models})
@@ -175,7 +175,7 @@ def ranked(spark: SparkSession, sf_dir: str, models: list[str] | None = None) ->
     score = percentile_ranks(long, ["model", "part"], "v", "pct").groupBy("model", "commander_id").agg(F.sum(F.col("w") * F.col("pct")).alias("sum"))
     scored = frame.join(score, ["model", "commander_id"]).withColumn("score", steady(F.col("sum") * F.col("factor"))).drop("sum")
     order = [F.desc("score"), F.desc("r_outcome"), F.desc("engagements"), F.asc("name")]
-    return ordered_ranks(shared_table(scored, "scores"), ["model"], "score", order, "rank").withColumns({"profile": profile_class(), "tier": score_tier(F.col("score"))})
+    return ordered_ranks(scored, ["model"], order, "rank").withColumns({"profile": profile_class(), "tier": score_tier(F.col("score"))})
 
 
 def _sum_sql(values: dict[str, float], key: str) -> str:
@@ -339,8 +339,7 @@ def page_tier() -> Column:
 def rank_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trust ranking with broad evidence capped, and how ranks move."""
     t = ranked(spark, sf_dir, ["hierarchical_trust_v2"]).withColumn("cap", cap_factor(F.col("higher_share")))
-    t = shared_table(t.withColumn("c", steady(F.col("score") * F.col("cap"))), "capped")
-    t = ordered_ranks(t, ["model"], "c", [F.desc("c"), F.desc("score"), F.asc("rank")], "capped_rank")
+    t = ordered_ranks(t.withColumn("c", steady(F.col("score") * F.col("cap"))), ["model"], [F.desc("c"), F.desc("score"), F.asc("rank")], "capped_rank")
     return t.select("commander_id", "rank", F.round("cap", 6).alias("cap"), F.round(F.col("score") * F.col("cap"), 6).alias("capped"), "capped_rank", (F.col("capped_rank") - F.col("rank")).alias("moved"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from lodestar.functions.scores import ERAS, mapped, ratio
 from lodestar.operators import relational as rel
 from lodestar.operators.tables import shared_table
-from lodestar.operators.windows import any_over, ordered_ranks, percentile_rank, share_over, top_by, unique_rank
+from lodestar.operators.windows import any_over, ordered_ranks, percentile_ranks, share_over, top_by
 from lodestar.plans.binding import FACT, engagements, table
 from lodestar.plans.registry import query
 
@@ -220,7 +220,7 @@ def rel_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     own = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("kind"), "o_custkey").agg(F.max("o_totalprice").alias("best"), F.count("*").alias("n"))
     own = shared_table(own, "priorities")
-    r = ordered_ranks(own, ["kind"], "best", [F.desc("best"), F.desc("n"), F.asc("o_custkey")], "rn")
+    r = ordered_ranks(own, ["kind"], [F.desc("best"), F.desc("n"), F.asc("o_custkey")], "rn")
     # One row a kind, in one array.
     sizes = own.groupBy("kind").agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("kind", "n")).alias("sizes"))
     ahead = F.aggregate("sizes", F.lit(0).cast("long"), lambda acc, k: acc + F.least(k["n"], F.col("rn") - 1) + ((k["kind"] <= F.col("kind")) & (k["n"] >= F.col("rn"))).cast("long"))
@@ -242,7 +242,8 @@ def rel_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rel_percentile_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average-tie percentile ranks and unique ranks inside groups."""
     t = engagements(spark, sf_dir).groupBy("era", "commander_id").agg(F.count("*").alias("n"))
-    return t.select("era", "commander_id", "n", F.round(percentile_rank(F.col("n"), ["era"]), 6).alias("pct"), unique_rank(["era"], [F.desc("n"), F.asc("commander_id")]).alias("place"))
+    t = percentile_ranks(shared_table(t, "sizes"), ["era"], "n", "pct")
+    return ordered_ranks(t, ["era"], [F.desc("n"), F.asc("commander_id")], "place").withColumn("pct", F.round("pct", 6))
 
 
 @query("""with h as (select doc_id, md5(text) as h, count(*) over (partition by md5(text)) as n, row_number() over (partition by md5(text) order by doc_id) as rn from documents)
@@ -260,8 +261,8 @@ def rel_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rel_rank_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Movement between two rankings among the union of their top 50."""
     t = engagements(spark, sf_dir).groupBy("commander_id").agg(F.count("*").alias("n"), F.count_if(F.col("outcome").isin("victory", "decisive_victory")).alias("v"))
-    # One row a commander: the two global orders run over an aggregate.
-    r = t.select("commander_id", unique_rank([], [F.desc("n"), F.asc("commander_id")]).cast("long").alias("a"), unique_rank([], [F.desc("v"), F.asc("commander_id")]).cast("long").alias("b"))
+    r = ordered_ranks(t, [], [F.desc("n"), F.asc("commander_id")], "a")
+    r = ordered_ranks(r, [], [F.desc("v"), F.asc("commander_id")], "b").withColumns({c: F.col(c).cast("long") for c in "ab"})
     way = F.when(F.col("b") < F.col("a"), "rise").when(F.col("b") > F.col("a"), "fall").otherwise("same")
     return r.filter(F.least("a", "b") <= 50).select("commander_id", F.col("a").alias("rank_size"), F.col("b").alias("rank_wins"), (F.col("b") - F.col("a")).alias("moved"), way.alias("way"), F.abs(F.col("a") - F.col("b")).alias("gap"))
 
@@ -337,9 +338,7 @@ def rel_ordered_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sort by an ordered category, mixed directions, nulls last: every row's place, by its rank in the category and the sizes of earlier ones."""
     kind = F.when(F.col("c_mktsegment") == "MACHINERY", 1).when(F.col("c_mktsegment") == "BUILDING", 2).otherwise(3)
     c = table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", "c_acctbal", kind.alias("kind"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("key"))
-    # Nulls come after the least key, 0.
-    c = c.withColumn("by", F.coalesce("key", F.lit(-1.0)))
-    r = ordered_ranks(c, ["kind"], "by", [F.desc_nulls_last("key"), F.asc("c_custkey")], "rn")
+    r = ordered_ranks(c, ["kind"], [F.desc_nulls_last("key"), F.asc("c_custkey")], "rn")
     n = c.groupBy("kind").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     place = (F.col("rn") + F.col("before")).cast("int")

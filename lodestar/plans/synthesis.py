@@ -117,12 +117,11 @@ def rank_tier_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eligibility with the ranks of the capped scores, and of the commanders who are not excluded; written once, as ranks are found by buckets."""
-    e = eligibility(spark, sf_dir).withColumn("cap", cap_factor(F.col("broad"))).withColumns({"capped_score": steady(F.col("trust_score") * F.col("cap")), "all": F.lit(1)})
-    e = shared_table(e, "eligibility")
-    e = ordered_ranks(e, ["all"], "capped_score", [F.desc("capped_score"), F.desc("trust_score"), F.asc("trust_rank")], "capped_rank")
-    f = ordered_ranks(e.filter("not excluded").select("commander_id", "all", "trust_score", "trust_rank"), ["all"], "trust_score", [F.desc("trust_score"), F.asc("trust_rank")], "filtered_rank")
-    return e.join(f.select("commander_id", "filtered_rank"), "commander_id", "left").drop("all")
+    """Eligibility with the ranks of the capped scores, and of the commanders who are not excluded; from two global orders."""
+    e = eligibility(spark, sf_dir).withColumn("cap", cap_factor(F.col("broad"))).withColumns({"capped_score": steady(F.col("trust_score") * F.col("cap"))})
+    e = ordered_ranks(e, [], [F.desc("capped_score"), F.desc("trust_score"), F.asc("trust_rank")], "capped_rank")
+    f = ordered_ranks(e.filter("not excluded").select("commander_id", "trust_score", "trust_rank"), [], [F.desc("trust_score"), F.asc("trust_rank")], "filtered_rank")
+    return e.join(f.select("commander_id", "filtered_rank"), "commander_id", "left")
 
 
 FILTER = ELIGIBLE + """, capx as (select *, round(trust_score * least(1, case when broad <= 0.4 then 1 else greatest(0, 1 - broad + least(broad, 0.4::double / 0.6::double * (1 - broad))) end), 9) as capped_score from elig),
@@ -413,8 +412,8 @@ def role_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = shared_table(confidence_tiers(*confident(spark, sf_dir)), "confidence")
     t = t.join(role_contributions(spark, sf_dir, t, scope(t)), "commander_id", "left")
     factor = F.col("adjustment") * (0.75 + 0.25 * F.col("sureness")) * F.when(F.col("excluded"), 0.25).otherwise(1.0)
-    t = shared_table(t.withColumns({"role_score": steady(F.col("trust_score") * factor), "all": F.lit(1)}), "roles")
-    t = ordered_ranks(t, ["all"], "role_score", [F.desc("role_score"), F.desc("trust_score"), F.asc("trust_rank")], "role_rank").drop("all")
+    t = t.withColumn("role_score", steady(F.col("trust_score") * factor))
+    t = ordered_ranks(t, [], [F.desc("role_score"), F.desc("trust_score"), F.asc("trust_rank")], "role_rank")
     four = [F.col(c) for c in ("trust_rank", "capped_rank", "filtered_rank", "role_rank")]
     t = t.withColumns({"best": F.least(*four), "worst": F.greatest(*four), "moved": F.col("role_rank") - F.col("trust_rank")}).withColumn("range", F.col("worst") - F.col("best"))
     nominal, unclear, broad, moved, role = (F.col(c) for c in ("nominal", "unclear", "broad", "moved", "dominant"))
