@@ -9,6 +9,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from lodestar.operators.tables import release  # noqa: E402
 from lodestar.plans import catalog  # noqa: E402
 from lodestar.plans.session import session  # noqa: E402
 
@@ -25,6 +26,7 @@ def main() -> None:
     for name in HEADLINE:
         runs = []
         for _ in range(4):  # one to warm up, then the median of three, or of as many as end within 40 seconds
+            release(spark)  # every run makes its tables anew
             began = time.time()
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.time() - began)

@@ -1,22 +1,34 @@
-"""Tables written once and read again: the shared folder, and lineage cut through it."""
+"""Tables written once and read again: the shared folder, lineage cut through it, tables kept by what they are made from, and their release."""
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of this process by application, to be released.
+_MADE: dict[str, list[str]] = {}
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the one that the cluster names in spark.checkpoint.dir; only a local master may use a temporary one."""
+
+def _base(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; only a local master may use a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one."""
+    path = f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
@@ -24,3 +36,47 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _store(spark: SparkSession, path: str):
+    """Spark's own view of a store, and the path in it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def kept_table(spark: SparkSession, name: str, sources: list[str], settings: object, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table of this name, sources and settings: read where it has been written whole, else made and written.
+
+    Its key holds each source file's path, size and time of change, so changed sources make another table; `settings` are
+    what else the rows depend on. A run that dies while writing leaves no mark of success and is made again; of two runs
+    that write at once the later one to end finds the table there and reads it.
+    """
+    files = [spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(s).select("path", "length", "modificationTime") for s in sources]
+    listed = sorted(str(tuple(r)) for f in files for r in f.collect())  # a row a file of the sources
+    key = hashlib.sha256(repr((name, settings, listed)).encode()).hexdigest()[:32]
+    path = f"{_base(spark)}/{name}-{key}"
+    store, at = _store(spark, path)
+    _, mark = _store(spark, f"{path}/_SUCCESS")
+    if not store.exists(mark):
+        made = f"{path}.{uuid.uuid4().hex}"
+        make().write.parquet(made)
+        store, draft = _store(spark, made)
+        if store.exists(mark):
+            store.delete(draft, True)
+        else:
+            store.delete(at, True)
+            store.rename(draft, at)
+    own = _MADE.setdefault(spark.sparkContext.applicationId, [])
+    if path not in own:
+        own.append(path)
+    return spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that this process has written or kept for this application; frames that read them are of no use then. Returns how many."""
+    gone = 0
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        store, at = _store(spark, path)
+        gone += bool(store.delete(at, True))
+    return gone

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from lodestar.functions.rules import DIRECT, ROLES
 from lodestar.functions.scores import ERAS, SHRINK, cap_factor, mapped, ratio, steady
 from lodestar.operators.relational import join_flags
-from lodestar.operators.tables import shared_table
-from lodestar.operators.windows import ordered_ranks, percentile_rank, unique_rank
+from lodestar.operators.resample import draws, draws_sql, summed
+from lodestar.operators.tables import kept_table, shared_table
+from lodestar.operators.windows import ordered_ranks, percentile_ranks, unique_rank
 from lodestar.plans.binding import table
 from lodestar.plans.ranking import BATTLE, CAMPAIGN, OPERATION, TIER_SQL, TRUST, WAR, page_tier, prepared, ranked, trusted
 from lodestar.plans.registry import query
@@ -37,9 +38,6 @@ PROXIES = {
     **{m: {"outcome": 0.32, "known": 0.18, "scope": 0.18, "temporal": 0.12, "centrality": 0.10, "evidence": 0.10} for m in (HEADLINE, CAPPED, FILTERED)},
 }
 ITERATIONS = 200
-#: Distribution function of Poisson(1) at 0 to 6, as eight hexadecimal digits; digits of one width sort as their numbers do.
-POISSON = [format(int(x * 2**32), "08x") for x in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940581, 0.99991675)]
-
 _ERAS = [*ERAS, "contemporary", "unknown"]
 
 # --- eligibility -----------------------------------------------------------------------------------
@@ -201,54 +199,48 @@ def originals(spark: SparkSession, sf_dir: str, e: DataFrame) -> DataFrame:
     return r
 
 
+#: Sums of a resample: mentions, battles, known ones, presence, broad presence, outcome weights and values.
+SUMS = {"m": "1", "mb": "b", "known": "k", "known_b": "k * b", "p": "w", "nb": "w * (1 - b)", "ow": "o", "ov": "v", "obw": "ob", "obv": "vb"}
+
+
 def resampled(spark: SparkSession, sf_dir: str, original: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
-    """(i, model, commander_id, rank, score) of each resample of the pages.
+    """(i, model, commander_id, rank, score) of each resample of the pages: as many draws as there are pages, with replacement.
 
-    How often a page is drawn is a Poisson(1) number from a digest of iteration and page, so every task makes its own, once a
-    page. The fact meets the draws at the page; its rows are then dealt by commander and conflict and exploded there, where the
-    first grouping needs no shuffle of exploded rows. All iterations and models rank inside one plan, partitioned by both.
+    The draws of all resamples lie beside a page as one row of bytes; the fact meets them at the page and is summed as
+    vectors over all resamples, a row a commander. Models that rank the same commanders by the same parts share them, as the
+    headline model and the capped one do. Cohorts are ranked by counts of distinct values and by sampled ranges.
     """
     f = prepared(spark, sf_dir).filter("strict")
     w, credit = F.col("weight_strict"), F.col("credit_split")
     battle = (F.col("page_type") == BATTLE).cast("double")
-    base = f.select("commander_id", "page_id", "conflict", "year", battle.alias("b"), F.col("known").cast("double").alias("k"), w.alias("w"), (w * credit).alias("o"), (w * credit * F.col("score_balanced")).alias("v"), (battle * credit).alias("ob"), (battle * credit * F.col("score_conservative")).alias("vb"))
-
-    def times(i: Column) -> Column:
-        return _reached(F.substring(F.md5(F.concat(i.cast("string"), F.lit("-"), F.col("page_id").cast("string"))), 1, 8))
-
-    pages = base.select("page_id").distinct().select("page_id", F.transform(F.sequence(F.lit(1), F.lit(iterations)), lambda i: times(i).cast("tinyint")).alias("draws"))
-    met = base.join(pages, "page_id").repartition("commander_id", "conflict")
-    n = F.col("n")
-    drawn = met.select(*base.columns, F.posexplode("draws").alias("i", "n")).filter("n > 0").drop("page_id")
-    sums = {"m": n, "mb": n * F.col("b"), "known": n * F.col("k"), "known_b": n * F.col("k") * F.col("b"), "p": n * F.col("w"), "nb": n * F.col("w") * (1 - F.col("b")), "ow": n * F.col("o"), "ov": n * F.col("v"), "obw": n * F.col("ob"), "obv": n * F.col("vb")}
-    one = drawn.groupBy("i", "commander_id", "conflict").agg(*(F.sum(v.cast("double")).alias(k) for k, v in sums.items()), F.min("year").alias("lo"), F.max("year").alias("hi"))
-    g = one.groupBy("i", "commander_id").agg(*(F.sum(k).alias(k) for k in sums), F.count("conflict").alias("conflicts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    base = f.select("commander_id", "page_id", F.col("conflict").cast("string").alias("conflict"), "year", battle.alias("b"), F.col("known").cast("double").alias("k"), w.alias("w"), (w * credit).alias("o"), (w * credit * F.col("score_balanced")).alias("v"), (battle * credit).alias("ob"), (battle * credit * F.col("score_conservative")).alias("vb"))
+    base = shared_table(base, "strict")
+    drawn = base.join(draws(base.select("page_id").distinct(), iterations), "page_id")
+    rows = drawn.select("commander_id", "conflict", "year", "draws", *(F.expr(v).cast("double").alias(k) for k, v in SUMS.items()))
+    g = summed(rows, "commander_id", "conflict", "year", list(SUMS), iterations)
     shrunk = lambda v, o, k: steady(ratio(F.col(v), F.col(o)) * F.col(k) / (F.col(k) + SHRINK))
     raw = {
-        "outcome": shrunk("ov", "ow", "known"), "outcome_battle": shrunk("obv", "obw", "known_b"), "scale_battle": steady(F.log1p("mb")), "known": steady(F.log1p("known")), "scope": steady(F.log1p("conflicts")),
-        "temporal": steady(F.log1p(F.least(F.greatest(F.col("hi") - F.col("lo"), F.lit(0)), F.lit(60)))), "centrality": steady(F.log1p("p")), "evidence": steady(F.col("known") / F.greatest("m", F.lit(1.0))),
+        "outcome": shrunk("ov", "ow", "known"), "outcome_battle": shrunk("obv", "obw", "known_b"), "scale_battle": steady(F.log1p("mb")), "known": steady(F.log1p("known")), "scope": steady(F.log1p("parts")),
+        "temporal": steady(F.log1p(F.least(F.greatest(F.col("high") - F.col("low"), F.lit(0)), F.lit(60)))), "centrality": steady(F.log1p("p")), "evidence": steady(F.col("known") / F.greatest("m", F.lit(1.0))),
     }
-    g = g.select("i", "commander_id", "m", "mb", steady(cap_factor(steady(ratio(F.col("nb"), F.col("p"))))).alias("cap"), *(v.alias(f"r_{k}") for k, v in raw.items()))
-    model = F.col("model")
-    narrow = model.isin("baseline_conservative", "battle_only_baseline")
-    rows = g.join(original.select("model", "commander_id", "name"), "commander_id").filter(~narrow | (F.col("mb") > 0))
-    weight = lambda k: mapped(model, {m: ws[k] for m, ws in PROXIES.items() if k in ws})
+    g = shared_table(g.select("i", "commander_id", "m", "mb", steady(cap_factor(steady(ratio(F.col("nb"), F.col("p"))))).alias("cap"), *(v.alias(f"r_{k}") for k, v in raw.items())), "resamples")
+    # The headline model's cohort serves the capped one as well; every other model has its own.
+    shared = F.when(F.col("model") == CAPPED, HEADLINE).otherwise(F.col("model"))
+    members = original.filter(F.col("model") != CAPPED).select(F.col("model").alias("cohort"), "commander_id")
+    narrow = F.col("cohort").isin("baseline_conservative", "battle_only_baseline")
+    met = g.join(members, "commander_id").filter(~narrow | (F.col("mb") > 0))
+    weight = lambda k: mapped(F.col("cohort"), {m: ws[k] for m, ws in PROXIES.items() if k in ws})
     parts = F.filter(F.array(*(F.struct(F.lit(k).alias("part"), F.col(f"r_{k}").alias("x"), weight(k).alias("weight")) for k in raw)), lambda s: s["weight"] > 0)
+    long = met.select("i", "cohort", "commander_id", F.explode(parts).alias("s")).select("i", "cohort", "commander_id", "s.*")
+    pct = percentile_ranks(shared_table(long, "parts"), ["i", "cohort", "part"], "x", "pct")
+    sums = pct.groupBy("i", "cohort", "commander_id").agg(F.sum(F.col("weight") * F.col("pct")).alias("s"))
+    narrow = F.col("model").isin("baseline_conservative", "battle_only_baseline")
     first = F.when(narrow, F.col("r_outcome_battle")).otherwise(F.col("r_outcome"))
     size = F.when(narrow, F.col("mb")).otherwise(F.col("m"))
-    long = rows.select("i", "model", "commander_id", "name", first.alias("first"), size.alias("size"), F.when(model == CAPPED, F.col("cap")).otherwise(1.0).alias("cap"), F.explode(parts).alias("s")).select("*", "s.*").drop("s")
-    pct = long.withColumn("pct", percentile_rank(F.col("x"), ["i", "model", "part"]))
-    scored = pct.groupBy("i", "model", "commander_id", "name", "first", "size", "cap").agg(F.sum(F.col("weight") * F.col("pct")).alias("s"))
-    scored = scored.withColumn("score", steady(F.col("s") * F.col("cap")))
-    return scored.select("i", "model", "commander_id", "score", unique_rank(["i", "model"], [F.desc("score"), F.desc("first"), F.desc("size"), F.asc("name")]).alias("rank"))
-
-
-def _reached(h: Column) -> Column:
-    """The number of Poisson limits that a digest reaches."""
-    out = F.lit(len(POISSON))
-    for k, limit in reversed(list(enumerate(POISSON))):
-        out = F.when(h < limit, k).otherwise(out)
-    return out
+    score = steady(F.col("s") * F.when(F.col("model") == CAPPED, F.col("cap")).otherwise(1.0))
+    scored = sums.join(original.select("model", shared.alias("cohort"), "commander_id", "name"), ["cohort", "commander_id"]).join(g, ["i", "commander_id"])
+    scored = scored.select("i", "model", "commander_id", "name", score.alias("score"), first.alias("first"), size.alias("size"))
+    return ordered_ranks(scored, ["i", "model"], [F.desc("score"), F.desc("first"), F.desc("size"), F.asc("name")], "rank").select("i", "model", "commander_id", "score", "rank")
 
 
 def intervals(drawn: DataFrame, original: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
@@ -267,9 +259,9 @@ def intervals(drawn: DataFrame, original: DataFrame, iterations: int = ITERATION
 
 
 BOOT = FLAGS + f""", orig as (select model, commander_id, name, rank as original_rank from ranked where model in ('baseline_conservative', 'battle_only_baseline', 'hierarchical_weighted') union all select '{HEADLINE}', commander_id, name, trust_rank from filt union all select '{CAPPED}', commander_id, name, capped_rank from filt union all select '{FILTERED}', commander_id, name, filtered_rank from filt where filtered_rank is not null),
-draws as materialized (select page_id, i, {" + ".join(f"(h >= '{x}')::int" for x in POISSON)} as n from (select page_id, i, substr(md5(i::varchar || '-' || page_id::varchar), 1, 8) as h from (select distinct page_id from prep where strict), (select unnest(range(1, {ITERATIONS + 1})) as i)) where h >= '{POISSON[0]}'),
+{draws_sql("select distinct page_id from prep where strict", ITERATIONS)},
 bs as (select commander_id, page_id, conflict, year, (page_type = 'battle_article')::int::double as b, known::int::double as k, w_strict as w, w_strict * k_split as o, w_strict * k_split * {{BAL}} as v, (page_type = 'battle_article')::int * k_split as ob, (page_type = 'battle_article')::int * k_split * {{CON}} as vb from prep where strict),
-b1 as (select i, commander_id, conflict, sum(n)::double as m, sum(n * b) as mb, sum(n * k) as known, sum(n * k * b) as known_b, sum(n * w) as p, sum(n * w * (1 - b)) as nb, sum(n * o) as ow, sum(n * v) as ov, sum(n * ob) as obw, sum(n * vb) as obv, min(year) as lo, max(year) as hi from bs join draws using (page_id) group by 1, 2, 3),
+b1 as (select i, commander_id, conflict, sum(n)::double as m, sum(n * b) as mb, sum(n * k) as known, sum(n * k * b) as known_b, sum(n * w) as p, sum(n * w * (1 - b)) as nb, sum(n * o) as ow, sum(n * v) as ov, sum(n * ob) as obw, sum(n * vb) as obv, min(year) as lo, max(year) as hi from bs join drawn using (page_id) group by 1, 2, 3),
 b2 as (select i, commander_id, sum(m) as m, sum(mb) as mb, sum(known) as known, sum(known_b) as known_b, sum(p) as p, sum(nb) as nb, sum(ow) as ow, sum(ov) as ov, sum(obw) as obw, sum(obv) as obv, count(conflict) as conflicts, min(lo) as lo, max(hi) as hi from b1 group by 1, 2),
 b3 as (select i, commander_id, m, mb, round(case when p = 0 then 0 else nb / p end, 9) as hs, round(case when ow = 0 then 0 else ov / ow end * known / (known + 5.0::double), 9) as r_outcome, round(case when obw = 0 then 0 else obv / obw end * known_b / (known_b + 5.0::double), 9) as r_outcome_battle, round(ln(1 + mb), 9) as r_scale_battle, round(ln(1 + known), 9) as r_known,
   round(ln(1 + conflicts), 9) as r_scope, round(ln(1 + least(greatest(hi - lo, 0), 60)), 9) as r_temporal, round(ln(1 + p), 9) as r_centrality, round(known / greatest(m, 1), 9) as r_evidence from b2),
@@ -285,10 +277,15 @@ _P = ("p05", "p10", "p25", "p50", "p75", "p90", "p95", "s05", "s50", "s95", "wid
 
 
 def confident(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The filtered ranking, and the intervals of all six models, each as a written table."""
-    e = shared_table(filtered(spark, sf_dir), "filtered")
-    o = shared_table(originals(spark, sf_dir, e), "originals")
-    return e, shared_table(intervals(resampled(spark, sf_dir, o), o), "intervals")
+    """The filtered ranking, and the intervals of all six models: tables kept for all queries that read the same sources."""
+    sources = [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "orders", "supplier", "customer", "part", "nation", "region")]
+    e = kept_table(spark, "filtered", sources, HEADLINE, lambda: filtered(spark, sf_dir))
+
+    def made() -> DataFrame:
+        o = shared_table(originals(spark, sf_dir, e), "originals")
+        return intervals(resampled(spark, sf_dir, o), o)
+
+    return e, kept_table(spark, "intervals", sources, (ITERATIONS, PROXIES, BANDS), made)
 
 
 @query(f"with {BOOT} select model, commander_id, original_rank, {', '.join(_P)}, presence, confidence, top10::bigint as top10, model = '{HEADLINE}' and original_rank > 10 and top10 > 0 as late_riser from iv")
