@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 # Words of titles and categories.
-META = ["Talk:", "User:", "User talk:", "Wikipedia:", "File:", "Template:", "Help:", "Category:", "Portal:", "Draft:", "Module:", "Special:"]
+META = ["Talk:", "User:", "User talk:", "Wikipedia:", "Wikipedia talk:", "File:", "File talk:", "MediaWiki:", "Template:", "Help:", "Category:", "Portal:", "Draft:", "Book:", "Education Program:", "TimedText:", "Module:", "Gadget:", "Special:"]
 LISTS = ["list", "lists", "timeline", "chronology", "outline", "index"]
 LIST_TITLES = ["list of battles", "lists of battles", "battles of ", "timeline of ", "chronology of ", "military history of ", "battles in ", "battles by "]
 CONTEXT = ["battle", "siege", "military operation", "engagement", "warfare", "conflict", "war"]
@@ -54,8 +54,8 @@ ALIASES = {
     "ukraine": ["ukrainian"], "union": ["union"], "america": ["american"],
 }
 PHRASES = {
-    "allied powers": ["allied", "allies"], "allied forces": ["allied", "allies"], "anti spartan": ["spartan"], "denmark norway": ["dano norwegian", "danish norwegian"], "first french empire": ["french"],
-    "first french republic": ["french"], "great britain": ["british", "anglo british"], "habsburg monarchy": ["austrian", "austro", "habsburg", "imperial"], "nazi germany": ["german", "nazi"],
+    "allied powers": ["allied", "allies"], "allied forces": ["allied", "allies"], "anti spartan": ["spartan"], "denmark norway": ["dano-norwegian", "dano norwegian", "danish-norwegian"], "first french empire": ["french"],
+    "first french republic": ["french"], "great britain": ["british", "anglo-british", "anglo british"], "habsburg monarchy": ["austrian", "austro", "habsburg", "imperial"], "nazi germany": ["german", "nazi"],
     "ottoman empire": ["ottoman", "turkish", "turco"], "soviet union": ["soviet", "russian"], "swedish empire": ["swedish"], "tsardom of russia": ["russian", "russo"], "united kingdom": ["british", "anglo"], "united states": ["american"],
 }
 STOPWORDS = ["and", "the", "of", "for", "in", "on", "at", "by", "with", "army", "armies", "force", "forces", "fleet", "fleets", "division", "divisions", "corps", "command", "front", "fronts", "coalition", "allies", "allied", "rebels", "insurgents", "government"]
@@ -70,12 +70,12 @@ FLANKS = ["list", "left flank", "right flank", "centre", "center", "other comman
 RANKS_ONLY = ["admiral", "brigadier", "brigadier general", "captain", "colonel", "colonel general", "commander", "general", "general officer", "lieutenant", "lieutenant colonel", "lieutenant general", "major", "major general", "marshal", "officer"]
 SUSPICIOUS_NAME = ["according to", "not reliable", "via social media", "currently no confirmed information", "later ruled", "although", "overall", "captured", "killed during", "unknown", "see ]", "see also", "citation needed", "probably none", "former flag"]
 GENERIC_NAMES = ["unknown", "various", "multiple commanders", "several commanders", "general", "major", "brigadier", "colonel", "lieutenant", "captain", "commander", "admiral"]
-LANGUAGES = "ar cs da de el es fa fi fr he hu it ja ko nl pl pt ro ru sv tr uk ur vi zh".split()
-PERSON_CATEGORY = ["births", "deaths", "people", "biographies", "military personnel", "generals", "admirals", "marshals", "officers", "commanders", "monarchs", "kings", "queens", "princes", "dukes", "earls", "counts", "barons", "nobility", "rulers", "sultans", "khans", "pashas", "emperors", "statesmen", "consuls", "senators", "nobles", "politicians"]
-NON_PERSON_CATEGORY = ["flags", "emblems", "military units", "regiments", "brigades", "battalions", "divisions", "corps", "armies", "fleets", "navies", "ships", "aircraft", "weapons", "battles", "wars", "campaigns", "operations", "conflicts", "massacres", "sieges", "organizations", "political parties", "governments", "states", "countries", "kingdoms", "empires", "republics", "treaties"]
-NON_PERSON_TITLE = ["flag", ".svg", "army", "corps", "division", "brigade", "regiment", "battalion", "fleet", "forces", "front", "movement", "government", "kingdom", "empire", "republic", "state", "operation", "campaign", "war", "battle", "siege", "conflict", "treaty", "press", "castle"]
+LANGUAGES = ["ar", "cs", "da", "de", "el", "es", "fa", "fi", "fr", "he", "hu", "it", "ja", "ko", "nl", "pl", "pt", "ro", "ru", "sv", "tr", "uk", "ur", "vi", "zh"]
+PERSON_CATEGORY = ["births", "deaths", "people", "biographies", "military personnel", "generals", "admirals", "marshals", "officers", "commanders", "monarchs", "kings", "queens", "princes", "dukes", "earls", "counts", "barons", "nobility", "rulers", "sultans", "khans", "pashas", "emperors", "pharaohs", "chieftains", "viziers", "statesmen", "consuls", "censors", "magistri", "senators", "patricians", "nobles", "politicians"]
+NON_PERSON_CATEGORY = ["flags", "emblems", "military units", "regiments", "brigades", "battalions", "divisions", "corps", "armies", "fleets", "navies", "ships", "aircraft", "weapons", "battles", "wars", "campaigns", "operations", "conflicts", "massacres", "sieges", "organizations", "political parties", "political movements", "governments", "states", "countries", "kingdoms", "empires", "republics", "insurgent groups", "observer missions", "geography", "villages", "castles", "districts", "neighborhoods", "newspapers", "websites", "treaties"]
+NON_PERSON_TITLE = ["flag", ".svg", "naval flag", "army", "corps", "division", "brigade", "regiment", "battalion", "fleet", "forces", "front", "movement", "government", "kingdom", "empire", "republic", "state", "operation", "campaign", "war", "battle", "siege", "conflict", "observer force", "sultanate", "despotate", "sanjak", "treaty", "press", "media group", "reliefweb", "politico", "castle"]
 RANK_PREFIX = r"^(general|gen\.?|lt\. gen\.?|major general|brigadier|brig\.?|admiral|rear admiral|vice admiral|marshal|field marshal|colonel|col\.?|captain|capt\.?)\s+"
-FALSE_TITLES = ["air assault", "principles of war", "united nations disengagement observer force", "zhang xiu (warlord)"]
+FALSE_TITLES = ["air assault", "principles of war", "united nations disengagement observer force", "zhang xiu (warlord)", "popular front for the liberation of palestine - general command", "popular front for the liberation of palestine – general command"]
 FALSE_CATEGORY = ["strategy", "tactics", "doctrine", "manual", "observer mission", "observer force", "military unit", "political party", "political movement", "organization", "infantry", "airborne warfare", "aerial warfare"]
 
 

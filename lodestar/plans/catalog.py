@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodestar.plans import curation, entities, inputs, ranking, relational, reports, synthesis, texts, verify
+from lodestar.plans import curation, entities, inputs, ranking, relational, reports, synthesis, texts, verify, winners
 from lodestar.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = [relational, texts, ranking, synthesis, verify, entities, curation, reports, inputs]
+MODULES = [relational, texts, ranking, synthesis, verify, entities, curation, reports, inputs, winners]
 
 
 def queries() -> dict[str, Query]:

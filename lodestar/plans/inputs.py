@@ -69,7 +69,8 @@ def io_paginated(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "paged")
     c = numbered(table(spark, sf_dir, "customer").select("c_custkey"), "n").withColumn("page", F.floor((F.col("n") - 1) / 10).cast("int"))
     token = lambda p: F.concat(F.lit("t"), p.cast("string"))
-    pages = c.groupBy("page").agg(F.array_sort(F.collect_list("c_custkey")).alias("items")).select(token(F.col("page")).alias("token"), token(F.col("page") + 1).alias("next"), "items")
+    pages = c.groupBy("page").agg(F.array_sort(F.collect_list("c_custkey")).alias("items"))
+    pages = pages.select(token(F.col("page")).alias("token"), F.when(F.col("page") < c.agg(F.max("page")).first()[0], token(F.col("page") + 1)).alias("next"), "items")
     pages.write.json(path)
     got = files.paged(spark, path, "token string, next string, items array<bigint>", "t0")
     return got.select(F.col("item").alias("c_custkey"), (F.col("page") * 10 + F.col("place")).cast("long").alias("place"))

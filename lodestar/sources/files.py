@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lodestar.operators.tables import shared_table
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path of any store that Spark reads is there."""
@@ -74,19 +76,30 @@ def markdown(df: DataFrame, columns: list[str], order: list[Column], rows: int)
     return df.sparkSession.createDataFrame(list(enumerate(head)), "line int, text string").unionByName(top)
 
 
-def paged(spark: SparkSession, path: str, schema: T.StructType | str, first: str, most: int = 10_000) -> DataFrame:
-    """Items of a source that answers in pages (token, next, items): pages are followed from the first token to the end, `most` at most.
+def paged(spark: SparkSession, path: str, schema: T.StructType | str, first: str) -> DataFrame:
+    """Items of a source that answers in pages (token, next, items), followed from the first token to a page without a next one.
 
-    The chain is walked over (token, next) alone, a few bytes a page; the items are read by all tasks at once.
+    The chain is walked by pointer doubling: a table of what lies 2^k pages after each token is joined with itself, and the
+    pages reached so far, with their numbers, double each round; both are a few bytes a page and written, so n pages take
+    log2 n rounds and none comes to the driver. A chain that returns to a token, or names one that the source does not
+    have, raises an error; a source without pages has no items.
     """
     pages = spark.read.schema(schema).json(path)
-    after = {r.token: r.next for r in pages.select("token", "next").limit(most).collect()}
-    chain, token = [], first
-    while token in after and len(chain) < most:
-        chain.append(token)
-        token = after.pop(token)
-    order = spark.createDataFrame(list(enumerate(chain)), "page int, token string")
-    return pages.join(F.broadcast(order), "token").select("page", F.posexplode("items").alias("place", "item"))
+    jump = shared_table(pages.select("token", F.col("next").alias("to")), "jumps")
+    tokens, n = jump.select("token"), jump.count()
+    reached, step = spark.createDataFrame([(first, 0)] if n else [], "token string, page long"), 1
+    while step <= n:
+        ahead = reached.join(jump, "token").filter("to is not null").select(F.col("to").alias("token"), (F.col("page") + step).alias("page"))
+        reached = shared_table(reached.unionByName(ahead), "reached")
+        on = jump.select(F.col("token").alias("to"), F.col("to").alias("far")).filter("far is not null")
+        jump = shared_table(jump.join(on, "to").select("token", F.col("far").alias("to")), "jumps")
+        step *= 2
+    lost = reached.join(tokens, "token", "left_anti").first()
+    if lost:
+        raise ValueError(f"the source has no page of token {lost.token}")
+    if reached.filter(F.col("page") >= n).first():
+        raise ValueError("the chain of pages returns to one of its tokens")
+    return pages.join(reached, "token").select("page", F.posexplode("items").alias("place", "item"))
 
 
 def cached_fetch(params: DataFrame, cache: DataFrame, fetch, tries: int = 4) -> DataFrame:
