@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.operators.graph import reach
+from lodestar.operators.graph import frontier, reach
 from lodestar.operators.relational import beside, first_filled, join_flags
 from lodestar.operators.windows import any_over
 from lodestar.plans.binding import FACT, engagements, table
@@ -154,6 +154,21 @@ def graph_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach(e, spark.createDataFrame([(0,)], "node long"), 6)
 
 
+@query()
+def graph_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in the order in which a queue visits them along the lines of orders, up to a quarter of them; the rest of the queue is marked.
+
+    A part leads to the next line's part of each order, in order of the orders. No SQL: the queue is tested against a plain one.
+    """
+    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    links = line.select("l_orderkey", F.col("l_partkey").alias("a"), after.alias("b")).filter("b is not null")
+    # A part that an order leads to twice waits there once, at its first place.
+    links = links.groupBy("a", "b").agg(F.min("l_orderkey").alias("place"))
+    start = part.filter("p_partkey < 3").select(F.col("p_partkey").alias("node"), F.col("p_partkey").alias("place"))
+    return frontier(links, start, part.filter("p_size % 3 <> 0").select(F.col("p_partkey").alias("node")), part.count() // 4)
+
+
 @query("""with recursive e as (select distinct p_partkey as a, (p_partkey * 7 + p_size) % (select count(*) from part) as b from part), ok as (select p_partkey as node from part where p_size % 4 <> 0),
   w as (select 0::bigint as node, 0 as depth union select e.b, w.depth + 1 from w join e on e.a = w.node join ok on ok.node = e.b where w.depth < 5) select node, min(depth)::int as depth, node % 3 = 0 as candidate from w group by 1""")
 def graph_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
