@@ -10,7 +10,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,23 +49,30 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_blob(uri: str, arrays: dict[str, np.ndarray]) -> int:
-    """Writes named arrays as one flat file (64-byte aligned, directory at the end); atomic by rename."""
-    names, blobs, at = [], [], 0
-    for name, a in arrays.items():
-        raw = np.ascontiguousarray(a)
-        names.append(f"{name}:{raw.dtype.str}:{len(raw)}:{at}")
-        pad = (-raw.nbytes) % 64
-        blobs.append((raw, pad))
-        at += raw.nbytes + pad
-    tail = ",".join(names).encode()
+def write_blob(uri: str, arrays: dict[str, np.ndarray | Callable[[], np.ndarray] | tuple[np.dtype, Iterator[np.ndarray]]]) -> int:
+    """Writes named arrays as one flat file (64-byte aligned, directory at the end); atomic by rename.
+
+    An array may be a type and an iterator of its parts, which are written as they come, or a function that gives it
+    after those before it are written.
+    """
+    names, at = [], 0
     system, path = _filesystem(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
     tmp = f"{path}.{uuid.uuid4().hex}"
     with system.open_output_stream(tmp) as out:
-        for raw, pad in blobs:
-            out.write(memoryview(raw).cast("B") if raw.nbytes else b"")
+        for name, a in arrays.items():
+            a = a() if callable(a) else a
+            kind, parts = a if isinstance(a, tuple) else (a.dtype, [a])
+            first, count = at, 0
+            for part in parts:
+                raw = np.ascontiguousarray(part, kind)
+                out.write(memoryview(raw).cast("B") if raw.nbytes else b"")
+                count, at = count + len(raw), at + raw.nbytes
+            names.append(f"{name}:{np.dtype(kind).str}:{count}:{first}")
+            pad = -at % 64
             out.write(b"\0" * pad)
+            at += pad
+        tail = ",".join(names).encode()
         out.write(tail + len(tail).to_bytes(8, "little"))
     system.move(tmp, path)
     return at
@@ -142,6 +149,18 @@ def fold(doc_id, parts: int = 5):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, most: int = 100_000) -> DataFrame:
+    """rows joined with a table of one row a key, which says in `weight` how many rows have it, out of `total` at most.
+
+    Keys with more than a `most`th of the total are fewer than `most` and are sent to the rows where these lie; the others are
+    dealt by the key. So no task gets the rows of a frequent key.
+    """
+    limit = max(1000, total // most)
+    heavy, light = table.filter(F.col(weight) > limit), table.filter(F.col(weight) <= limit)
+    frequent = rows.join(F.broadcast(heavy), key)
+    return frequent.unionByName(rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key))
+
+
 def least_hashes(df: DataFrame, h: str, rows: int) -> DataFrame:
     """Rows of df among which the `rows` of least 64-bit hash are, about four times as many, so that tasks hold back the rest.
 

@@ -4,10 +4,11 @@ Ids take two bytes where the vocabulary fits and four otherwise.
 
 Rows go out in ascending doc_id (nulls first; rows of one doc_id by the hash of their text). Each range
 partition writes one file of ids with its own offsets; a partition's base in the whole stream is the
-prefix sum of the id counts before it, so no task needs another's data. Files appear by rename, so a
+prefix sum of the id counts before it, so no task needs another's data. Ids are written as they are made; a
+task holds a chunk of texts and two numbers a document. Files appear by rename, so a
 task that runs again after a lost executor replaces its own file with equal bytes.
 
-Edges: a null text is the empty text, which leaves the end id alone; repeated rows are all written;
+Edges: a null text is the empty text, which leaves the end id alone; a very long text is a chunk of its own; repeated rows are all written;
 an empty table writes no file; further input columns are ignored.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -60,24 +62,30 @@ def write_tokens(df: DataFrame, path: str, out: str, text: str = "text", end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, table)
         part = TaskContext.get().partitionId()
-        ids, sizes, docs, nulls = [], [], [], []
-        for batch in text_chunks(batches):
-            flat, off = encoder(*raw_text(batch.column("text")))
-            n = batch.num_rows
-            own = np.full(len(flat) + n, end_id, kind)
-            own[np.arange(len(flat)) + np.repeat(np.arange(n), np.diff(off))] = flat
-            ids.append(own)
-            sizes.append(np.diff(off) + 1)
-            column = batch.column("doc_id")
-            docs.append(np.asarray(column.fill_null(0), np.int64))
-            nulls.append(np.asarray(column.is_null().to_numpy(zero_copy_only=False), np.uint8))
-        if not ids:
+        sizes, docs, nulls = [], [], []
+
+        def encoded() -> Iterator[np.ndarray]:
+            """The ids, a chunk of texts at a time; ids and sizes of the documents are kept for the end of the file."""
+            for batch in text_chunks(batches):
+                flat, off = encoder(*raw_text(batch.column("text")))
+                n = batch.num_rows
+                own = np.full(len(flat) + n, end_id, kind)
+                own[np.arange(len(flat)) + np.repeat(np.arange(n), np.diff(off))] = flat
+                sizes.append(np.diff(off) + 1)
+                column = batch.column("doc_id")
+                docs.append(np.asarray(column.fill_null(0), "<i8"))
+                nulls.append(np.asarray(column.is_null().to_numpy(zero_copy_only=False), np.uint8))
+                yield own
+
+        ids = encoded()
+        first = next(ids, None)
+        if first is None:
             return
-        size = np.concatenate(sizes)
-        offsets = np.concatenate([[0], np.cumsum(size)]).astype("<u8")
+        offsets = lambda: np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype("<u8")
         uri = f"{out}/part-{part:06d}.tokens"
-        write_blob(uri, {"ids": np.concatenate(ids), "offsets": offsets, "doc_id": np.concatenate(docs).astype("<i8"), "null_id": np.concatenate(nulls)})
-        yield pa.RecordBatch.from_pydict({"part": [part], "file": [uri], "docs": [len(size)], "ids": [int(offsets[-1])]}, schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
+        write_blob(uri, {"ids": (kind, chain([first], ids)), "offsets": offsets, "doc_id": lambda: np.concatenate(docs), "null_id": lambda: np.concatenate(nulls)})
+        size = np.concatenate(sizes)
+        yield pa.RecordBatch.from_pydict({"part": [part], "file": [uri], "docs": [len(size)], "ids": [int(size.sum())]}, schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
     ordered = df.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
