@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import checkpointed, raw_text, release, text_chunks
+from lodestar.llm.shared import checkpointed, looked_up, raw_text, release, text_chunks
 from lodestar.llm.words import mix, split_words, windows
 
 _U = np.uint64
@@ -236,17 +236,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the edges (a, b): the least node of its component, by contraction to stars.
 
     In turn each node links its larger neighbours, and then its smaller ones, to the least of its neighbourhood; edges never grow in
-    number, and the rounds grow with the logarithm of a component's diameter, not with it. A round is one table.
+    number, and the rounds grow with the logarithm of a component's diameter, not with it. A round is one table. The centre
+    of a large star is sent to its edges, so that these stay where they lie.
     """
     edge = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edge = checkpointed(edge, "stars")
+    total = 2 * edge.count()
     before = None
     while True:
         both = edge.union(edge.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("least"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.*")
+        least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"), F.count("*").alias("n")), "least")
+        large = looked_up(both, least, "a", "n", total).filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        large = checkpointed(large, "large")
+        low = checkpointed(large.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")), "low")
+        small = looked_up(large, low, "a", "n", total).select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.*")
         edge = checkpointed(small.filter("a <> b").distinct(), "stars")
         now = edge.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
@@ -346,8 +349,10 @@ def _classes(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, re
     edges = dealt.select("bucket", "i", "j", "node", "sketch").mapInArrow(_bucket_edges, "a long, b long").distinct()
     found = components(edges)
     # The size of a component in blocks' worth of sets or of tokens, whichever is more.
-    size = found.join(made.select("node", "tokens"), "node").groupBy("label").agg(F.greatest(F.count("*").cast("double"), F.sum("tokens") * (BLOCK / BLOCK_TOKENS)).alias("n"))
-    picked = checkpointed(found.join(size, "label").join(nodes, "node").select("node", "first_id", "copies", F.col("label").alias("comp"), "n"), "candidates")
+    found = checkpointed(found.join(made.select("node", "tokens"), "node"), "found")
+    size = found.groupBy("label").agg(F.count("*").alias("rows"), F.greatest(F.count("*").cast("double"), F.sum("tokens") * (BLOCK / BLOCK_TOKENS)).alias("n"))
+    size = checkpointed(size, "sizes")
+    picked = checkpointed(looked_up(found, size, "label", "rows", found.count()).join(nodes, "node").select("node", "first_id", "copies", F.col("label").alias("comp"), "n"), "candidates")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["node", "copies", "comp", "n"]
@@ -364,8 +369,9 @@ def _classes(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, re
     # One row a text that has copies or links.
     known = nodes.join(label, "node", "left").join(count, "node", "left").filter((F.col("copies") > 1) | F.col("label").isNotNull())
     known = known.select("node", "first_id", F.coalesce("label", "node").alias("label"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    least = known.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    known = checkpointed(known.join(least, "label").select("node", "label", "class_id", "n_links"), "classes")
+    known = checkpointed(known, "known")
+    least = checkpointed(known.groupBy("label").agg(F.min("first_id").alias("class_id"), F.count("*").alias("rows")), "ids")
+    known = checkpointed(looked_up(known, least, "label", "rows", known.count()).select("node", "label", "class_id", "n_links"), "classes")
     out = rows.select("doc_id", "node").join(known, "node", "left")
     return out.select("doc_id", "node", F.coalesce("label", "node").alias("label"), F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
