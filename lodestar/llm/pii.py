@@ -39,7 +39,7 @@ HIDDEN = 10
 OWN = 256
 #: Bounds of the training sample: rows, and characters of a text in it.
 SAMPLE_ROWS, SAMPLE_CHARS = 300, 3000
-STEPS, BATCH, RATE, SEED = 400, 64, 0.02, 11
+STEPS, BATCH, RATE, SEED = 1200, 64, 0.02, 11
 ROWS = 1024
 _NEVER = -1e4
 
