@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from html.parser import HTMLParser
-from urllib.parse import quote, unquote, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -72,12 +70,6 @@ def number_range(c: Column) -> Column:
     return F.struct(lo.alias("lo"), hi.alias("hi"), mid.alias("mid"), F.when(n == 0, 0.0).when(n <= 2, 0.8).otherwise(0.55).alias("confidence"))
 
 
-def wiki_links(c: Column) -> Column:
-    """Distinct [[title|label]] links as structs, in order."""
-    raw = F.regexp_extract_all(c, F.lit(r"\[\[([^\[\]]+)\]\]"), F.lit(1))
-    return F.array_distinct(F.transform(raw, lambda x: F.struct(F.trim(F.element_at(F.split(x, r"\|"), 1)).alias("title"), F.trim(F.element_at(F.split(x, r"\|"), -1)).alias("label"))))
-
-
 def key_values(c: Column, pair: str = "; ", eq: str = "=") -> Column:
     return F.str_to_map(c, F.lit(pair), F.lit(eq))
 
@@ -101,21 +93,6 @@ def link_title(url: Column) -> Column:
     return F.trim(F.replace(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), F.lit("_"), F.lit(" ")))
 
 
-def plain_title(s: str) -> str:
-    """NFKC, dashes folded, blanks collapsed."""
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", s).translate({ord(c): "-" for c in DASHES})).strip()
-
-
-def page_url(title: str) -> str:
-    return "https://en.wikipedia.org/wiki/" + quote(title.strip().replace(" ", "_"), safe="()_,:'!*-.~")
-
-
-def url_title(url: str) -> str:
-    """The title of a page link, without query and fragment; empty for other links."""
-    path = urlsplit(url or "").path
-    return unquote(path[6:]).replace("_", " ").strip() if path.startswith("/wiki/") else ""
-
-
 def balanced(text: str, at: int, open_: str = "{{", close: str = "}}") -> str:
     """The block that opens at a position, up to its own close; empty if it never closes."""
     depth, i = 0, at
@@ -333,6 +310,7 @@ def infobox(s: pd.Series) -> pd.DataFrame:
 class _Box(HTMLParser):
     """The rows of the first infobox table: header cells open a section, later rows of two or three cells are its sides."""
 
+    # Headings of an infobox.
     NAMES = {"belligerents": "belligerents", "commanders and leaders": "commanders", "commanders": "commanders", "strength": "strength", "casualties and losses": "casualties", "casualties": "casualties"}
 
     def __init__(self) -> None:

@@ -255,6 +255,11 @@ def verify_exact_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curated outcomes by commander and page: each must meet exactly one row, or the query fails."""
     e = engagements(spark, sf_dir)
     o = e.filter("commander_id % 4 = 0").groupBy("commander_id").agg(F.min("page_id").alias("page_id")).withColumn("new_outcome", F.lit("defeat"))
+    return exact_overrides(e, o)
+
+
+def exact_overrides(e: DataFrame, o: DataFrame) -> DataFrame:
+    """Overrides (commander_id, page_id, new_outcome) with what they replace; one that does not meet exactly one row raises an error."""
     met = o.join(e.select("commander_id", "page_id", "outcome"), ["commander_id", "page_id"], "left").groupBy("commander_id", "page_id", "new_outcome").agg(F.count("outcome").alias("n"), F.first("outcome").alias("old_outcome"))
     sure = F.coalesce(F.assert_true(F.col("n") == 1, F.concat(F.lit("override without exactly one row: "), F.col("commander_id").cast("string"))).cast("string"), F.col("old_outcome"))
     old, new = F.col("old_outcome"), F.col("new_outcome")

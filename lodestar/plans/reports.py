@@ -91,6 +91,7 @@ _RISK = {
 _FAR = "greatest(abs(trust_delta), abs(weighted_delta))"
 _OUTCOME_FLAGS = ["losses_now = 0 and open_now >= 3 and rank_now <= 50", "drop_wins >= 3", "drop_known >= 3", "open_battles >= 3 and rank_now <= 50", "label in ('moderate', 'caution') and rank_now <= 25"]
 _STRUCTURE_FLAGS = ["suspect > 0", "broad > 0", "drop_wars > 0", "drop_campaigns > 0", "drop_rows >= 3", f"{_FAR} >= 5"]
+# Weights and bands of the audit.
 _SCORE = f"cast(round(suspect_share * 50) as int) + cast(round(broad_share * 20) as int) + least(drop_rows, 8) + least(drop_known, 6) + least(drop_wins, 6) + case when {_FAR} >= 10 then 5 when {_FAR} >= 5 then 3 else 0 end + case when rank_now <= 10 then 3 when rank_now <= 25 then 2 else 0 end + case when losses_now = 0 and open_now >= 3 then 3 else 0 end + case when tier not in ('robust_elite_core', 'strong_upper_tier') and rank_now <= 25 then 3 else 0 end"
 _BAND = f"""case when (rank_now <= 25 and (suspect_share >= 0.20 or drop_rows >= 8)) or (rank_now <= 15 and suspect >= 5) or (rank_now <= 25 and n_outcome >= 2 and suspect >= 2) or (rank_now <= 50 and label in ('moderate', 'caution') and n_outcome >= 2) then 'high_priority_manual_audit'
   when suspect = 0 and broad <= 2 and drop_rows <= 3 and drop_known <= 2 and {_FAR} <= 5 and n_outcome <= 1 then 'structurally_clean' when suspect <= 3 and suspect_share < 0.15 and broad_share < 0.30 and drop_rows <= 5 and n_outcome <= 2 and {_FAR} < 10 then 'mildly_inflated' else 'materially_inflated' end"""

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.rules import DIRECT, ROLES
 from lodestar.functions.scores import ERAS, SHRINK, cap_factor, mapped, ratio, steady
-from lodestar.operators.relational import join_flags
 from lodestar.operators.resample import draws, draws_sql, summed
 from lodestar.operators.tables import kept_table, shared_table
 from lodestar.operators.windows import ordered_ranks, percentile_ranks, unique_rank

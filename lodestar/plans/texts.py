@@ -191,6 +191,7 @@ def text_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.element_at(F.array(*map(F.lit, _SAID)), (key % 4 + 1).cast("int"))
     dated = F.when(key % 3 == 0, "1204–1206 war").otherwise("on 12 March 1805 near")
     told = F.filter(F.split(body, r"(?<=[.!?])\s+"), lambda x: F.rlike(F.lower(x), F.lit("|".join(RESULT_WORDS))))
+    # Fixed value: the forms of a date.
     hint = r"\b(\d{1,2}\s+[A-Z][a-z]+\s+\d{3,4}|[A-Z][a-z]+\s+\d{1,2},\s+\d{3,4}|[A-Z][a-z]+\s+\d{3,4}|\d{3,4}\s*[–-]\s*\d{3,4})\b"
     return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.get(told, F.lit(0)), F.lit("")).alias("sentence"), F.regexp_extract(dated, hint, 0).alias("date_hint"))
 

@@ -111,7 +111,7 @@ def test_ranks_by_buckets_equal_windows(spark):
     df = spark.createDataFrame(rows, "g int, i int, v double")
     plain = {r.i: (round(r.p, 9), r.k) for r in df.select("i", percentile_rank(F.col("v"), ["g"]).alias("p"), unique_rank(["g"], [F.desc("v"), F.asc("i")]).alias("k")).collect()}
     pct = percentile_ranks(df, ["g"], "v", "p")
-    both = ordered_ranks(pct, ["g"], "v", [F.desc("v"), F.asc("i")], "k")
+    both = ordered_ranks(pct, ["g"], [F.desc("v"), F.asc("i")], "k")
     assert {r.i: (round(r.p, 9), r.k) for r in both.collect()} == plain
 
 
@@ -140,9 +140,17 @@ def test_common_length():
 
 
 def test_exact_override_fails_on_no_row(spark, sf_dir):
-    from lodestar.plans.curation import verify_exact_overrides
-
-    assert verify_exact_overrides(spark, sf_dir).count() >= 1
+    from lodestar.plans.binding import engagements
+    from lodestar.plans.curation import exact_overrides
+
+    fact = engagements(spark, sf_dir)
+    row = fact.first()
+    kind = "commander_id long, page_id long, new_outcome string"
+    good = spark.createDataFrame([(row.commander_id, row.page_id, "defeat")], kind)
+    assert [(r.old_outcome, r.new_outcome) for r in exact_overrides(fact, good).collect()] == [(row.outcome, "defeat")]
+    for bad, rows in ((spark.createDataFrame([(row.commander_id, -1, "defeat")], kind), fact), (good, fact.unionByName(fact))):
+        with pytest.raises(Exception, match="override without exactly one row"):
+            exact_overrides(rows, bad).collect()
 
 
 def test_cached_fetch_tries_again(spark):
