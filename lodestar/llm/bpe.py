@@ -6,7 +6,8 @@ the two tokens' joined bytes gives the two tokens back; a vectorised walk down b
 trees tests all pairs of a batch at once. Only pieces with a failing pair are merged exactly.
 
 Edges: a null text encodes as the empty text (no ids); rows repeat as they come; special strings of
-the tokenizer file become their own id; the input's further columns are ignored.
+the tokenizer file become their own id; a null id passes through; an empty table gives no rows; a very long
+text is a chunk of its own; encode() and decode() keep further columns, digests() ignores them.
 """
 
 from __future__ import annotations

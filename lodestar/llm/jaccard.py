@@ -13,7 +13,8 @@ about BLOCK sets or BLOCK_TOKENS tokens a side, which counts each text's links a
 
 Edges: a null text is the empty text; a text of one to four words has one shingle of all its words; the
 empty text has none and links with its copies alone; a null id is ignored when a class takes its least
-id; repeated rows are copies of each other; further columns are ignored; an empty table gives no rows.
+id; repeated rows are copies of each other; further columns are ignored; an empty table gives no rows; a very
+long text is one set of all its shingles, held by one task.
 """
 
 from __future__ import annotations

@@ -201,15 +201,4 @@ def neighbours(df: DataFrame, text: str = "text", share: int = 4, k: int = K) ->
     return dealt.mapInArrow(run, out)
 
 
-def brute_resemblance(a: str, b: str) -> float:
-    """Exact Jaccard of five-word shingles, for tests."""
-
-    def grams(t: str) -> set:
-        w = t.encode().lower().split()
-        return {tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} if w else set()
-
-    x, y = grams(a), grams(b)
-    return len(x & y) / len(x | y) if x | y else 1.0
-
-
-__all__ = ["bottom", "brute_resemblance", "containment", "distinct", "fingerprint", "from_text", "merge", "merge_by", "neighbours", "resemblance", "sketches", "to_text"]
+__all__ = ["bottom", "containment", "distinct", "fingerprint", "from_text", "merge", "merge_by", "neighbours", "resemblance", "sketches", "to_text"]

@@ -8,7 +8,7 @@ without a piece of its own costs the least score less ten, unknown characters in
 ones count one for each byte where the vocabulary has all byte pieces, else one.
 
 Edges: a null text is the empty text, of no tokens; repeated rows are counted each; further columns are
-ignored; words of any length take time in proportion to their matches.
+ignored; a null id passes through; an empty table gives no rows; words of any length take time in proportion to their matches.
 """
 
 from __future__ import annotations
