@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents. Nulls: a null text counts as empty and is kept as it is; a null id is a value like any other;
 repeated rows are copies of each other, of which the near-duplicate stage keeps one; an empty table
-passes through all stages as an empty table; further columns stay until the last stage.
+passes through all stages as an empty table; a very long text is a chunk of its own; further columns stay,
+but for ones named toxic_score, ids or n_tokens, which the stages make anew.
 """
 
 from __future__ import annotations
