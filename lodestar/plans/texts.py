@@ -244,3 +244,25 @@ def alias_pairs(p: DataFrame, least: int = 92) -> DataFrame:
 def text_fuzzy_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of names alike by their sorted words. Names meet where they share a piece that no pair alike can lack."""
     return alias_pairs(table(spark, sf_dir, "part"))
+
+
+@query("""with o as (select o_orderkey as page_id, min(o_orderdate)::date as a, greatest(max(l_shipdate)::date, min(o_orderdate)::date) as b from orders join lineitem on l_orderkey = o_orderkey group by 1),
+  k as (select *, page_id % 10 as form, extract(year from a) = extract(year from b) as one_year, strftime(a, '%Y-%m') = strftime(b, '%Y-%m') as one_month from o)
+  select page_id, case when form in (5, 6) then strftime(a, '%Y-01-01') when form = 7 then strftime(a, '%Y-%m-01') else a::varchar end as start,
+    case when form in (0, 1, 8, 9) then a::varchar when form in (2, 3) then b::varchar when form = 4 then case when one_month then b::varchar else a::varchar end when form in (5, 6) then strftime(b, '%Y-01-01') else strftime(b, '%Y-%m-01') end as "end" from k""")
+def text_date_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of orders and shipments written out in ten forms, and read back by the grammar of dates."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate")
+    o = table(spark, sf_dir, "orders").join(line, "o_orderkey").groupBy(F.col("o_orderkey").alias("page_id")).agg(F.min("o_orderdate").cast("date").alias("a"), F.max("l_shipdate").cast("date").alias("last"))
+    o = o.withColumn("b", F.greatest("last", "a"))
+    form = F.col("page_id") % 10
+    day = lambda c, f: F.date_format(c, f)
+    long, month = "d MMMM yyyy", F.date_format("a", "yyyy-MM") == F.date_format("b", "yyyy-MM")
+    span = F.when(month, F.concat(day("a", "d"), F.lit("–"), day("b", long))).otherwise(day("a", long))
+    text = (
+        F.when(form == 0, day("a", long)).when(form == 1, day("a", "MMMM d, yyyy")).when(form == 2, F.concat_ws(" – ", day("a", long), day("b", long))).when(form == 3, F.concat_ws(" to ", day("a", "yyyy-MM-dd"), day("b", "yyyy-MM-dd"))).when(form == 4, span)
+        .when(form == 5, F.concat_ws("–", day("a", "yyyy"), day("b", "yyyy"))).when(form == 6, F.concat_ws("–", day("a", "yyyy"), day("b", "yy"))).when(form == 7, F.concat_ws(" – ", day("a", "MMMM yyyy"), day("b", "MMM yyyy"))).when(form == 8, day("a", "d/M/yyyy")).otherwise(F.concat(day("a", "d MMM yyyy"), F.lit(" (O.S.)[1]")))
+    )
+    made = dates.with_date_span(o.select("page_id", text.alias("text")), "text", "s")
+    ends = {w: dates.span_text(F.col(f"s.{w}_year"), F.col(f"s.{w}_month"), F.col(f"s.{w}_day")) for w in ("start", "end")}
+    return made.select("page_id", *(v.alias(w) for w, v in ends.items()))
