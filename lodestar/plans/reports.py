@@ -9,14 +9,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestar.functions.curation import OTHER, SPARK
+from lodestar.functions.scores import OUTCOME_SCORES, ratio, steady
 from lodestar.functions.text import percent_text
 from lodestar.operators.tables import shared_table
 from lodestar.operators.windows import top_by
 from lodestar.plans.binding import FACT, engagements, table
 from lodestar.plans.curation import _STATUS, audited, built, chain, results
-from lodestar.plans.ranking import MODELS, RANKED, TRUST, TRUSTED, confidence, prepared, ranked, sensitivity, stability, trust_tier
+from lodestar.plans.ranking import _sum_sql, MODELS, RANKED, TRUST, TRUSTED, confidence, prepared, ranked, sensitivity, stability, trust_tier
 from lodestar.plans.registry import query
 
 # Interpretive eras and how many of each a shortlist holds; letters of the rank signature.
@@ -277,6 +279,43 @@ def report_dashboard_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(e, "commander_id", "left").select("commander_id", F.to_json(F.struct("commander_id", "name", "models", "eras")).alias("json"))
 
 
+#: Pages of a record.
+TOP_PAGES = 5
+
+
+@query(f"""with {RANKED}, sig as (select commander_id, page_id, page_type, outcome, case when abs(v) > 0 then abs(v) else 0.15::double * p end as c from (select *, w_strict * k_split * {_sum_sql(OUTCOME_SCORES["balanced"], "outcome")} as v, w_strict * p_full as p from prep where w_strict > 0)),
+  top as (select commander_id, list({{'page_id': page_id, 'page_type': page_type, 'outcome': outcome, 'millionths': round(c * 1000000)::bigint}} order by rn) as pages from (select *, row_number() over (partition by commander_id order by round(c, 9) desc, page_id) as rn from sig) where rn <= {TOP_PAGES} group by 1),
+  kinds as (select commander_id, list({{'page_type': page_type, 'pages': n, 'millionths': round(case when total = 0 then 0 else c / total end * 1000000)::bigint}} order by page_type) as contributions from (select *, sum(c) over (partition by commander_id) as total from (select commander_id, page_type, count(*) as n, sum(c) as c from sig group by 1, 2)) group by 1),
+  m as (select commander_id, name, list({{'model': model, 'rank': rank, 'tier': tier}} order by model) as models, max(case when model = 'hierarchical_trust_v2' then profile end) as profile,
+    list_filter([case when max(case when model = 'hierarchical_trust_v2' then higher_share end) >= 0.5 then 'higher_level_dependent' end, case when max(case when model = 'hierarchical_trust_v2' then known_share end) < 0.4 then 'low_evidence' end, case when max(case when model = 'hierarchical_trust_v2' then known end) < 8 then 'sparse' end], lambda x: x is not null) as flags from ranked group by 1, 2),
+  e as (select commander_id, list({{'era': era, 'n': n}} order by era) as eras from (select commander_id, era, count(*) as n from fact group by 1, 2) group by 1)
+  select commander_id, to_json({{'commander_id': commander_id, 'name': name, 'profile': coalesce(profile, ''), 'flags': flags, 'models': models, 'contributions': coalesce(contributions, []), 'pages': coalesce(pages, []), 'eras': coalesce(eras, [])}})::varchar as json from m left join kinds using (commander_id) left join top using (commander_id) left join e using (commander_id)""")
+def report_dashboard_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One nested record a commander: models, profile, flags, shares of page types, eras, and the pages that count most.
+
+    The pages are ranked with a limit that each task applies before the shuffle, so a commander's pages never meet in one place.
+    """
+    f = prepared(spark, sf_dir).filter("weight_strict > 0")
+    v = F.abs(F.col("weight_strict") * F.col("credit_split") * F.col("score_balanced"))
+    signal = F.when(v > 0, v).otherwise(0.15 * F.col("weight_strict") * F.col("presence_full"))
+    s = f.select("commander_id", "page_id", "page_type", "outcome", signal.alias("c"))
+    millionths = lambda c: F.round(c * 1_000_000).cast("long").alias("millionths")
+    listed = lambda *cols: F.array_sort(F.collect_list(F.struct(*cols)))
+    top = top_by(s, ["commander_id"], [F.desc(steady(F.col("c"))), F.asc("page_id")], TOP_PAGES)
+    top = top.groupBy("commander_id").agg(F.transform(listed("rn", "page_id", "page_type", "outcome", millionths(F.col("c"))), lambda x: F.struct(x["page_id"].alias("page_id"), x["page_type"].alias("page_type"), x["outcome"].alias("outcome"), x["millionths"].alias("millionths"))).alias("pages"))
+    kinds = s.groupBy("commander_id", "page_type").agg(F.count("*").alias("pages"), F.sum("c").alias("c")).withColumn("total", F.sum("c").over(Window.partitionBy("commander_id")))  # four page types
+    kinds = kinds.groupBy("commander_id").agg(listed("page_type", "pages", millionths(ratio(F.col("c"), F.col("total")))).alias("contributions"))
+    r = ranked(spark, sf_dir)
+    trust = lambda c: F.max(F.when(F.col("model") == "hierarchical_trust_v2", F.col(c)))
+    flags = F.array_compact(F.array(F.when(trust("higher_share") >= 0.5, "higher_level_dependent"), F.when(trust("known_share") < 0.4, "low_evidence"), F.when(trust("known") < 8, "sparse")))
+    m = r.groupBy("commander_id", "name").agg(listed("model", "rank", "tier").alias("models"), F.coalesce(trust("profile"), F.lit("")).alias("profile"), flags.alias("flags"))
+    e = engagements(spark, sf_dir).groupBy("commander_id", "era").agg(F.count("*").alias("n")).groupBy("commander_id").agg(listed("era", "n").alias("eras"))
+    for part in (kinds, top, e):
+        m = m.join(part, "commander_id", "left")
+    none = {c: F.coalesce(c, F.array().cast(k)).alias(c) for c, k in (("contributions", "array<struct<page_type:string,pages:bigint,millionths:bigint>>"), ("pages", "array<struct<page_id:bigint,page_type:string,outcome:string,millionths:bigint>>"), ("eras", "array<struct<era:string,n:bigint>>"))}
+    return m.select("commander_id", F.to_json(F.struct("commander_id", "name", "profile", "flags", "models", *none.values())).alias("json"))
+
+
 @query(f"""with {TRUST}, me as (select commander_id, era, row_number() over (partition by commander_id order by count(*) desc, era) as rn from fact group by 1, 2), t as (select trust.*, era from trust join me using (commander_id) where rn = 1)
   select 'era' as facet, era as value, count(*) as n from t group by 2 union all select 'profile', profile, count(*) from t group by 2 union all select 'robustness', category, count(*) from t group by 2 union all select 'confidence', label, count(*) from t group by 2
   union all select 'engagements', case when engagements >= 100 then '100+' when engagements >= 50 then '50+' else 'below 50' end, count(*) from t group by 2""")
