@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from lodestar.functions.curation import OTHER, SPARK
 from lodestar.functions.scores import OUTCOME_SCORES, ratio, steady
 from lodestar.functions.text import percent_text
+from lodestar.operators.snapshots import field_changes
 from lodestar.operators.tables import shared_table
 from lodestar.operators.windows import top_by
 from lodestar.plans.binding import FACT, engagements, table
@@ -279,6 +280,27 @@ def report_dashboard_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(e, "commander_id", "left").select("commander_id", F.to_json(F.struct("commander_id", "name", "models", "eras")).alias("json"))
 
 
+@query("""with o as (select c_custkey, c_name, c_acctbal, c_mktsegment, c_nationkey from customer where c_custkey % 11 <> 0), n as (select c_custkey, case when c_custkey % 5 = 0 then lower(c_name) else c_name end as c_name, case when c_custkey % 7 = 0 then c_acctbal + 1 when c_custkey % 7 = 1 then null else c_acctbal end as c_acctbal,
+    case when c_custkey % 6 = 0 then c_nationkey + 1 else c_nationkey end as c_nationkey, case when c_custkey % 4 <> 0 then c_custkey % 3 end as grade from customer where c_custkey % 13 <> 0), b as (select o.*, n.c_name as n_name, n.c_acctbal as n_bal, n.c_nationkey as n_nation, grade from o join n using (c_custkey))
+  select c_custkey, null::varchar as field, 'row_added' as change, null::varchar as old, null::varchar as new from n where c_custkey not in (select c_custkey from o) union all select c_custkey, null, 'row_lost', null, null from o where c_custkey not in (select c_custkey from n)
+  union all select c_custkey, 'c_name', 'value', c_name, n_name from b where c_name <> n_name union all select c_custkey, 'c_acctbal', 'value', printf('%.2f', c_acctbal), printf('%.2f', n_bal) from b where c_acctbal is distinct from n_bal
+  union all select c_custkey, 'c_nationkey', 'value', c_nationkey::varchar, n_nation::varchar from b where c_nationkey <> n_nation union all select c_custkey, 'c_mktsegment', 'field_lost', c_mktsegment, null from b where c_mktsegment is not null
+  union all select c_custkey, 'grade', 'field_added', null, grade::varchar from b where grade is not null""")
+def report_field_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All changes between two written snapshots of the customers, by field: rows and fields added and lost, a type and values changed."""
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    old = shared_table(c.filter(key % 11 != 0).select("c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_nationkey"), "before")
+    new = c.filter(key % 13 != 0).select(
+        "c_custkey", F.when(key % 5 == 0, F.lower("c_name")).otherwise(F.col("c_name")).alias("c_name"), F.when(key % 7 == 0, F.col("c_acctbal") + 1).when(key % 7 != 1, F.col("c_acctbal")).alias("c_acctbal"),
+        F.when(key % 6 == 0, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey")).cast("string").alias("c_nationkey"), F.when(key % 4 != 0, key % 3).cast("int").alias("grade"),
+    )
+    found = field_changes(old, shared_table(new, "after"), ["c_custkey"])
+    # Two digits as text, as the languages write doubles differently.
+    money = lambda c: F.when(F.col("field") == "c_acctbal", F.format_string("%.2f", F.col(c).try_cast("double"))).otherwise(F.col(c))
+    return found.select("c_custkey", "field", "change", F.when(F.col("old").isNotNull(), money("old")).alias("old"), F.when(F.col("new").isNotNull(), money("new")).alias("new"))
+
+
 #: Pages of a record.
 TOP_PAGES = 5
 
