@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from lodestar.plans.binding import table
 from lodestar.plans.registry import query
 from lodestar.sources import files
 from lodestar.streaming.incremental import run_available, windowed_counts
+from lodestar.streaming.ledger import committed, run_routed
 
 
 @query("""select s_suppkey::varchar as s_suppkey, s_name || ', "quoted"' || chr(10) || 'line' as s_name, s_nationkey::varchar as s_nationkey, '' as note from supplier""")
@@ -150,3 +153,20 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and sums by hour and type; the same plan runs on a stream."""
     w = windowed_counts(table(spark, sf_dir, "events"), "ts", "1 hour", ["event_type"])
     return w.select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+_DECISION = "case when value is null then 'quarantined' when user_id % 7 = 0 then 'removed' when event_type = 'click' then 'repaired' else 'kept' end"
+
+
+@query(f"select event_id, user_id, event_type, {_DECISION} as decision from events where event_id % 5 <> 4")
+def stream_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events routed by decision in two resumable runs over overlapping files: each key stands once, in one table."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    source, out = shared_folder(spark, "arriving"), shared_folder(spark, "routed")
+    schema, routes = events.schema, ["kept", "repaired", "quarantined", "removed"]
+    decide = lambda rows: rows.withColumn("decision", F.expr(_DECISION))
+    for k, rows in enumerate((events.filter("event_id % 5 < 3"), events.filter("event_id % 5 in (2, 3)"))):
+        rows.write.mode("append" if k else "overwrite").parquet(source)
+        run_routed(spark, source, schema, out, ["event_id"], decide, routes, files=4)
+    whole = [committed(spark, out, name, events.withColumn("decision", F.lit("")).schema) for name in routes]
+    return reduce(DataFrame.unionByName, whole).select("event_id", "user_id", "event_type", "decision")
