@@ -7,16 +7,22 @@ here name a few commanders of the binding.
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import sys
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions import scores
 from lodestar.functions.rules import DIRECT, ROLES
 from lodestar.functions.scores import ERAS, SHRINK, cap_factor, mapped, ratio, steady
+from lodestar.operators import resample, windows
 from lodestar.operators.resample import draws, draws_sql, summed
 from lodestar.operators.tables import kept_table, shared_table
 from lodestar.operators.windows import ordered_ranks, percentile_ranks, unique_rank
+from lodestar.plans import binding, ranking
 from lodestar.plans.binding import table
 from lodestar.plans.ranking import BATTLE, CAMPAIGN, OPERATION, TIER_SQL, TRUST, WAR, page_tier, prepared, ranked, trusted
 from lodestar.plans.registry import query
@@ -275,16 +281,22 @@ iv as materialized (select iv1.*, case when width80 <= 10 then 'narrow' when wid
 _P = ("p05", "p10", "p25", "p50", "p75", "p90", "p95", "s05", "s50", "s95", "width80", "width90")
 
 
+def _code() -> str:
+    """A digest of the code that the kept tables come from, so that another version makes its own."""
+    own = [scores, resample, windows, binding, ranking, sys.modules[__name__]]
+    return hashlib.sha256("".join(inspect.getsource(m) for m in own).encode()).hexdigest()
+
+
 def confident(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The filtered ranking, and the intervals of all six models: tables kept for all queries that read the same sources."""
     sources = [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "orders", "supplier", "customer", "part", "nation", "region")]
-    e = kept_table(spark, "filtered", sources, HEADLINE, lambda: filtered(spark, sf_dir))
+    e = kept_table(spark, "filtered", sources, _code(), lambda: filtered(spark, sf_dir))
 
     def made() -> DataFrame:
         o = shared_table(originals(spark, sf_dir, e), "originals")
         return intervals(resampled(spark, sf_dir, o), o)
 
-    return e, kept_table(spark, "intervals", sources, (ITERATIONS, PROXIES, BANDS), made)
+    return e, kept_table(spark, "intervals", sources, (ITERATIONS, _code()), made)
 
 
 @query(f"with {BOOT} select model, commander_id, original_rank, {', '.join(_P)}, presence, confidence, top10::bigint as top10, model = '{HEADLINE}' and original_rank > 10 and top10 > 0 as late_riser from iv")

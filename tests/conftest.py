@@ -9,10 +9,12 @@ sys.path.insert(0, ROOT)
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
+    from lodestar.operators.tables import release
     from lodestar.plans.session import session
 
     s = session("tests", master="local[4]", partitions=4)
     yield s
+    release(s)
     s.stop()
 
 
