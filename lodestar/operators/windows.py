@@ -36,8 +36,8 @@ def _ranges(df: DataFrame, keys: list[str], order: list[Column], weight: Column
     return ranged, sums.select(*keys, "\1range", F.coalesce(before, F.lit(0)).alias("\1before"), F.sum("\1n").over(own).alias("\1all"))
 
 
-def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, value, rows, before, all): of each distinct value of a cohort its rows, those with lesser values and all of the cohort.
+def value_ranks(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, int]:
+    """(keys, value, rows, before, all): of each distinct value of a cohort its rows, those with lesser values and all of the cohort; and how many values there are.
 
     Equal rows are counted, never sorted; only distinct values are put in ranges and summed up there.
     """
@@ -45,7 +45,7 @@ def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     ranged, sums = _ranges(counts, keys, [F.col(value)], F.col("rows"))
     lesser = F.sum("rows").over(Window.partitionBy(*keys, "\1range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
     own = ranged.withColumn("\1lesser", F.coalesce(lesser, F.lit(0))).join(sums, [*keys, "\1range"])
-    return own.select(*keys, value, "rows", (F.col("\1before") + F.col("\1lesser")).alias("before"), F.col("\1all").alias("all"))
+    return own.select(*keys, value, "rows", (F.col("\1before") + F.col("\1lesser")).alias("before"), F.col("\1all").alias("all")), ranged.count()
 
 
 def percentile_ranks(df: DataFrame, keys: list[str], value: str, into: str) -> DataFrame:
@@ -54,8 +54,9 @@ def percentile_ranks(df: DataFrame, keys: list[str], value: str, into: str) -> D
     Few distinct values are counted and sent to all tasks; many meet the rows in a join, in which a frequent one is a skewed
     partition that the engine splits.
     """
-    ranks = shared_table(value_ranks(df, keys, value).select(*keys, value, (F.lit(100.0) * (F.col("before") + (F.col("rows") + 1) / F.lit(2.0)) / F.col("all")).alias(into)), "ranks")
-    return df.join(F.broadcast(ranks) if ranks.count() <= SENT else ranks, [*keys, value]).select(*df.columns, into)
+    values, n = value_ranks(df, keys, value)
+    ranks = values.select(*keys, value, (F.lit(100.0) * (F.col("before") + (F.col("rows") + 1) / F.lit(2.0)) / F.col("all")).alias(into))
+    return df.join(F.broadcast(ranks) if n <= SENT else ranks, [*keys, value]).select(*df.columns, into)
 
 
 def ordered_ranks(df: DataFrame, keys: list[str], order: list[Column], into: str) -> DataFrame:
