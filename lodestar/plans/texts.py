@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from lodestar.functions import dates, text
 from lodestar.functions.curation import RESULT_WORDS
-from lodestar.operators.relational import join_flags
+from lodestar.operators.relational import join_flags, spread
 from lodestar.plans.binding import table
 from lodestar.plans.registry import query
 
@@ -156,7 +156,7 @@ def text_wikitext(spark: SparkSession, sf_dir: str) -> DataFrame:
         lit("<!-- {{Infobox no}} -->{{short|x}}\n{{Infobox military conflict\n|conflict=Battle\n|result='''"), F.col("p_brand"), lit("''' {{small|victory}}<ref>a|b</ref>\n|combatant1={{flag|"), F.col("p_type"), lit("}}\n|combatant2=[[Home|"), F.col("p_brand"), lit("]] league\n|commander1={{plainlist|"),
         lit("\n* [[A of B|"), F.col("p_name"), lit("]]}}\n|commander2=[["), F.col("p_brand"), lit("]]<br/>\n}}\n\nPage of '''"), F.col("p_name"), lit("'''.\n\nMore.\n== Head ==\nText"),
     )
-    return _sides(p.select("p_partkey", text.infobox(source).alias("b")))
+    return _sides(spread(p.select("p_partkey", source.alias("source")), "p_partkey").select("p_partkey", text.infobox("source").alias("b")))
 
 
 @query(_BOX_SQL.replace("'Page of ' || p_name || '.'", "''"))
@@ -168,7 +168,7 @@ def text_html_infobox(spark: SparkSession, sf_dir: str) -> DataFrame:
         lit('<table><tr><td>no</td></tr></table><table class="infobox vevent"><tr><td>Result</td><td><b>'), F.col("p_brand"), lit("</b> victory</td></tr><tr><th>Belligerents</th></tr><tr><td>"), F.col("p_type"), lit("</td><td>"), F.col("p_brand"), lit(" <i>league</i></td></tr><tr><th>Commanders and leaders</th></tr><tr><td><a title='A of B' href='/wiki/A'>"),
         F.col("p_name"), lit("</a></td><td><ul><li><a title='Home'>"), F.col("p_brand"), lit("</a></li></ul></td></tr><tr><th>Strength</th></tr><tr><td>1</td><td>2</td></tr></table>"),
     )
-    return _sides(p.select("p_partkey", text.html_infobox(source).alias("b")))
+    return _sides(spread(p.select("p_partkey", source.alias("source")), "p_partkey").select("p_partkey", text.html_infobox("source").alias("b")))
 
 
 def _sides(b: DataFrame) -> DataFrame:
