@@ -19,7 +19,7 @@ from lodestar.operators.tables import shared_table
 from lodestar.operators.windows import top_by
 from lodestar.plans.binding import FACT, engagements, table
 from lodestar.plans.curation import _STATUS, audited, built, chain, results
-from lodestar.plans.ranking import _sum_sql, MODELS, RANKED, TRUST, TRUSTED, confidence, prepared, ranked, sensitivity, stability, trust_tier
+from lodestar.plans.ranking import _sum_sql, MODELS, RANKED, TRUST, TRUSTED, confidence, fact, prepared, ranked, sensitivity, stability, trust_tier
 from lodestar.plans.registry import query
 
 # Interpretive eras and how many of each a shortlist holds; letters of the rank signature.
@@ -34,7 +34,7 @@ def _case(c: str, values: dict[str, object], other: str) -> str:
 
 
 def _main_era(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = engagements(spark, sf_dir).groupBy("commander_id", "era").agg(F.count("*").alias("n"))
+    n = fact(spark, sf_dir).groupBy("commander_id", "era").agg(F.count("*").alias("n"))
     return n.groupBy("commander_id").agg(F.min_by("era", F.struct(-F.col("n"), F.col("era"))).alias("era"))
 
 
@@ -120,7 +120,7 @@ def rule_inflation_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = r.groupBy("commander_id").agg(*(pick(m, c).alias(f"{c}_{t}") for t, m in _PER_MODEL.items() for c in ("rank", "engagements", "known", "wars", "campaigns")), pick("hierarchical_weighted", "rank").alias("weighted_now"))
     s = stability(sensitivity(r)).filter("trust_rank is not null").withColumn("label", confidence(F.col("spread")))
     s = s.select("commander_id", "label", trust_tier(F.col("label")).alias("tier"))
-    k = engagements(spark, sf_dir).groupBy("commander_id").agg(*(F.count_if(F.expr(v)).alias(n) for n, v in _ROWS.items()))
+    k = fact(spark, sf_dir).groupBy("commander_id").agg(*(F.count_if(F.expr(v)).alias(n) for n, v in _ROWS.items()))
     q = k.join(m, "commander_id").join(s, "commander_id").filter("rank_now is not null").withColumns({n: F.expr(v) for n, v in _RISK.items()})
     q = q.withColumns({"n_outcome": F.expr(_COUNT(_OUTCOME_FLAGS)), "n_structure": F.expr(_COUNT(_STRUCTURE_FLAGS))}).withColumns({"risk": F.expr(_SCORE), "band": F.expr(_BAND), "sensitivity": F.expr(_SENSITIVE)})
     q = shared_table(q.withColumn("manual", F.expr("band = 'high_priority_manual_audit' or n_outcome >= 2")), "risk")
@@ -154,7 +154,7 @@ def verify_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     exported = ten.agg(F.to_json(F.array_sort(F.collect_list(F.struct(-F.col("score"), -F.col("r_outcome"), -F.col("engagements"), "name")))["name"]).alias("j")).select(F.from_json("j", "array<string>").alias("b"))
     both = ten.select("commander_id").intersect(r.filter((F.col("model") == "hierarchical_weighted") & (F.col("rank") <= 10)).select("commander_id"))
     tiers = ["robust_elite_core", "strong_upper_tier", "high_confidence_upper_band", "model_sensitive_band", "outside_trust_headline"]
-    fact = engagements(spark, sf_dir)
+    rows = fact(spark, sf_dir)
 
     def check(name: str, df: DataFrame, value: Column, passed) -> DataFrame:
         return df.agg(value.cast("long").alias("value")).select(F.lit(name).alias("check_name"), "value", passed(F.col("value")).alias("passed"))
@@ -163,8 +163,8 @@ def verify_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = ten.agg(F.array_sort(F.collect_list(F.struct("rank", "name")))["name"].alias("a")).join(exported, how="cross").select(F.lit("tops_match_metrics").alias("check_name"), F.size("a").cast("long").alias("value"), (F.col("a") == F.col("b")).alias("passed"))
     checks = [
         check("credit_is_split", p, F.count_if(bad), none), made, check("stability_covers_top", top.join(s, "commander_id", "left_anti"), F.count("*"), none),
-        check("contributions_cover_top", top.join(fact.filter("strict"), "commander_id", "left_anti"), F.count("*"), none), check("tiers_in_domain", t, F.count_if(~F.col("trust_tier").isin(tiers)), none),
-        check("strict_pages_kept", fact.filter("strict"), F.countDistinct("page_id"), lambda v: v >= 11640), check("no_non_person_names", h, F.count_if(F.rlike(F.lower("name"), F.lit(_NON_PERSON))), none), check("top10_overlap", both, F.count("*"), lambda v: v >= 6),
+        check("contributions_cover_top", top.join(rows.filter("strict"), "commander_id", "left_anti"), F.count("*"), none), check("tiers_in_domain", t, F.count_if(~F.col("trust_tier").isin(tiers)), none),
+        check("strict_pages_kept", rows.filter("strict"), F.countDistinct("page_id"), lambda v: v >= 11640), check("no_non_person_names", h, F.count_if(F.rlike(F.lower("name"), F.lit(_NON_PERSON))), none), check("top10_overlap", both, F.count("*"), lambda v: v >= 6),
         check("core_is_not_fragile", t, F.count_if((F.col("trust_tier") == "robust_elite_core") & ((F.col("higher_share") >= 0.5) | (F.col("battles") < 4))), none),
     ]
     return reduce(DataFrame.unionByName, checks)
@@ -276,7 +276,7 @@ def report_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_dashboard_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested JSON record a commander: models and eras."""
     r = ranked(spark, sf_dir).groupBy("commander_id", "name").agg(F.array_sort(F.collect_list(F.struct("model", "rank", F.round("score", 4).alias("score")))).alias("models"))
-    e = engagements(spark, sf_dir).groupBy("commander_id", "era").agg(F.count("*").alias("n")).groupBy("commander_id").agg(F.array_sort(F.collect_list(F.struct("era", "n"))).alias("eras"))
+    e = fact(spark, sf_dir).groupBy("commander_id", "era").agg(F.count("*").alias("n")).groupBy("commander_id").agg(F.array_sort(F.collect_list(F.struct("era", "n"))).alias("eras"))
     return r.join(e, "commander_id", "left").select("commander_id", F.to_json(F.struct("commander_id", "name", "models", "eras")).alias("json"))
 
 
@@ -331,7 +331,7 @@ def report_dashboard_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     trust = lambda c: F.max(F.when(F.col("model") == "hierarchical_trust_v2", F.col(c)))
     flags = F.array_compact(F.array(F.when(trust("higher_share") >= 0.5, "higher_level_dependent"), F.when(trust("known_share") < 0.4, "low_evidence"), F.when(trust("known") < 8, "sparse")))
     m = r.groupBy("commander_id", "name").agg(listed("model", "rank", "tier").alias("models"), F.coalesce(trust("profile"), F.lit("")).alias("profile"), flags.alias("flags"))
-    e = engagements(spark, sf_dir).groupBy("commander_id", "era").agg(F.count("*").alias("n")).groupBy("commander_id").agg(listed("era", "n").alias("eras"))
+    e = fact(spark, sf_dir).groupBy("commander_id", "era").agg(F.count("*").alias("n")).groupBy("commander_id").agg(listed("era", "n").alias("eras"))
     for part in (kinds, top, e):
         m = m.join(part, "commander_id", "left")
     none = {c: F.coalesce(c, F.array().cast(k)).alias(c) for c, k in (("contributions", "array<struct<page_type:string,pages:bigint,millionths:bigint>>"), ("pages", "array<struct<page_id:bigint,page_type:string,outcome:string,millionths:bigint>>"), ("eras", "array<struct<era:string,n:bigint>>"))}

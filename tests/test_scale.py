@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.plans import catalog
+from lodestar.plans.binding import engagements
+from lodestar.plans.ranking import prepared
 
 
 @pytest.mark.parametrize("name", ["rule_master", "rule_identity_sources"])
@@ -16,3 +18,14 @@ def test_rules_are_made_once(spark, sf_dir, name):
 def test_small_files_are_dealt_to_all_tasks(spark, sf_dir, name):
     rows = catalog.queries()[name](spark, sf_dir)
     assert rows.select(F.spark_partition_id().alias("task")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_first_lines_are_not_merged_as_structs(spark, sf_dir):
+    assert "SortAggregate" not in engagements(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_fact_is_made_once(spark, sf_dir):
+    """Metrics, roll-ups, eras and checks read one kept table instead of joining the lines again."""
+    files = prepared(spark, sf_dir).inputFiles()
+    assert files and not any("lineitem.parquet" in f for f in files)
+    assert sorted(files) == sorted(prepared(spark, sf_dir).inputFiles())
