@@ -112,3 +112,44 @@ def test_release_deletes_what_was_made(spark, monkeypatch):
     store, at = tables._store(spark, path)
     assert t.count() == 3 and store.exists(at)
     assert tables.release(spark) == 1 and not store.exists(at) and tables.release(spark) == 0
+
+
+@pytest.fixture(scope="module")
+def resamples(spark):
+    """Resamples of 60 commanders with many ties, and the models that they belong to."""
+    from lodestar.plans.synthesis import PROXIES
+
+    rng = np.random.default_rng(5)
+    parts = ("outcome", "outcome_battle", "scale_battle", "known", "scope", "temporal", "centrality", "evidence")
+    rows = [(i, c, float(rng.integers(0, 9)), float(rng.integers(0, 3)), float(rng.choice([0.5, 1.0])), *(float(x) / 3 for x in rng.integers(0, 7, len(parts)))) for i in range(1, 6) for c in range(60) if rng.random() < 0.9]
+    g = spark.createDataFrame(rows, "i long, commander_id long, m double, mb double, cap double, " + ", ".join(f"r_{p} double" for p in parts))
+    member = [(m, c, f"n{c * 7 % 60:02d}", 1) for m in PROXIES for c in range(60) if "eligibility" not in m or c % 4]
+    return g, spark.createDataFrame(member, "model string, commander_id long, name string, original_rank int")
+
+
+def test_ranks_of_a_group_equal_ranks_in_ranges(resamples):
+    from lodestar.plans import synthesis
+
+    one, other = ({(r.i, r.model, r.commander_id): (r.score, r["rank"]) for r in f(*resamples).collect()} for f in (synthesis.ranked_together, synthesis.ranked_in_ranges))
+    assert len(one) > 1200 and one == other
+
+
+def test_percentiles_equal_the_engines(spark):
+    rows = spark.range(0, 9000).select((F.col("id") % 37).alias("k"), F.concat(F.lit("m"), F.col("id") % 3).alias("model"), (F.hash("id") % 50).alias("rank"), (F.hash("id") % 999 / 7).alias("score")).filter("k <> 5 or score > 140")
+    shares = [0.05, 0.1, 0.25, 0.5, 0.9]
+    made = resample.percentiles(rows, ["k", "model"], {"rank": shares, "score": shares}, ("rank", 10))
+    plain = rows.groupBy("k", "model").agg(F.percentile("rank", F.array(*map(F.lit, shares))).alias("a"), F.percentile("score", F.array(*map(F.lit, shares))).alias("b"), F.count("*").alias("n2"), F.count_if(F.col("rank") <= 10).alias("t2")).collect()
+    got = {(r.k, r.model): r for r in made.collect()}
+    assert len(got) == len(plain)
+    for r in plain:
+        own = got[r.k, r.model]
+        assert (own.n, own.top) == (r.n2, r.t2) and [own[f"rank_{k}"] for k in range(5)] == r.a and [own[f"score_{k}"] for k in range(5)] == r.b
+
+
+def test_a_resample_is_counted_in_stretches(spark, drawn, monkeypatch):
+    """Draws are counted by block in the task that makes them, and no row a draw is grouped."""
+    monkeypatch.setattr(resample, "STRETCH", 1000)
+    monkeypatch.setattr(resample, "STEP", 300)
+    pages = spark.range(0, 7000, 2).select((F.col("id") * 3).alias("page_id"))
+    again = {r.page_id: np.frombuffer(r.draws, np.uint8) for r in resample.draws(pages, SAMPLES).collect()}
+    assert all((again[k] == v).all() for k, v in drawn.items())
