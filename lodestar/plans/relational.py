@@ -111,13 +111,14 @@ def rel_group_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {FACT} select a.commander_id, a.page_id, string_agg(b.commander_id::varchar, ' | ' order by b.commander_id::varchar) as opposing
   from fact a join fact b on a.page_id = b.page_id and a.side <> b.side and a.commander_id <> b.commander_id group by 1, 2""")
 def rel_opposite_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who stood on the other sides of each page, as a sorted list-string, made once a side instead of once a row."""
-    side = engagements(spark, sf_dir).groupBy("page_id", "side").agg(F.collect_list("commander_id").alias("ids"))
-    other = side.select("page_id", F.col("side").alias("their_side"), F.col("ids").alias("them"))
-    # A page has few sides, so a pair of sides is one of few rows of its page.
-    met = side.join(other, "page_id").filter("side <> their_side").groupBy("page_id", "side").agg(F.first("ids").alias("ids"), F.flatten(F.collect_list("them")).alias("them"))
-    names = F.array_join(F.array_sort(F.transform("them", lambda x: x.cast("string"))), " | ")
-    return met.select("ids", "page_id", names.alias("opposing")).select(F.explode("ids").alias("commander_id"), "page_id", "opposing")
+    """Who stood on the other sides of each page, as a sorted list-string.
+
+    A page's rows lie together and in order already, so a window over them needs neither a shuffle, nor a sort, nor a join of sides.
+    """
+    rows = engagements(spark, sf_dir).filter("commander_id is not null")
+    page = rows.select("commander_id", "page_id", "side", F.collect_list(F.struct("side", F.col("commander_id").cast("string").alias("id"))).over(Window.partitionBy("page_id")).alias("all"))
+    them = F.filter("all", lambda x: x["side"] != F.col("side"))["id"]
+    return page.select("commander_id", "page_id", them.alias("them")).filter(F.size("them") > 0).select("commander_id", "page_id", F.array_join(F.array_sort("them"), " | ").alias("opposing"))
 
 
 @query(f"""with {FACT}, span as (select commander_id, min(year) filter (page_type <> 'war_conflict_article' and strict) as lo, max(year) filter (page_type <> 'war_conflict_article' and strict) as hi from fact group by 1)

@@ -29,3 +29,18 @@ def test_the_fact_is_made_once(spark, sf_dir):
     files = prepared(spark, sf_dir).inputFiles()
     assert files and not any("lineitem.parquet" in f for f in files)
     assert sorted(files) == sorted(prepared(spark, sf_dir).inputFiles())
+
+
+def test_lines_move_once_by_page(spark, sf_dir):
+    """What a page's lines are told by needs no further shuffle after the join with orders, even where no table is sent whole."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = engagements(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        opposing = catalog.queries()["rel_opposite_side"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    above = plan[: plan.index("ShuffledHashJoin")]
+    assert "Exchange" not in above and above.count("Sort ") == 1 and plan.count("Exchange hashpartitioning(l_") == 2
+    # Sides of a page are told from its rows as they lie, not from a join of the engagements with themselves.
+    assert opposing.count("lineitem.parquet") == plan.count("lineitem.parquet") == 1 and opposing.count("Sort [") == plan.count("Sort [")
