@@ -6,6 +6,8 @@ tax and discount, and from suppliers' balances. Two suppliers of three have a li
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,16 +35,23 @@ def mentions(title: Column, name: Column) -> Column:
 def blocked(rows: DataFrame, blockers: DataFrame) -> DataFrame:
     """Adds, for each source of blockers, the issues that block the row (null: none): those of the first kind that meets it.
 
-    blockers: kind, page_id, url, name_key, issues. One without issues, or without its key, blocks nothing. Each kind is one join
-    with one row a key.
+    blockers: kind, page_id, url, name_key, issues. One without issues, or without its key, blocks nothing. Those of a page are laid
+    among its rows, which move once, by page, and are told by windows over their keys; each other kind is one join with one row a key.
     """
-    for kind, keys in KINDS.items():
-        real = [F.col(k) != "" if k != "page_id" else F.col(k).isNotNull() for k in keys]
-        own = blockers.filter((F.col("kind") == kind) & (F.trim("issues") != ""))
-        for there in real:
-            own = own.filter(there)
-        one = own.groupBy(*keys).agg(F.max("issues").alias(f"\1{kind}"))
-        rows = rows.join(one, keys, "left")
+
+    def real(kind: str) -> DataFrame:
+        there = [F.col(k) != "" if k != "page_id" else F.col(k).isNotNull() for k in KINDS[kind]]
+        return blockers.filter(reduce(lambda x, y: x & y, there, (F.col("kind") == kind) & (F.trim("issues") != "")))
+
+    paged = [k for k in KINDS if "page_id" in KINDS[k]]
+    laid = reduce(DataFrame.unionByName, map(real, paged)).withColumnsRenamed({"kind": "\1kind", "issues": "\1issues"})
+    rows = rows.unionByName(laid, allowMissingColumns=True).repartition("page_id")
+    for kind in paged:
+        rows = rows.withColumn(f"\1{kind}", F.max(F.when(F.col("\1kind") == kind, F.col("\1issues"))).over(Window.partitionBy(*KINDS[kind])))
+    rows = rows.filter(F.col("\1kind").isNull()).drop("\1kind", "\1issues")
+    for kind in [k for k in KINDS if k not in paged]:
+        keys = KINDS[kind]
+        rows = rows.join(real(kind).groupBy(*keys).agg(F.max("issues").alias(f"\1{kind}")), keys, "left")
     found = {source: F.coalesce(*(F.col(f"\1{k}") for k in kinds)) for source, kinds in SOURCES.items()}
     return rows.withColumns(found).drop(*(f"\1{k}" for k in KINDS))
 

@@ -59,3 +59,14 @@ def test_case(found, n):
 def test_the_query_meets_all_eleven_flags(spark):
     rows = catalog.queries()["verify_blockers"](spark, "/root/testdata/sf0.01").selectExpr("explode(split(flags, '[|]')) as f").distinct().collect()
     assert len({r.f for r in rows} - {""}) == 11
+
+
+def test_rows_move_once_by_page(spark, sf_dir):
+    """Blockers of a page are met without a shuffle of the rows for each kind of key."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.queries()["verify_blockers"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "SortMergeJoin [page_id" not in plan and plan.count("Exchange hashpartitioning(page_id") <= 1
