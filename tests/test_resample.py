@@ -38,6 +38,23 @@ def test_draws_equal_their_sql(drawn):
     assert all(drawn[p][i - 1] == n for p, i, n in plain) and sum(n for _, _, n in plain) == 3500 * SAMPLES
 
 
+def test_rests_of_the_prime():
+    x = np.array([0, 1, resample.PRIME - 1, resample.PRIME, resample.PRIME + 1, 2 * resample.PRIME, (1 << 62) - 1, resample.PRIME**2, 10**17])
+    assert resample._rest_of_prime(x.copy()).tolist() == [int(v) % resample.PRIME for v in x.tolist()]
+
+
+def test_draws_are_made_by_all_tasks_and_not_sent_whole(spark):
+    """Counts of blocks look small to the engine, which would make the draws of all pages in one task and send them to all."""
+    pages = spark.range(0, 20000).withColumnRenamed("id", "page_id")
+    made = resample.draws(pages, SAMPLES)
+    tasks = made.withColumn("task", F.spark_partition_id()).agg(F.countDistinct("task")).first()[0]
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    joined = pages.join(made, "page_id")
+    assert joined.count() == 20000
+    above = joined._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert "SortMergeJoin" in above and "Broadcast" not in above
+
+
 def test_draws_of_few_pages(spark):
     one = resample.draws(spark.range(5, 6).withColumnRenamed("id", "page_id"), 9).collect()
     assert [r.draws for r in one] == [bytes([1] * 9)]
