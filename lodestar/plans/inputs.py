@@ -81,14 +81,14 @@ def io_paginated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select page_id, 'page_' || page_id as slug, len(url) as n_url, len(regexp_extract_all(html, '<a [^>]*href=')) as links, nullif(regexp_extract(html, '<html lang="([a-z]+)"', 1), '') as lang, contains(html, '<article>') as has_article from pages""")
 def io_page_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page as a bundle (title, links, properties), written to a folder of its slug and read back by one scan."""
+    """Each page as a bundle (title, links, properties), written to a folder of its slug and read back by the index of folders."""
     path = shared_folder(spark, "bundles")
     p = table(spark, sf_dir, "pages")
     links = F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), F.lit(1))
     lang = F.regexp_extract("html", '<html lang="([a-z]+)"', 1)
     bundle = p.select("page_id", F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("slug"), "url", links.alias("links"), F.create_map(F.lit("lang"), F.when(lang != "", lang), F.lit("article"), F.contains("html", F.lit("<article>")).cast("string")).alias("props"))
     files.write_pages(bundle, path, "slug")
-    back = spark.read.schema("page_id long, url string, links array<string>, props map<string,string>, slug string").json(path)
+    back = files.read_pages(spark, path, "page_id long, url string, links array<string>, props map<string,string>", "slug")
     return back.select("page_id", "slug", F.char_length("url").alias("n_url"), F.size("links").alias("links"), F.col("props")["lang"].alias("lang"), (F.col("props")["article"] == "true").alias("has_article"))
 
 

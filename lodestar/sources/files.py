@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+import uuid
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +15,9 @@ from pyspark.sql.window import Window
 
 from lodestar.operators.tables import shared_table
 
+#: Characters of pages that a reading task sends on at once.
+CHUNK = 4_000_000
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path of any store that Spark reads is there."""
@@ -19,6 +26,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _delete(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder of any store that Spark reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """All columns as text with null as the empty text; quoted line breaks stay, a leading byte-order mark is dropped."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
@@ -62,9 +75,68 @@ def read_script_rows(spark: SparkSession, path: str, schema: T.StructType | str)
     return spark.read.text(path).select(F.from_json(body, schema).alias("x")).select("x.*")
 
 
+def _folder(slug: str, value: str | None) -> str:
+    """A page's folder, named and escaped as Spark names that of a partition."""
+    escaped = re.sub(r"[\x00-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", value or "")
+    return f"{slug}={escaped or '__HIVE_DEFAULT_PARTITION__'}"
+
+
 def write_pages(df: DataFrame, path: str, slug: str) -> None:
-    """One folder of JSON for each page, named by its slug."""
-    df.write.mode("overwrite").partitionBy(slug).json(path)
+    """One folder of JSON for each page, named by its slug, and an index of them, a table under `_pages`.
+
+    Each task writes the folders of its pages, a file a slug, and tells of them to the index; a task that is tried again
+    writes the same names. The store is one that Arrow knows (local, HDFS, S3 and the like). Spark's own partitioned
+    write would move each folder again in the driver, and its reader list them all there. Rows of one slug stand in one
+    file; rows without one share a folder. Spark can still read the folders as partitions.
+    """
+    _delete(df.sparkSession, path)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(path)
+        last, out, draft = None, None, ""
+        for batch in batches:
+            new: dict[str, str | None] = {}
+            for value, line in zip(batch.column("slug").to_pylist(), batch.column("line").to_pylist(), strict=True):
+                name = _folder(slug, value)
+                if name != last:
+                    if out:
+                        out.close()
+                        store.move(draft, f"{base}/{last}/pages.json")
+                    store.create_dir(f"{base}/{name}", recursive=True)
+                    # A name with a dot in front is passed over by readers.
+                    last, draft = name, f"{base}/{name}/.{uuid.uuid4().hex}"
+                    out, new[name] = store.open_output_stream(draft), value
+                out.write(line.encode() + b"\n")
+            yield pa.RecordBatch.from_arrays([pa.array(list(new.values()), pa.string()), pa.array(list(new), pa.string())], names=["slug", "folder"])
+        if out:
+            out.close()
+            store.move(draft, f"{base}/{last}/pages.json")
+
+    # The empty slug and none have one folder.
+    rows = df.select(F.nullif(F.col(slug).cast("string"), F.lit("")).alias("slug"), F.to_json(F.struct(*(c for c in df.columns if c != slug))).alias("line"))
+    rows.repartition("slug").sortWithinPartitions("slug").mapInArrow(write, "slug string, folder string").write.parquet(f"{path}/_pages")
+
+
+def read_pages(spark: SparkSession, path: str, schema: str, slug: str) -> DataFrame:
+    """The pages of write_pages, with their slugs: tasks share the index and read the files it names, so the driver lists none."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            slugs, lines, size = [], [], 0
+            for value, folder in zip(batch.column("slug").to_pylist(), batch.column("folder").to_pylist(), strict=True):
+                with store.open_input_stream(f"{base}/{folder}/pages.json") as src:
+                    found = src.read().decode().split("\n")[:-1]
+                lines += found
+                slugs += [value] * len(found)
+                size += sum(map(len, found))
+                if size > CHUNK:
+                    yield pa.RecordBatch.from_arrays([pa.array(slugs, pa.string()), pa.array(lines, pa.string())], names=["slug", "line"])
+                    slugs, lines, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(slugs, pa.string()), pa.array(lines, pa.string())], names=["slug", "line"])
+
+    lines = spark.read.schema("slug string, folder string").parquet(f"{path}/_pages").mapInArrow(read, "slug string, line string")
+    return lines.select(F.from_json("line", schema).alias("x"), F.col("slug").alias(slug)).select("x.*", slug)
 
 
 def markdown(df: DataFrame, columns: list[str], order: list[Column], rows: int) -> DataFrame:
