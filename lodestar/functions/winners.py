@@ -10,6 +10,9 @@ Columns read: title, page_type, result, kind, and bel_a, com_a to bel_c, com_c (
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ TARGET_END = r"\b(coalition|allied|allies|alliance|victory|defeat|forces?|troops
 BY_WORD = {k: sorted(v) for k, v in ALIASES.items()}
 BY_PHRASE = {k: sorted(v) for k, v in PHRASES.items()}
 BY_ALIAS = {a: sorted(k for k, v in ALIASES.items() if a in v) for a in sorted({a for v in ALIASES.values() for a in v})}
+#: The entities that a word stands for, or is.
+BY_NAME = {w: sorted(k for k, v in ALIASES.items() if w in [k, *v]) for w in sorted({*ALIASES, *BY_ALIAS})}
 #: A name that lies this many characters before the next side's is the target, however often either occurs.
 CLEAR = 20
 
@@ -53,20 +58,34 @@ def _known(index: dict[str, list[str]], w: Column) -> Column:
 
 def space(c: Column) -> Column:
     """Without footnote marks, blanks of any kind as single spaces."""
-    plain = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\[\d+\]", ""), " ", " ")
+    plain = F.replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\[\d+\]", ""), F.lit("\xa0"), F.lit(" "))
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
+def _hyphens(c: Column) -> Column:
+    return reduce(lambda x, dash: F.replace(x, F.lit(dash), F.lit("-")), "–—−", c)
+
+
+def _unless_plain(c: Column, plain: Column, other: Column) -> Column:
+    """Of a name of letters and digits with single blanks or hyphens, as most are, what it becomes without any pattern."""
+    return F.when(F.rlike(c, F.lit(r"^[A-Za-z0-9]+(?:[ -][A-Za-z0-9]+)*\z")), plain).otherwise(other)
+
+
 def title_form(c: Column) -> Column:
-    return F.regexp_replace(space(c), "[–—−]", "-")
+    return _hyphens(space(c))
 
 
 def _members(c: Column) -> Column:
     """The pieces of a cell, cleaned, with the key by which they are alike; stop words go."""
-    clean = lambda p: space(F.regexp_replace(F.regexp_replace(title_form(p), r"(?i)\b\w+\.svg\b|\b\d+px\b", ""), r"\([^)]*\)|['\"“”‘’]", ""))
+    # Each lambda names what the one before has made, as it would be worked out anew for each name.
+    image = lambda p: F.when(F.contains(F.lower(p), F.lit(".svg")) | F.contains(F.lower(p), F.lit("px")), F.regexp_replace(p, r"(?i)\b\w+\.svg\b|\b\d+px\b", "")).otherwise(p)
+    bare = lambda p: space(F.regexp_replace(p, r"\([^)]*\)|['\"“”‘’]", ""))
     key = lambda e: F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(title_form(e), r"[^\p{L}\p{N}_\s-]", "")), r"[-\s]+", "-"), "^-+|-+$", "")
-    keyed = F.transform(F.transform(F.split(F.coalesce(c, F.lit("")), r"[\n|;/]+"), clean), lambda e: F.struct(e.alias("name"), key(e).alias("key")))
-    return F.filter(keyed, lambda x: (x["name"] != "") & (x["key"] != "") & ~x["key"].isin(STOPWORDS))
+    pieces = F.filter(F.split(F.coalesce(c, F.lit("")), r"[\n|;/]+"), lambda p: p != "")
+    shown = F.transform(F.transform(pieces, lambda p: _unless_plain(p, p, title_form(p))), image)
+    clean = F.filter(F.transform(shown, lambda p: _unless_plain(p, p, bare(p))), lambda e: e != "")
+    keyed = F.transform(clean, lambda e: F.struct(e.alias("name"), _unless_plain(e, F.replace(F.lower(e), F.lit(" "), F.lit("-")), key(e)).alias("key")))
+    return F.filter(keyed, lambda x: (x["key"] != "") & ~x["key"].isin(STOPWORDS))
 
 
 def _firsts(members: str) -> Column:
@@ -76,7 +95,7 @@ def _firsts(members: str) -> Column:
 
 
 def _plain(e: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(e), r"[^a-z0-9\s-]", " "), r"\s+", " "))
+    return _unless_plain(e, F.lower(e), F.trim(F.regexp_replace(F.regexp_replace(F.lower(e), r"[^a-z0-9\s-]", " "), r"\s+", " ")))
 
 
 def _long(flat: Column) -> Column:
@@ -93,15 +112,16 @@ def with_tokens(df: DataFrame, cells: dict[str, str]) -> DataFrame:
     df = df.withColumns({f"\1e{n}": _firsts(f"\1m{n}") for n in cells})
     df = df.withColumns({f"\1l{n}": F.transform(f"\1e{n}", _plain) for n in cells})
     df = df.withColumns({f"\1w{n}": F.transform(f"\1l{n}", lambda low: F.replace(low, F.lit("-"), F.lit(" "))) for n in cells})
-    df = df.withColumns({f"\1o{n}": F.flatten(F.transform(f"\1w{n}", _long)) for n in cells})
+    # A phrase stands in one of the names if it does in their lines, as neither holds a line's end.
+    df = df.withColumns({f"\1o{n}": F.flatten(F.transform(f"\1w{n}", _long)) for n in cells} | {f"\1j{n}": F.array_join(f"\1w{n}", "\n") for n in cells})
 
     def every(n: str) -> Column:
         flat, own = F.col(f"\1w{n}"), F.col(f"\1o{n}")
-        has = lambda k: F.exists(flat, lambda x: F.contains(x, F.lit(k)))
+        has = lambda k: F.contains(f"\1j{n}", F.lit(k))
         phrases = [F.when(has(k), _words(v)).otherwise(none) for k, v in BY_PHRASE.items()]
-        both = F.when(F.exists(flat, lambda x: F.array_contains(F.split(x, " "), "denmark") & F.array_contains(F.split(x, " "), "norway")), _words(BY_PHRASE["denmark norway"])).otherwise(none)
-        found = F.concat(f"\1l{n}", F.transform(flat, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), own, *phrases, both, F.flatten(F.transform(own, lambda w: _known(BY_WORD, w))))
-        return F.array_sort(F.array_distinct(F.filter(found, lambda t: F.length(t) >= 4)))
+        both = F.when(has("denmark") & has("norway") & F.exists(flat, lambda x: F.array_contains(F.split(x, " "), "denmark") & F.array_contains(F.split(x, " "), "norway")), _words(BY_PHRASE["denmark norway"])).otherwise(none)
+        found = F.concat(f"\1l{n}", F.transform(flat, lambda x: F.trim(F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " +", " ")).otherwise(x))), own, *phrases, both, F.flatten(F.transform(own, lambda w: _known(BY_WORD, w))))
+        return F.array_distinct(F.filter(found, lambda t: F.length(t) >= 4))
 
     return df.withColumns({f"\1k{n}": every(n) for n in cells})
 
@@ -109,14 +129,18 @@ def with_tokens(df: DataFrame, cells: dict[str, str]) -> DataFrame:
 def targets(result: Column) -> Column:
     """What a result names after "anti-" or "against", with the words and aliases of it."""
 
-    def of(m: Column) -> Column:
-        phrase = space(F.regexp_replace(F.regexp_replace(m, TARGET_END + ".*$", ""), "^[ -]+|[ -]+$", ""))
-        own = F.filter(F.split(phrase, r"[\s-]+"), lambda w: (F.length(w) >= 3) & ~w.isin(STOPWORDS))
+    phrase_of = lambda m: space(F.regexp_replace(F.regexp_replace(m, TARGET_END + ".*$", ""), "^[ -]+|[ -]+$", ""))
+    words_of = lambda phrase: F.filter(F.split(phrase, r"[\s-]+"), lambda w: (F.length(w) >= 3) & ~w.isin(STOPWORDS))
+
+    def of(x: Column) -> Column:
+        phrase, own = x["phrase"], x["own"]
         phrases = F.flatten(F.array(*(F.when(F.contains(phrase, F.lit(k)), _words(v)).otherwise(F.array().cast("array<string>")) for k, v in BY_PHRASE.items())))
-        return F.when(phrase == "", F.array().cast("array<string>")).otherwise(F.concat(F.array(phrase), own, phrases, F.flatten(F.transform(own, lambda w: _known(BY_WORD, w)))))
+        return F.concat(F.array(phrase), own, phrases, F.flatten(F.transform(own, lambda w: _known(BY_WORD, w))))
 
-    found = F.regexp_extract_all(result, F.lit(TARGET), F.lit(1))
-    return F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(found, of)), lambda t: F.length(t) >= 3)))
+    # In steps, as in with_tokens.
+    found = F.filter(F.transform(F.regexp_extract_all(result, F.lit(TARGET), F.lit(1)), phrase_of), lambda p: p != "")
+    named = F.transform(found, lambda p: F.struct(p.alias("phrase"), words_of(p).alias("own")))
+    return F.array_distinct(F.filter(F.flatten(F.transform(named, of)), lambda t: F.length(t) >= 3))
 
 
 def place(text: Column, token: Column) -> Column:
@@ -126,6 +150,12 @@ def place(text: Column, token: Column) -> Column:
     return F.when(F.contains(text, token), F.nullif(at, F.lit(0)) - 1)
 
 
+def stands(text: Column, token: Column) -> Column:
+    """Whether place() finds the token."""
+    padded = F.concat(F.lit(" "), text, F.lit(" "))
+    return F.when(F.contains(text, token), F.regexp_like(padded, F.concat(F.lit("[^a-z0-9]"), token, F.lit("[^a-z0-9]")))).otherwise(False)
+
+
 def _count(text: Column, words: list[str]) -> Column:
     return sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))
 
@@ -140,32 +170,38 @@ def _only(sides: Column) -> Column:
 
 
 def actor(title: Column) -> Column:
-    """The actor of a title that tells what someone did, without a year before it; empty where no form fits."""
-    t = title_form(title)
-    out = F.lit("")
+    """The actor of a title, in title_form(), that tells what someone did, without a year before it; empty where no form fits."""
+    low, out = F.lower(title), F.lit("")
     for form in reversed(ACTOR_FORMS):
-        got = F.regexp_extract(t, "(?i)" + form, 1)
-        out = F.when(got != "", space(F.regexp_replace(got, r"^\d{3,4}\s+", ""))).otherwise(out)
-    return out
+        # Each form is tried on titles with its word only.
+        word = re.search(" ([a-z]+)", form)[0].rstrip("s")
+        got = F.when(F.contains(low, F.lit(word)), F.regexp_extract(title, "(?i)" + form, 1)).otherwise("")
+        out = F.when(got != "", got).otherwise(out)
+    return space(F.regexp_replace(out, r"^\d{3,4}\s+", ""))
 
 
 def winners(df: DataFrame) -> DataFrame:
     """Adds win_side (side_a, side_b, side_c or null) and method. Nulls count as empty cells."""
     held = df.columns
     low = lambda c: F.lower(space(F.col(c)))
-    one = df.withColumns({"\1r": low("result"), "\1actor": F.lower(title_form(actor(F.col("title"))))} | {f"\1{c}": low(c) for s in "abc" for c in (f"bel_{s}", f"com_{s}")})
-    one = with_tokens(one.withColumn("\1t", targets(F.col("\1r"))), {c: c for s in "abc" for c in (f"bel_{s}", f"com_{s}")})
+    one = df.withColumns({"\1r": low("result"), "\1title": title_form(F.col("title"))} | {f"\1{c}": low(c) for s in "abc" for c in (f"bel_{s}", f"com_{s}")})
+    # The words of a side's cell, between blanks.
+    words = {f"\1v{s}": F.concat(F.lit(" "), F.regexp_replace(f"\1bel_{s}", "[^a-z0-9]", " "), F.lit(" ")) for s in "abc"}
+    one = one.withColumns({"\1actor": F.lower(title_form(actor(F.col("\1title")))), "\1t": targets(F.col("\1r"))} | words)
+    one = with_tokens(one, {c: c for s in "abc" for c in (f"bel_{s}", f"com_{s}")})
+    # How many of the known names stand in a side's cell, under any of their words.
+    standing = F.lit(f" ({'|'.join(BY_NAME)})(?= )")
+    one = one.withColumns({f"\1n{s}": F.size(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(f"\1v{s}", standing, F.lit(1)), lambda w: _known(BY_NAME, w))))) for s in "abc"})
     one = one.withColumns({f"\1every{s}": F.concat(f"\1kbel_{s}", f"\1kcom_{s}") for s in "abc"} | {"\1doer": F.filter(F.split("\1actor", "[^a-z0-9]+"), lambda w: (F.length(w) >= 4) & ~w.rlike(r"^\d+$") & ~w.isin(NO_SIDE))})
     r = F.col("\1r")
 
     def facts(s: str) -> Column:
-        bel, com, every, ents = F.col(f"\1bel_{s}"), F.col(f"\1com_{s}"), f"\1every{s}", F.size(f"\1ebel_{s}")
+        bel, com, every, ents, canon = F.col(f"\1bel_{s}"), F.col(f"\1com_{s}"), f"\1every{s}", F.size(f"\1ebel_{s}"), F.col(f"\1n{s}")
         places = F.filter(F.flatten(F.transform("\1t", lambda t: F.array(place(bel, t), place(com, t)))), lambda p: p.isNotNull())
-        canon = F.size(F.filter(F.array(*(F.struct(F.lit(k).alias("k"), _words([k, *v]).alias("v")) for k, v in BY_WORD.items())), lambda x: F.exists(x["v"], lambda w: place(bel, w).isNotNull())))
-        exact = (F.col("\1actor") != "") & F.contains(F.lower(title_form(F.col(f"bel_{s}"))), F.col("\1actor")) & (bel != "")
+        exact = (F.col("\1actor") != "") & F.contains(_hyphens(bel), F.col("\1actor")) & (bel != "")
         loose = exact | ((bel != "") & F.exists("\1doer", lambda w: F.arrays_overlap(_known(BY_ALIAS, w), F.col(f"\1kbel_{s}"))))
         return F.struct(
-            F.lit(f"side_{s}").alias("side"), (bel != "").alias("there"), F.array_min(places).alias("at"), F.size(places).alias("hits"), F.exists(every, lambda t: place(r, t).isNotNull()).alias("met"),
+            F.lit(f"side_{s}").alias("side"), (bel != "").alias("there"), F.array_min(places).alias("at"), F.size(places).alias("hits"), F.exists(every, lambda t: stands(r, t)).alias("met"),
             F.exists(every, lambda t: F.when(F.contains(r, t), F.regexp_like(F.concat(r, F.lit(" ")), F.concat(F.lit(r"(anti[-\s]+|against\s+)"), t, F.lit("[^a-z0-9]")))).otherwise(False)).alias("negated"),
             (ents + canon + 4 * _count(bel, COALITION)).alias("strength"), ((ents >= 2) | (canon >= 2) | F.contains(bel, F.lit("*")) | (_count(bel, COALITION) > 0)).alias("coalition"),
             (_count(bel, COALITION) > 0).alias("label"), _count(bel, ALLIED).alias("allied"), exact.alias("exact"), loose.alias("loose"),
@@ -174,7 +210,7 @@ def winners(df: DataFrame) -> DataFrame:
     one = one.withColumn("\1s", _sides(facts))
     names = lambda keep: F.transform(F.filter("\1s", keep), lambda x: x["side"])
     there = names(lambda x: x["there"])
-    hit = F.array_sort(F.transform(F.filter("\1s", lambda x: x["hits"] > 0), lambda x: F.struct(x["at"].alias("at"), (-x["hits"]).alias("minus"), x["side"].alias("side"))))
+    hit = F.sort_array(F.transform(F.filter("\1s", lambda x: x["hits"] > 0), lambda x: F.struct(x["at"].alias("at"), (-x["hits"]).alias("minus"), x["side"].alias("side"))))
     first, second = F.get(hit, F.lit(0)), F.get(hit, F.lit(1))
     clear = (F.size(hit) == 1) | (first["at"] + CLEAR <= second["at"]) | ((first["at"] < second["at"]) & (first["minus"] <= second["minus"]))
     one = one.withColumns({"\1loser": F.when(clear, first["side"]), "\1there": there, "\1negated": names(lambda x: x["negated"]), "\1met": names(lambda x: x["met"])})
@@ -182,13 +218,13 @@ def winners(df: DataFrame) -> DataFrame:
     loser, negated = F.col("\1loser"), _only(F.col("\1negated"))
     coalitions = lambda gone: names(lambda x: x["there"] & x["coalition"] & (x["side"] != gone))
     by_target = F.coalesce(_only(but(F.col("\1there"), loser)), _only(coalitions(loser)))
-    allied = F.array_sort(F.transform(F.filter("\1s", lambda x: x["there"]), lambda x: F.struct((-x["allied"]).alias("minus"), x["side"].alias("side"))))
+    allied = F.sort_array(F.transform(F.filter("\1s", lambda x: x["there"]), lambda x: F.struct((-x["allied"]).alias("minus"), x["side"].alias("side"))))
     by_allied = F.when(F.contains(r, F.lit("allied")) | F.contains(r, F.lit("coalition")), F.when((F.get(allied, F.lit(0))["minus"] < 0) & (F.coalesce(F.get(allied, F.lit(1))["minus"], F.lit(0)) == 0), F.get(allied, F.lit(0))["side"]))
     by_negation = F.coalesce(_only(but(F.col("\1there"), negated)), _only(but(F.col("\1met"), negated)), _only(coalitions(negated)))
     exact = names(lambda x: x["exact"])
     acted = _only(F.when(F.size(exact) == 1, exact).otherwise(names(lambda x: x["loose"])))
     by_actor = F.when(F.col("page_type").isin(ACTOR_PAGES) & (F.col("\1actor") != ""), F.when(r == "victory", acted).when((r == "defeat") & acted.isNotNull(), _only(but(F.col("\1there"), acted))))
-    strong = F.array_sort(F.transform(F.filter("\1s", lambda x: x["there"]), lambda x: F.struct((-x["strength"]).alias("minus"), x["side"].alias("side"))))
+    strong = F.sort_array(F.transform(F.filter("\1s", lambda x: x["there"]), lambda x: F.struct((-x["strength"]).alias("minus"), x["side"].alias("side"))))
     lead = F.when(F.size(strong) >= 2, F.get(strong, F.lit(0))["minus"] + 2 <= F.get(strong, F.lit(1))["minus"]).otherwise(F.get(strong, F.lit(0))["minus"] < 0)
     hinted = lambda v: F.when(_count(r, COALITION) > 0, v)
     steps = [
